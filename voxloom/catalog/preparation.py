@@ -367,8 +367,9 @@ def _(t: Tables) -> DataFrame:
     # A different target per label, so that both branches of the ceiling occur.
     relative = F.col("loudness") - F.lit(4) * F.col("label")
     shifted = levelled.withColumn("gain", loudness.normalize_gain(relative, "peak"))
-    after = loudness.peak(loudness.apply_gain("embedding", "gain"))
-    return shifted.select("vec_id", F.round("gain", 6).alias("gain"), F.round(after, 6).alias("peak_after"))
+    # In a step of its own: inside a lambda, a name would resolve to the rounded column of the same select.
+    after = shifted.withColumn("peak_after", loudness.peak(loudness.apply_gain("embedding", "gain")))
+    return after.select("vec_id", F.round("gain", 6).alias("gain"), F.round("peak_after", 6).alias("peak_after"))
 
 
 # -- assembly -----------------------------------------------------------------------------------

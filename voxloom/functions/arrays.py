@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,7 +21,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _indices(n: Column) -> Column:
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    A column that a lambda captures may be inlined there by the optimizer and so be evaluated once
+    per array element; a one-element array holds it instead.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def indices(n: Column) -> Column:
     """0 .. n-1, and the empty array for n <= 0 (a bare sequence would count down)."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -41,12 +50,12 @@ def rate_skip_reason(sr: Column | str, sr_min: int = MIN_RATE) -> Column:
 
 def downmix(channels: Column | str) -> Column:
     """Mean over channels of an array of equally long channels."""
-    c = _col(channels)
-    n = F.size(c)
-    mean = lambda i: F.aggregate(
-        c, F.lit(0.0), lambda acc, ch: acc + F.get(ch, i).cast("double")
-    ) / n
-    return F.transform(_indices(F.size(F.get(c, F.lit(0)))), lambda i: mean(i).cast("float"))
+    def mean_at(c: Column, i: Column) -> Column:
+        total = F.aggregate(c, F.lit(0.0), lambda acc, ch: acc + F.get(ch, i).cast("double"))
+        return (total / F.size(c)).cast("float")
+
+    n = lambda c: F.size(F.get(c, F.lit(0)))
+    return bind(_col(channels), lambda c: F.transform(indices(n(c)), lambda i: mean_at(c, i)))
 
 
 def pad_to(samples: Column | str, n: Column | int) -> Column:
@@ -142,8 +151,10 @@ def align_pair(a: Column | str, b: Column | str) -> tuple[Column, Column]:
 
 
 def mask_tail(samples: Column | str, length: Column | str) -> Column:
-    n = _col(length)
-    return F.transform(_col(samples), lambda v, i: F.when(i < n, v).otherwise(F.lit(0.0).cast("float")))
+    zero = F.lit(0.0).cast("float")
+    return bind(
+        _col(length), lambda n: F.transform(_col(samples), lambda v, i: F.when(i < n, v).otherwise(zero))
+    )
 
 
 def weighted_sum(weights: dict[str, float]) -> Column:
@@ -174,7 +185,10 @@ def codes_skip_reason(codes: Column | str, q: int = QUANTIZERS) -> Column:
 
 def codes_matrix(codes: Column | str, q: int = QUANTIZERS) -> Column:
     """Rows of ``q`` codes; NULL where the length is not a multiple of ``q``."""
-    c = _col(codes)
-    n = (F.size(c) / F.lit(q)).cast("int")
-    rows = F.transform(_indices(n), lambda i: F.slice(c, i * q + 1, F.lit(q)))
-    return F.when(F.size(c) % q == 0, rows)
+
+    def rows(c: Column) -> Column:
+        n = (F.size(c) / F.lit(q)).cast("int")
+        cut = F.transform(indices(n), lambda i: F.slice(c, i * q + 1, F.lit(q)))
+        return F.when(F.size(c) % q == 0, cut)
+
+    return bind(_col(codes), rows)

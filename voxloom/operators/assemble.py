@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import zeros
+from voxloom.functions.arrays import bind, zeros
 from voxloom.operators.scan import BLOCK, BLOCK_ROWS, value_block
 from voxloom.session import stage
 
@@ -210,12 +210,14 @@ def materialize_chunks(
             ),
         ).alias("_piece"),
     )
-    parts = F.col("_parts")
-    before = lambda i: F.when(i > 0, F.get(parts, i - 1)["dst_to"]).otherwise(F.lit(0))
-    filled = F.flatten(F.transform(parts, lambda p, i: F.concat(zeros(p["dst_from"] - before(i)), p["part"])))
-    tail = zeros(F.lit(chunk) - F.element_at(parts, -1)["dst_to"])
+
+    def fill(parts: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(parts, i - 1)["dst_to"]).otherwise(F.lit(0))
+        filled = F.flatten(F.transform(parts, lambda p, i: F.concat(zeros(p["dst_from"] - before(i)), p["part"])))
+        return F.concat(filled, zeros(F.lit(chunk) - F.element_at(parts, -1)["dst_to"]))
+
     return (
         cut.groupBy("lane", "chunk")
         .agg(F.array_sort(F.collect_list("_piece")).alias("_parts"))
-        .select("lane", "chunk", F.concat(filled, tail).alias("samples"))
+        .select("lane", "chunk", bind(F.col("_parts"), fill).alias("samples"))
     )

@@ -85,27 +85,30 @@ DIRECT_ROWS = 1 << 20
 BINS = 1 << 12
 
 
+def value_span() -> list[Column]:
+    """Number of values, and least and greatest finite value."""
+    v = F.col("value")
+    finite = F.when(~v.isin(float("inf"), float("-inf")), v)
+    return [F.count(v).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")]
+
+
 def order_statistics(
     values: DataFrame,
     targets: DataFrame,
     keys: Sequence[str],
     direct_rows: int = DIRECT_ROWS,
     bins: int = BINS,
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """The value at each 0-based rank: (keys..., rank, value) for ``targets(keys..., rank)``.
 
-    ``values(keys..., value)`` holds no NULL. A group of more than ``direct_rows`` rows is counted
+    ``values(keys..., value)`` holds no NULL; ``span`` is ``value_span`` per key if already at hand. A group of more than ``direct_rows`` rows is counted
     in equal bins of its range (combined map-side), and only the bins that hold a wanted rank are
     looked at again, until a group is small. Every row is counted, so the result is exact.
     """
     v = F.col("value")
-    finite = F.when(~v.isin(float("inf"), float("-inf")), v)
-    span = stage(
-        values.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")
-        ),
-        "value-span",
-    )
+    if span is None:
+        span = stage(values.groupBy(*keys).agg(*value_span()), "value-span")
     spread = F.col("_hi") > F.col("_lo")
     widest = span.agg(F.max(F.when(spread, F.col("_n")))).first()[0] or 0
     if widest <= direct_rows:
@@ -145,21 +148,21 @@ def _pick(counts: DataFrame, targets: DataFrame, keys: Sequence[str], cell: str)
 
 def exact_quantiles(
     values: DataFrame,
-    counts: DataFrame,
+    span: DataFrame,
     keys: Sequence[str],
     probs: Sequence[float],
     direct_rows: int = DIRECT_ROWS,
     bins: int = BINS,
 ) -> DataFrame:
-    """(keys..., q array) with linear interpolation between ranks; ``counts(keys..., n)`` > 0."""
+    """(keys..., q array) with linear interpolation between ranks; ``span`` is ``value_span`` per key."""
     place = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p")
-    at = F.col("_p") * (F.col("n") - 1)
-    placed = counts.select(*keys, "n", place).select(
+    at = F.col("_p") * (F.col("_n") - 1)
+    placed = span.where(F.col("_n") > 0).select(*keys, "_n", place).select(
         *keys, "_p", F.floor(at).cast("bigint").alias("_below"), F.ceil(at).cast("bigint").alias("_above"),
         (at - F.floor(at)).alias("_part"),
     )
     ranks = placed.select(*keys, F.explode(F.array("_below", "_above")).alias("rank")).distinct()
-    found = order_statistics(values, ranks, keys, direct_rows, bins)
+    found = order_statistics(values, ranks, keys, direct_rows, bins, span)
     by_rank = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at"))
     low, high = F.element_at("_at", F.col("_below")), F.element_at("_at", F.col("_above"))
     mixed = F.when(low == high, low).otherwise(low + (high - low) * F.col("_part"))
@@ -186,10 +189,9 @@ def summarize(
         q = F.percentile_approx("value", list(QUARTILES), 10_000)
         one_pass = metrics.groupBy(*by).agg(*base, q.alias("_q"), n_valid)
         return _with_quartiles(one_pass, by, "_q")
-    moments = stage(metrics.groupBy(*by).agg(*base, n_valid), "moments")
+    moments = stage(metrics.groupBy(*by).agg(*base, n_valid, *value_span()), "moments")
     values = metrics.where(F.col("value").isNotNull()).select(*by, "value")
-    counts = moments.where(F.col("n_valid") > 0).select(*by, F.col("n_valid").alias("n"))
-    quartiles = exact_quantiles(values, counts, by, QUARTILES, direct_rows, bins)
+    quartiles = exact_quantiles(values, moments, by, QUARTILES, direct_rows, bins)
     return _with_quartiles(moments.join(quartiles, list(by), "left"), by, "q")
 
 
@@ -290,11 +292,14 @@ def box_stats(metrics: DataFrame, by: Sequence[str] = GROUP, whisker: float = 1.
     )
 
 
-def density_curve(metrics: DataFrame, points: int = 100, by: Sequence[str] = GROUP) -> DataFrame:
+def density_curve(
+    metrics: DataFrame, points: int = 100, by: Sequence[str] = GROUP, tile: int = 10
+) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid from min to max.
 
-    The density at each grid point is one sum, so a row is read once and combined map-side; no row
-    is paired with grid rows. A group with a single distinct value has density 1 at that value.
+    The density at a grid point is a sum over the values. Each value adds to ``tile`` neighbouring
+    points at a time, and all sums are combined map-side: the shuffle carries grid points only. A
+    group with a single distinct value has density 1 at that value.
     """
     values = metrics.where(F.col("value").isNotNull()).select(*by, "value")
     shape = stage(
@@ -307,15 +312,20 @@ def density_curve(metrics: DataFrame, points: int = 100, by: Sequence[str] = GRO
         .withColumn("_step", (F.col("_max") - F.col("_min")) / max(points - 1, 1)),
         "shapes",
     )
-    z = lambda k: (F.col("value") - (F.col("_min") + F.lit(k) * F.col("_step"))) / F.col("_h")
-    kernels = [F.sum(F.exp(F.lit(-0.5) * z(k) * z(k))).alias(f"_k{k}") for k in range(points)]
-    sums = values.join(shape.where(F.col("_h") > 0), list(by)).groupBy(*by).agg(*kernels)
-    curve = shape.join(sums, list(by), "left").select(
-        *by, "_min", "_step", "_n", "_h",
-        F.posexplode(F.array(*[f"_k{k}" for k in range(points)])).alias("point", "_k"),
+    first_points = F.explode(F.sequence(F.lit(0), F.lit(points - 1), F.lit(tile))).alias("_first")
+    tiled = values.join(shape.where(F.col("_h") > 0).select(*by, "_min", "_step", "_h"), list(by)).select(
+        *by, "value", "_min", "_step", "_h", first_points
     )
+    x = lambda j: F.col("_min") + (F.col("_first") + F.lit(j)) * F.col("_step")
+    z = lambda j: (F.col("value") - x(j)) / F.col("_h")
+    kernels = [F.sum(F.exp(F.lit(-0.5) * z(j) * z(j))).alias(f"_k{j}") for j in range(tile)]
+    sums = tiled.groupBy(*by, "_first").agg(*kernels)
+    heights = sums.select(
+        *by, "_first", F.posexplode(F.array(*[f"_k{j}" for j in range(tile)])).alias("_j", "_k")
+    ).select(*by, (F.col("_first") + F.col("_j")).alias("point"), "_k")
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     height = F.col("_k") / (F.col("_n") * F.col("_h") * F.sqrt(F.lit(2.0) * F.pi()))
-    return curve.select(
+    return grid.join(heights, [*by, "point"], "left").select(
         *by, "point", (F.col("_min") + F.col("point") * F.col("_step")).alias("x"),
         F.coalesce(height, F.lit(1.0)).alias("density"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.functions.arrays import bind, indices
 from voxloom.operators.scan import BLOCK, BLOCK_ROWS, value_block
 
 # Block seconds, blocks per hop, gates and targets in dB, and the loudness offset.
@@ -19,27 +20,34 @@ CEILING = -1.0
 
 def hop_sums(samples: Column | str, hop: int) -> Column:
     """Sum of squares of each complete hop, formed inside the row."""
-    s = F.col(samples) if isinstance(samples, str) else samples
-    hops = F.floor(F.size(s) / F.lit(hop)).cast("int")
-    square_sum = lambda i: F.aggregate(
-        F.slice(s, i * hop + 1, F.lit(hop)), F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")
-    )
-    none = F.array().cast("array<double>")
-    return F.when(hops > 0, F.transform(F.sequence(F.lit(0), hops - 1), square_sum)).otherwise(none)
+
+    def sums(s: Column) -> Column:
+        square_sum = lambda i: F.aggregate(
+            F.slice(s, i * hop + 1, F.lit(hop)), F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")
+        )
+        return F.transform(indices(F.floor(F.size(s) / F.lit(hop)).cast("int")), square_sum)
+
+    return bind(F.col(samples) if isinstance(samples, str) else samples, sums)
+
+
+def block_energies(samples: Column | str, hop: int) -> Column:
+    """Mean square of each complete block of four hops, one block per hop."""
+
+    def means(sums: Column) -> Column:
+        total = lambda i: F.aggregate(
+            F.slice(sums, i + 1, F.lit(HOPS_PER_BLOCK)), F.lit(0.0), lambda a, v: a + v
+        )
+        blocks = F.size(sums) - (HOPS_PER_BLOCK - 1)
+        return F.transform(indices(blocks), lambda i: total(i) / F.lit(HOPS_PER_BLOCK * hop))
+
+    return bind(hop_sums(samples, hop), means)
 
 
 def block_energy(
     signals: DataFrame, hop: int, clip: str = "clip_id", samples: str = "samples"
 ) -> DataFrame:
     """(clip, block_idx, energy) of every complete block; no shuffle."""
-    hops = signals.select(clip, hop_sums(samples, hop).alias("_hops"))
-    blocks = F.size("_hops") - (HOPS_PER_BLOCK - 1)
-    whole = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda i: F.aggregate(F.slice(F.col("_hops"), i + 1, F.lit(HOPS_PER_BLOCK)), F.lit(0.0), lambda a, v: a + v)
-        / F.lit(HOPS_PER_BLOCK * hop),
-    )
-    return hops.where(blocks > 0).select(clip, F.posexplode(whole).alias("block_idx", "energy"))
+    return signals.select(clip, F.posexplode(block_energies(samples, hop)).alias("block_idx", "energy"))
 
 
 def to_loudness(energy: Column) -> Column:
@@ -96,5 +104,5 @@ def normalize_gain(
 
 
 def apply_gain(samples: Column | str, gain: Column | str) -> Column:
-    g = F.col(gain) if isinstance(gain, str) else gain
-    return F.transform(samples, lambda v: (v.cast("double") * g).cast("float"))
+    factor = F.col(gain) if isinstance(gain, str) else gain
+    return bind(factor, lambda g: F.transform(samples, lambda v: (v.cast("double") * g).cast("float")))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import pad_edges, zeros
+from voxloom.functions.arrays import bind, pad_edges, rms, zeros
 from voxloom.operators.scan import BLOCK, BLOCK_ROWS, block_window, running_sum, value_block, with_carry
 
 # Fixed values of the frame grid: samples per frame at the frame rate, and edge padding in seconds.
@@ -15,25 +17,26 @@ EDGE_PAD_S = 0.5
 
 
 def frame_signal(
-    signals: DataFrame, score=None, frame: int = FRAME, clip: str = "clip_id", samples: str = "samples"
+    signals: DataFrame,
+    score: Callable[[Column], Column] | None = None,
+    frame: int = FRAME,
+    clip: str = "clip_id",
+    samples: str = "samples",
 ) -> DataFrame:
     """One row per frame with its score; an incomplete frame and the last frame score 0.
 
     ``score`` maps an array column to a number (default: root mean square). Frames are cut inside
     the row, so nothing is shuffled.
     """
-    from voxloom.functions.arrays import rms
-
     score = score or rms
-    n = F.size(samples)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(frame))).otherwise(F.array().cast("array<int>"))
-    cut = signals.select(clip, samples, starts.alias("_starts"))
-    framed = cut.select(
-        clip,
-        F.size("_starts").alias("_n"),
-        F.posexplode(F.transform("_starts", lambda i: F.slice(F.col(samples), i + 1, F.lit(frame)))).alias(
-            "frame_idx", "frame"
-        ),
+
+    def cut(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(s) - 1, F.lit(frame))
+        return F.when(F.size(s) > 0, F.transform(starts, lambda i: F.slice(s, i + 1, F.lit(frame))))
+
+    count = F.ceil(F.size(samples) / frame).cast("int")
+    framed = signals.select(
+        clip, count.alias("_n"), F.posexplode(bind(F.col(samples), cut)).alias("frame_idx", "frame")
     )
     scored = F.when((F.size("frame") < frame) | (F.col("frame_idx") == F.col("_n") - 1), F.lit(0.0))
     return framed.select(clip, "frame_idx", scored.otherwise(score(F.col("frame"))).alias("prob"))
@@ -152,15 +155,13 @@ def rejoin_payload(segs: DataFrame, signals: DataFrame, gap: float = 0.1, clip:
     sr, samples = F.col("sr"), F.col("samples")
     base = F.when(F.col("_padded"), pad_edges(samples, edge_pad(sr))).otherwise(samples)
     silence = zeros((F.lit(gap) * sr).cast("bigint"))
-    piece = lambda b: F.slice(
-        F.col("_base"), (b["s"] + 1).cast("int"), (b["e"] - b["s"]).cast("int")
-    )
-    parts = F.transform(
-        "_bounds", lambda b, i: F.when(i == 0, piece(b)).otherwise(F.concat(F.col("_silence"), piece(b)))
-    )
-    return (
-        signals.join(bounds, clip)
-        .withColumn("_base", base)
-        .withColumn("_silence", silence)
-        .select(clip, "sr", F.flatten(parts).alias("samples"))
-    )
+
+    def join(source: Column) -> Column:
+        piece = lambda b: F.slice(
+            source["base"], (b["s"] + 1).cast("int"), (b["e"] - b["s"]).cast("int")
+        )
+        spaced = lambda b, i: F.when(i == 0, piece(b)).otherwise(F.concat(source["gap"], piece(b)))
+        return F.flatten(F.transform("_bounds", spaced))
+
+    source = F.struct(base.alias("base"), silence.alias("gap"))
+    return signals.join(bounds, clip).select(clip, "sr", bind(source, join).alias("samples"))
