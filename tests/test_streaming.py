@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators.assemble import chunk_slices, timeline
@@ -60,6 +61,32 @@ def test_a_repeated_batch_replaces_its_output(spark, folder):
     assert spark.read.parquet(f"{folder}/x/version=0").count() == 90
 
 
+def test_a_batch_that_dies_halfway_is_run_again(spark, folder, monkeypatch):
+    source, out = f"{folder}/in", f"{folder}/out"
+    given = pieces(spark)
+    given.where("seq < 40").coalesce(1).write.mode("append").parquet(source)
+    start = lambda: assemble.stream_assemble(spark.readStream.schema(PIECES).parquet(source), out, 10, 3)
+    start().awaitTermination()
+    given.where("seq >= 40").coalesce(1).write.mode("append").parquet(source)
+    real = assemble.write_version
+
+    def dies(df, where, name, batch_id):
+        if name == "open":
+            raise RuntimeError("executor lost")
+        real(df, where, name, batch_id)
+
+    monkeypatch.setattr(assemble, "write_version", dies)
+    with pytest.raises(Exception, match="executor lost"):
+        start().awaitTermination()
+    monkeypatch.setattr(assemble, "write_version", real)
+    query = start()
+    query.awaitTermination()
+    rest = assemble.flushed_slices(spark, out, assemble.last_batch(query))
+    got = assemble.assembled_slices(spark, out).unionByName(rest)
+    want = chunk_slices(timeline(given, 10, 3), 10)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
 def test_running_best_equals_batch(spark, folder):
     rows = [(f"r{i % 2}", "s", i, float((i * 53) % 41), float(i % 7)) for i in range(80)]
     log = spark.createDataFrame(rows, "run_id string, segment string, step bigint, value double, audio_sec double")

@@ -10,7 +10,7 @@ from voxloom.catalog.roles import LOG_SQL, LOWER, MEASURES_SQL, METRICS, measure
 from voxloom.functions import arrays
 from voxloom.operators import evaluate, overlay, quality, runlog
 from voxloom.operators.model import map_batches
-from voxloom.plans.report import evaluation_report
+from voxloom.plans.report import evaluate_runs, evaluation_report
 from voxloom.sinks import reports
 
 
@@ -123,6 +123,39 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def run_model():
+    """A stand-in for decoding and scoring: two numbers from the run's name and the signal."""
+
+    def call(rows: list) -> list:
+        done = []
+        for run, vec_id, samples in rows:
+            if vec_id % 17 == 0 and run.endswith("3"):
+                raise ValueError("cannot decode")
+            done.append((sum(float(v) for v in samples) * len(run), float("nan") if vec_id % 5 == 0 else float(len(run))))
+        return done
+
+    return call
+
+
+@query(
+    "evaluate_runs",
+    """WITH g AS (SELECT n_name AS checkpoint, CAST(n_nationkey AS BIGINT) AS ckpt_ord, vec_id AS sample_index, embedding,
+                         vec_id % 17 = 0 AND n_name LIKE '%3' AS failed FROM nation CROSS JOIN embeddings)
+       SELECT checkpoint, ckpt_ord, sample_index, 'total' AS metric, CASE WHEN NOT failed THEN round(list_sum(
+              list_transform(embedding, lambda v: CAST(v AS DOUBLE))) * length(checkpoint), 6) END AS value,
+              CASE WHEN failed THEN 'ValueError: cannot decode' END AS error FROM g
+       UNION ALL SELECT checkpoint, ckpt_ord, sample_index, 'width', CASE WHEN NOT failed AND sample_index % 5 <> 0
+              THEN CAST(length(checkpoint) AS DOUBLE) END, CASE WHEN failed THEN 'ValueError: cannot decode' END FROM g""",
+)
+def _(t: Tables) -> DataFrame:
+    samples = t.embeddings.select(F.col("vec_id").alias("sample_index"), "embedding")
+    runs = t.nation.select("n_name", "n_nationkey")
+    scored = evaluate_runs(
+        samples, runs, run_model, ["sample_index", "embedding"], ["total", "width"], order="n_nationkey", batch=32
+    )
+    return rounded(scored.withColumn("ckpt_ord", F.col("ckpt_ord").cast("bigint")), 6, "value")
+
+
 @query(
     "summarize",
     f"""WITH {MEASURES_SQL} SELECT checkpoint, metric, round(mean, 4) AS mean, round(std, 4) AS std,

@@ -258,12 +258,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("islands", f"WITH {FRAMES_SQL} SELECT clip_id, f_start, f_end FROM isl")
 def _(t: Tables) -> DataFrame:
-    return segment.islands(segment.hysteresis(frames(t)))
+    return segment.islands(segment.hysteresis(frames(t), keep_block=True))
 
 
 @query("segments", f"WITH {FRAMES_SQL} SELECT clip_id, sr, s, e, padded FROM segs")
 def _(t: Tables) -> DataFrame:
-    found = segment.segments(segment.islands(segment.hysteresis(frames(t))), clips(t), MIN_VOICED)
+    found = segment.segments(segment.islands(segment.hysteresis(frames(t), keep_block=True)), clips(t), MIN_VOICED)
     return found.withColumn("sr", F.col("sr").cast("bigint"))
 
 

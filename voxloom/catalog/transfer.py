@@ -157,6 +157,48 @@ def _(t: Tables) -> DataFrame:
     return batches.select("shard", "key", "batch_id", "pos", "code_len", "audio_len", F.size("audio").alias("padded"))
 
 
+_EVALUATION_SQL = """
+    WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN 'bad_shape' WHEN 10 + label < 12 THEN 'duration'
+                      WHEN vec_id % 11 = 0 THEN 'no_audio' WHEN vec_id % 7 = 0 THEN 'rms' END AS skip_reason
+               FROM embeddings),
+    k AS (SELECT vec_id, label FROM s WHERE skip_reason IS NULL ORDER BY vec_id LIMIT 100)"""
+
+
+def _evaluation_shards(t: Tables) -> str:
+    """Shards in which some samples are ragged, short, without audio or silent."""
+    long = F.flatten(F.array_repeat(_code_column(), 8))
+    n = F.lit(16) * (F.lit(10) + F.col("label")) + F.when(F.col("vec_id") % 13 == 0, 3).otherwise(0)
+    quiet = F.transform("embedding", lambda v: F.when(F.col("vec_id") % 7 == 0, F.lit(0.0)).otherwise(v).cast("float"))
+    given = t.embeddings.select("vec_id", "label", F.slice(long, F.lit(1), n).alias("codes"), quiet.alias("audio"))
+    wav = F.when(F.col("vec_id") % 11 != 0, wav_bytes(arrays.pcm16("audio"), F.lit(48000)))
+    both = given.select("vec_id", wav.alias("wav"), npy_bytes("codes").alias("npy"))
+    members = F.map_filter(F.create_map(F.lit("wav"), F.col("wav"), F.lit("npy"), F.col("npy")), lambda k, v: v.isNotNull())
+    ready = both.select("vec_id", F.lit("val").alias("split"), members.alias("members"))
+    folder = fresh_path(t.spark, "evaluation-shards")
+    write_shards(number_samples(ready, ["vec_id"], 100, block=value_block("vec_id")), folder)
+    return f"{folder}/val/shard-*.tar"
+
+
+@query(
+    "load_evaluation_samples",
+    _EVALUATION_SQL + " SELECT printf('%08d', vec_id) AS key, 10 + label AS num_codes, 64 AS n_audio, 48000 AS sr FROM k",
+)
+def _(t: Tables) -> DataFrame:
+    kept, _ = corpus.load_evaluation_samples(t.spark, _evaluation_shards(t), 100, first=1)
+    return kept.select(
+        "key", F.size("codes").cast("bigint").alias("num_codes"), F.size("audio").cast("bigint").alias("n_audio"), "sr"
+    )
+
+
+@query(
+    "evaluation_skips",
+    _EVALUATION_SQL + """ SELECT coalesce(skip_reason, 'kept') AS skip_reason, count(*) AS n FROM s
+                          WHERE vec_id <= (SELECT max(vec_id) FROM k) GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return corpus.load_evaluation_samples(t.spark, _evaluation_shards(t), 100, first=1)[1]
+
+
 @query(
     "sql_functions",
     f"""SELECT vec_id, round(20 * log10(sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v)) / 64 + 1e-8)), 6) AS db,

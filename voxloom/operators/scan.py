@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxloom.session import stage
 
 BLOCK_ROWS = 65536
-HASH_BLOCKS = 4096
+HASH_BLOCKS = 65536
 BLOCK = "_block"
 
 

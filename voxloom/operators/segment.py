@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import bind, pad_edges, rms, zeros
 from voxloom.operators.scan import BLOCK, BLOCK_ROWS, block_window, running_sum, value_block, with_carry
+from voxloom.session import stage
 
 # Fixed values of the frame grid: samples per frame at the frame rate, and edge padding in seconds.
 FRAME = 512
@@ -50,8 +51,12 @@ def hysteresis(
     idx: str = "frame_idx",
     score: str = "prob",
     block_rows: int = BLOCK_ROWS,
+    keep_block: bool = False,
 ) -> DataFrame:
-    """Add ``voiced``: on at ``hi``, off at ``lo``, in between the last decision, at first off."""
+    """Add ``voiced``: on at ``hi``, off at ``lo``, in between the last decision, at first off.
+
+    With ``keep_block`` the block column stays, and :func:`islands` goes on without a shuffle.
+    """
     p = F.col(score)
     decided = F.when(F.isnan(p), F.lit(None)).when(p >= hi, True).when(p <= lo, False)
     blocked = frames.withColumn("_decided", decided).withColumn(BLOCK, value_block(idx, block_rows))
@@ -65,7 +70,8 @@ def hysteresis(
     so_far = block_window([clip], [idx]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = F.last("_decided", ignorenulls=True).over(so_far)
     voiced = F.coalesce(held, F.col("_carry"), F.lit(False))
-    return carried.withColumn("voiced", voiced).drop("_decided", "_carry", BLOCK)
+    done = carried.withColumn("voiced", voiced).drop("_decided", "_carry")
+    return done if keep_block else done.drop(BLOCK)
 
 
 def islands(
@@ -73,16 +79,21 @@ def islands(
 ) -> DataFrame:
     """Maximal runs of adjacent voiced frames as (clip, f_start, f_end).
 
+    ``block_rows`` must be that of :func:`hysteresis` if the frames come with their block.
+
     Runs are found per (clip, block). Only runs that touch a block edge, at most two per block,
     are stitched per clip; all others are final already.
     """
-    voiced = frames.where("voiced").select(clip, idx, value_block(idx, block_rows).alias(BLOCK))
+    blocked = frames if BLOCK in frames.columns else frames.withColumn(BLOCK, value_block(idx, block_rows))
+    voiced = blocked.where("voiced").select(clip, idx, BLOCK)
     run = F.col(idx) - F.row_number().over(block_window([clip], [idx]))
     runs = (
         voiced.withColumn("_run", run)
         .groupBy(clip, BLOCK, "_run")
         .agg(F.min(idx).cast("bigint").alias("f_start"), F.max(idx).cast("bigint").alias("f_end"))
     )
+    # Read by two branches below, whose filters would keep Catalyst from sharing the frame shuffle.
+    runs = stage(runs.drop("_run"), "runs")
     at_edge = (F.col("f_start") == F.col(BLOCK) * block_rows) | (
         F.col("f_end") == (F.col(BLOCK) + 1) * block_rows - 1
     )

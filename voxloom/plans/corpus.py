@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.functions import arrays
 from voxloom.functions.hashing import md5_key, uniform
-from voxloom.functions.payloads import npy_bytes, npy_codes, wav_bytes, wav_signal
-from voxloom.operators.assemble import materialize_chunks, timeline, chunk_slices
+from voxloom.functions.payloads import npy_bytes, sample_decoder, wav_bytes
+from voxloom.operators.assemble import chunk_slices, materialize_chunks, timeline
 from voxloom.operators.batches import pad_batches, plan_batches
 from voxloom.operators.loudness import apply_gain, block_energy, gated_loudness, normalize_gain, peak
-from voxloom.operators.order import split_train_val
+from voxloom.operators.order import split_train_val, take_valid
+from voxloom.operators.quality import skip_report
 from voxloom.operators.scan import hash_block
-from voxloom.operators.segment import frame_signal, hysteresis, islands, rejoin_payload, segments, segments_or_whole
-from voxloom.operators.segment import edge_pad
+from voxloom.operators.segment import (
+    edge_pad,
+    frame_signal,
+    hysteresis,
+    islands,
+    rejoin_payload,
+    segments,
+    segments_or_whole,
+)
 from voxloom.session import stage
 from voxloom.sinks.shards import number_samples
-from voxloom.sources.shards import read_shards
+from voxloom.sources.shards import expand_shards, read_shards
 
 
 def level_signals(signals: DataFrame, hop: int) -> DataFrame:
@@ -38,7 +47,7 @@ def voiced_signals(
 ) -> DataFrame:
     """The signals without their unvoiced parts. Scores are computed on the edge-padded signal."""
     padded = signals.withColumn("samples", arrays.pad_edges("samples", edge_pad(F.col("sr"))))
-    voiced = hysteresis(frame_signal(padded, score, frame), lo, hi)
+    voiced = hysteresis(frame_signal(padded, score, frame), lo, hi, keep_block=True)
     clips = signals.select("clip_id", "sr", F.size("samples").cast("bigint").alias("len"))
     segs = segments_or_whole(clips, stage(segments(islands(voiced), clips, min_voiced), "segments"))
     return rejoin_payload(segs, signals, gap)
@@ -80,18 +89,60 @@ def load_batches(
 ) -> DataFrame:
     """Shards to padded batches: decode, drop short, crop, drop quiet, shuffle, batch, pad."""
     samples = read_shards(spark, pattern)
-    payload, ext = arrays.pick_payload("members")
-    flat = npy_codes(F.try_element_at("members", F.lit("npy")))
-    decoded = samples.select("shard", "key", payload.alias("_payload"), flat.alias("_flat"))
-    decoded = decoded.select("shard", "key", "_payload", arrays.codes_matrix("_flat").alias("codes"))
-    # Cheap checks come before the payload is decoded.
-    enough = decoded.where(F.col("_payload").isNotNull() & arrays.enough_codes(F.size("codes"), min_s))
-    heard = enough.withColumn("_signal", wav_signal("_payload")).where(F.col("_signal.samples").isNotNull())
-    crop = arrays.aligned_crop("codes", "_signal.samples", "_signal.sr", max_s, seed, "shard", "key")
-    cropped = heard.withColumn("_crop", crop).select(
-        "shard", "key", "_crop.codes", "_crop.audio", F.col("_signal.sr").alias("sr")
+    payload, _ = arrays.pick_payload("members")
+    decode = sample_decoder(arrays.min_code_count(min_s))
+    decoded = samples.select(
+        "shard", "key", decode(F.try_element_at("members", F.lit("npy")), payload).alias("_sample")
     )
+    heard = decoded.where(F.col("_sample.samples").isNotNull()).select(
+        "shard", "key", "_sample.sr", "_sample.samples", arrays.codes_matrix("_sample.codes").alias("codes")
+    )
+    crop = arrays.aligned_crop("codes", "samples", "sr", max_s, seed, "shard", "key")
+    cropped = heard.withColumn("_crop", crop).select("shard", "key", "_crop.codes", "_crop.audio", "sr")
     loud = stage(cropped.where(arrays.loud_enough_db("audio")), "loaded")
     drawn = loud.withColumn("_draw", md5_key(seed, "shard", "key"))
     batches = plan_batches(drawn, ["_draw", "shard", "key"], size, hash_block(uniform("_draw")))
     return pad_batches(batches.drop("_draw"))
+
+
+def judged_samples(samples: DataFrame, min_s: float, max_s: float) -> DataFrame:
+    """Decoded evaluation samples with the reason to skip each; those without codes are left out."""
+    payload, _ = arrays.pick_payload("members")
+    decode = sample_decoder(arrays.min_code_count(min_s), arrays.min_code_count(max_s))
+    decoded = samples.select(
+        "shard", "key", payload.isNotNull().alias("_audio"),
+        decode(F.try_element_at("members", F.lit("npy")), payload).alias("_sample"),
+    )
+    read = decoded.select("shard", "key", "_audio", "_sample.*").where(F.col("codes").isNotNull())
+    reason = F.coalesce(
+        arrays.codes_skip_reason("codes"),
+        arrays.duration_skip_reason(F.size("codes") / F.lit(arrays.QUANTIZERS), min_s, max_s),
+        F.when(~F.col("_audio") | F.col("samples").isNull(), F.lit("no_audio")),
+        F.when(~F.coalesce(arrays.loud_enough_amp("samples"), F.lit(False)), F.lit("rms")),
+    )
+    codes = arrays.codes_matrix("codes").alias("codes")
+    return read.select("shard", "key", codes, F.col("samples").alias("audio"), "sr", reason.alias("skip_reason"))
+
+
+def load_evaluation_samples(
+    spark: SparkSession, pattern: str, n: int, min_s: float = 1.0, max_s: float = 10.0, first: int = 8
+) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` valid samples in (shard, key) order, and skip counts up to the last of them.
+
+    Shards are read in order, ``first`` of them and then twice as many each time, until there are
+    enough valid samples: later shards are never opened.
+    """
+    paths, parts, valid, at = expand_shards(pattern), [], 0, 0
+    while not parts or (valid < n and at < len(paths)):
+        some = paths[at : at + first]
+        parts.append(stage(judged_samples(read_shards(spark, some), min_s, max_s), "judged"))
+        valid += parts[-1].where(F.col("skip_reason").isNull()).count()
+        at, first = at + len(some), 2 * first
+    judged = reduce(DataFrame.unionByName, parts)
+    kept = take_valid(judged, F.col("skip_reason").isNull(), ["shard", "key"], n)
+    place = F.struct("shard", "key")
+    last = kept.agg(F.max(place)).first()[0]
+    examined = judged
+    if valid >= n and last is not None:
+        examined = judged.where(place <= F.struct(F.lit(last["shard"]), F.lit(last["key"])))
+    return kept.drop("skip_reason"), skip_report(examined, by=())

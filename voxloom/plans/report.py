@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from voxloom.operators.evaluate import best_run, box_stats, histogram, summarize
+from voxloom.operators.evaluate import best_run, box_stats, eval_grid, histogram, summarize, to_long
+from voxloom.operators.model import map_batches
 from voxloom.session import stage
 from voxloom.sinks.reports import write_raw_metrics, write_summary
 
 
+def evaluate_runs(
+    samples: DataFrame,
+    runs: Sequence[str] | DataFrame,
+    factory: Callable,
+    inputs: Sequence[str],
+    metrics: Sequence[str],
+    order: str | None = None,
+    batch: int = 64,
+) -> DataFrame:
+    """Long metrics of every run on every sample: the model gets (checkpoint, inputs...) tuples.
+
+    ``samples`` has a ``sample_index``. A sample on which a run fails has NULL metrics and its error.
+    """
+    grid = eval_grid(samples, runs, order)
+    outputs = ", ".join(f"{m} double" for m in metrics)
+    keys = ["checkpoint", "ckpt_ord", "sample_index"]
+    scored = map_batches(grid, factory, ["checkpoint", *inputs], outputs, keys, batch)
+    return to_long(scored, [*keys, "error"], metrics)
+
+
 @dataclass
 class Report:
     summary: DataFrame

@@ -20,7 +20,7 @@ def voiced_segments(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(clip_id, sr, s, e, padded) for frames(clip_id, frame_idx, prob) and clips(clip_id, sr, len)."""
-    scored = hysteresis(frames, lo, hi, block_rows=block_rows)
+    scored = hysteresis(frames, lo, hi, block_rows=block_rows, keep_block=True)
     # Staged, as it is read twice: it is a few rows per clip.
     found = stage(segments(islands(scored, block_rows=block_rows), clips, min_voiced), "segments")
     return segments_or_whole(clips, found)

@@ -143,7 +143,8 @@ class ShardSource(DataSource):
         return READ_DDL
 
     def reader(self, schema) -> DataSourceReader:
-        return ShardReader(expand_shards(self.options["path"]))
+        listed = self.options.get("paths")
+        return ShardReader(listed.split("\n") if listed else expand_shards(self.options["path"]))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
@@ -151,7 +152,10 @@ class ShardSource(DataSource):
         return ShardWriter(self.options["path"])
 
 
-def read_shards(spark: SparkSession, pattern: str) -> DataFrame:
-    """(shard, key, members) of every sample in the tars that ``pattern`` names."""
+def read_shards(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+    """(shard, key, members) of every sample in the tars that a pattern or a list of paths names."""
     spark.dataSource.register(ShardSource)
-    return spark.read.format(FORMAT).load(pattern)
+    reader = spark.read.format(FORMAT)
+    if isinstance(pattern, str):
+        return reader.load(pattern)
+    return reader.option("paths", "\n".join(pattern)).load()
