@@ -42,6 +42,22 @@ def test_write_then_read(spark, folder):
     assert got == {f"{i:08d}": str(i).encode() for i in range(50)}
 
 
+def test_a_large_tar_is_shared_by_tasks(spark, folder):
+    df = spark.range(40).select(
+        F.lit("train").alias("split"), F.lit("shard-000000.tar").alias("shard"),
+        F.format_string("%08d", "id").alias("key"),
+        F.create_map(F.lit("a"), F.col("id").cast("string").cast("binary"), F.lit("b"), F.lit(b"b")).alias("members"),
+    )
+    write_shards(df, folder)
+    whole = read_shards(spark, f"file:{folder}/train/*.tar")
+    shared = read_shards(spark, f"{folder}/train/*.tar", split_bytes=9000)
+    assert whole.rdd.getNumPartitions() == 1 and shared.rdd.getNumPartitions() > 3
+    as_set = lambda d: sorted((r["key"], bytes(r["members"]["a"]), len(r["members"])) for r in d.collect())
+    assert as_set(shared) == as_set(whole) and len(as_set(whole)) == 40
+    with pytest.raises(ValueError):
+        expand_shards("hdfs://host/x/*.tar")
+
+
 def test_reader_groups_members_of_a_key(spark, folder):
     with tarfile.open(f"{folder}/a.tar", "w") as tar:
         for name, data in [("d/1.seg.wav", b"x"), ("d/1.NPY", b"y"), ("2.wav", b"z"), ("noext", b"n"), (".hidden", b"h")]:
@@ -121,6 +137,20 @@ def test_a_failing_item_loses_only_itself(spark):
     assert [r["error"] for r in got] == [None] * 3 + ["ValueError: three"] + [None] * 2
 
 
+def test_sources_as_streams(spark, folder):
+    audio = "named_struct('array', array(float(1), float(2)), 'sampling_rate', 44100) AS audio"
+    spark.range(3).selectExpr(audio, "id").write.parquet(f"{folder}/clips/train")
+    spark.range(4).selectExpr("id AS step", "double(id) AS `g/loss`").write.json(f"{folder}/log")
+    nested = clips.read_nested_clips(spark, f"{folder}/clips", streaming=True)
+    log = runs.read_train_log(spark, f"{folder}/log", ["g/loss", "val/loss"], "step bigint", streaming=True)
+    for stream, name, rows in ((nested, "nested_clips", 3), (log, "train_log", 4)):
+        assert stream.isStreaming
+        query = stream.writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(name).count() == rows
+    assert spark.table("nested_clips").first()["sr"] == 44100
+
+
 def test_corrupt_files_are_skipped_and_reported(spark, folder):
     spark.createDataFrame([(bytearray(b"abc"),), (None,)], "audio_data binary").coalesce(1).write.mode("append").parquet(folder)
     with open(f"{folder}/broken.parquet", "wb") as f:

@@ -118,23 +118,24 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "aligned_crop",
-    f"""WITH c AS (SELECT vec_id, embedding[1:16 + 5 * label] AS codes,
-                          list_concat(embedding, embedding)[1:2 * (16 + 5 * label)] AS audio FROM embeddings),
-        d AS (SELECT *, CASE WHEN len(codes) > 25
-                THEN CAST(floor({uniform_sql(11, 'vec_id')} * (len(codes) - 25)) AS BIGINT) ELSE 0 END AS start FROM c),
-        e AS (SELECT vec_id, start, CASE WHEN len(codes) > 25 THEN codes[start + 1:start + 25] ELSE codes END AS codes,
-                CASE WHEN len(codes) > 25 THEN audio[2 * start + 1:2 * start + 50] ELSE audio END AS audio FROM d)
+    f"""WITH c AS (SELECT vec_id, list_concat(embedding, embedding[:64 * (label % 2)]) AS codes,
+                          list_concat(embedding, list_concat(embedding, list_concat(embedding, embedding))[
+                              :64 + 128 * (label % 2)]) AS audio FROM embeddings),
+        d AS (SELECT *, CASE WHEN len(codes) > 75
+                THEN CAST(floor({uniform_sql(11, 'vec_id')} * (len(codes) - 75)) AS BIGINT) ELSE 0 END AS start FROM c),
+        e AS (SELECT vec_id, start, CASE WHEN len(codes) > 75 THEN codes[start + 1:start + 75] ELSE codes END AS codes,
+                CASE WHEN len(codes) > 75 THEN audio[2 * start + 1:2 * start + 150] ELSE audio END AS audio FROM d)
         SELECT vec_id, start, len(codes) AS n_codes, len(audio) AS n_audio,
                CAST(codes[1] AS DOUBLE) AS first_code, CAST(codes[-1] AS DOUBLE) AS last_code,
                CAST(audio[1] AS DOUBLE) AS first_sample, CAST(audio[-1] AS DOUBLE) AS last_sample FROM e""",
 )
 def _(t: Tables) -> DataFrame:
-    n = F.lit(16) + F.lit(5) * F.col("label")
+    times = (F.lit(1) + F.col("label") % 2).cast("int")
     clip = t.embeddings.select(
-        "vec_id", F.slice("embedding", F.lit(1), n).alias("codes"),
-        F.slice(F.concat("embedding", "embedding"), F.lit(1), 2 * n).alias("audio"), F.lit(25).alias("sr"),
+        "vec_id", F.flatten(F.array_repeat("embedding", times)).alias("codes"),
+        F.flatten(F.array_repeat("embedding", 2 * times)).alias("audio"), F.lit(25).alias("sr"),
     )
-    cropped = clip.select("vec_id", arrays.aligned_crop("codes", "audio", "sr", 2.0, 11, "vec_id").alias("c"))
+    cropped = clip.select("vec_id", arrays.aligned_crop("codes", "audio", "sr", 6.0, 11, "vec_id").alias("c"))
     at = lambda c, i: F.element_at(f"c.{c}", i).cast("double")
     return cropped.select(
         "vec_id", "c.start",
@@ -160,15 +161,14 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "align_pair",
-    """SELECT vec_id, least(20 + label, 29 - label) AS n,
-              round(list_sum(list_transform(range(1, least(20 + label, 29 - label) + 1),
-                lambda i: abs(CAST(embedding[i] AS DOUBLE) - CAST(embedding[i + 20] AS DOUBLE)))), 6) AS distance
+    """SELECT vec_id, 64 AS n, round(list_sum(list_transform(range(1, 65),
+                lambda i: abs(CAST(embedding[i] AS DOUBLE) - CAST(embedding[65 - i] AS DOUBLE)))), 6) AS distance
        FROM embeddings""",
 )
 def _(t: Tables) -> DataFrame:
+    times = (F.lit(1) + F.col("label") % 3).cast("int")
     pair = t.embeddings.select(
-        "vec_id", F.slice("embedding", F.lit(1), F.lit(20) + F.col("label")).alias("a"),
-        F.slice("embedding", F.lit(21), F.lit(29) - F.col("label")).alias("b"),
+        "vec_id", F.flatten(F.array_repeat("embedding", times)).alias("a"), F.reverse("embedding").alias("b")
     )
     a, b = arrays.align_pair("a", "b")
     gaps = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
@@ -209,8 +209,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "codes_matrix",
-    """WITH c AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(trunc(CAST(v AS DOUBLE) * 1000) AS BIGINT))[
-                         1:64 - 8 * (label % 3)] AS codes FROM embeddings),
+    """WITH c AS (SELECT vec_id, list_concat(list_transform(embedding, lambda v: CAST(trunc(CAST(v AS DOUBLE) * 1000) AS BIGINT)),
+                         CASE WHEN label % 3 = 0 THEN [CAST(label AS BIGINT)] ELSE [] END) AS codes FROM embeddings),
        r AS (SELECT vec_id, codes, unnest(CASE WHEN len(codes) % 16 = 0 THEN range(len(codes) // 16)
                                                ELSE [NULL] END) AS t FROM c)
        SELECT vec_id, t, CASE WHEN t IS NULL THEN 'bad_shape' END AS skip_reason,
@@ -220,10 +220,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     whole = F.transform("embedding", lambda v: (v.cast("double") * 1000).cast("int"))
-    flat = t.embeddings.select(
-        "vec_id", F.slice(whole, F.lit(1), F.lit(64) - F.lit(8) * (F.col("label") % 3)).alias("codes")
-    )
-    rows = flat.select(
+    extra = F.when(F.col("label") % 3 == 0, F.array(F.col("label"))).otherwise(F.array().cast("array<int>"))
+    rows = t.embeddings.select("vec_id", F.concat(whole, extra).alias("codes")).select(
         "vec_id", arrays.codes_skip_reason("codes").alias("skip_reason"),
         F.posexplode_outer(arrays.codes_matrix("codes")).alias("t", "row"),
     )
@@ -410,25 +408,26 @@ def _(t: Tables) -> DataFrame:
     "materialize_chunks",
     timeline_sql(
         """SELECT CAST(label AS VARCHAR) AS lane, vec_id AS seq, vec_id AS clip_id,
-                  CAST(20 + vec_id % 45 AS BIGINT) AS len FROM embeddings""",
-        48, 5,
+                  CAST(64 * (1 + vec_id % 3) AS BIGINT) AS len FROM embeddings""",
+        100, 4,
     )
     + """, spots AS (SELECT lane, clip_id, j, s + j AS spot FROM (
              SELECT lane, clip_id, s, unnest(range(len)) AS j FROM placed)),
-         filled AS (SELECT lane, spot, CAST(embedding[j + 1] AS DOUBLE) AS v
+         filled AS (SELECT lane, spot, CAST(embedding[j % 64 + 1] AS DOUBLE) AS v
                     FROM spots JOIN embeddings ON vec_id = clip_id),
-         grid AS (SELECT lane, unnest(range(48 * CAST(ceil(max(e) / 48) AS BIGINT))) AS spot FROM placed GROUP BY lane)
-       SELECT lane, spot // 48 AS chunk, spot % 48 AS pos, coalesce(v, 0) AS value
+         grid AS (SELECT lane, unnest(range(100 * CAST(ceil(max(e) / 100) AS BIGINT))) AS spot FROM placed GROUP BY lane)
+       SELECT lane, spot // 100 AS chunk, spot % 100 AS pos, coalesce(v, 0) AS value
        FROM grid LEFT JOIN filled USING (lane, spot)""",
 )
 def _(t: Tables) -> DataFrame:
-    n = (F.lit(20) + F.col("vec_id") % 45).cast("int")
+    times = (F.lit(1) + F.col("vec_id") % 3).cast("int")
     signals = t.embeddings.select(
         F.col("label").cast("string").alias("lane"), F.col("vec_id").alias("seq"), F.col("vec_id").alias("clip_id"),
-        n.cast("bigint").alias("len"), F.slice("embedding", F.lit(1), n).alias("samples"),
+        (F.size("embedding") * times).cast("bigint").alias("len"),
+        F.flatten(F.array_repeat("embedding", times)).alias("samples"),
     )
-    placed = assemble.timeline(signals.drop("samples"), 48, 5)
-    chunks = assemble.materialize_chunks(assemble.chunk_slices(placed, 48), signals, 48)
+    placed = assemble.timeline(signals.drop("samples"), 100, 4)
+    chunks = assemble.materialize_chunks(assemble.chunk_slices(placed, 100), signals, 100)
     return exploded(chunks, ["lane", "chunk"], "samples")
 
 
@@ -559,22 +558,22 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "pad_batches",
-    """WITH r AS (SELECT vec_id, vec_id // 8 AS batch_id, vec_id % 8 AS pos, 1 + label % 4 AS code_len,
-                         embedding[1:10 + vec_id % 50] AS audio, embedding FROM embeddings),
+    """WITH r AS (SELECT vec_id, vec_id // 8 AS batch_id, vec_id % 8 AS pos, 4 * (1 + label % 4) AS code_len,
+                         64 * (1 + vec_id % 3) AS audio_len, embedding FROM embeddings),
        w AS (SELECT *, max(code_len) OVER (PARTITION BY batch_id) AS codes_padded,
-                    max(len(audio)) OVER (PARTITION BY batch_id) AS audio_padded FROM r)
-       SELECT vec_id, batch_id, pos, code_len, len(audio) AS audio_len, codes_padded, audio_padded,
-              round(list_sum(list_transform(audio, lambda v: CAST(v AS DOUBLE))), 6) AS audio_sum,
-              CASE WHEN len(audio) = audio_padded THEN CAST(audio[-1] AS DOUBLE) ELSE 0 END AS last_sample,
-              CASE WHEN code_len = codes_padded THEN CAST(trunc(CAST(embedding[16 * code_len] AS DOUBLE) * 1000) AS BIGINT)
+                    max(audio_len) OVER (PARTITION BY batch_id) AS audio_padded FROM r)
+       SELECT vec_id, batch_id, pos, code_len, audio_len, codes_padded, audio_padded,
+              round((1 + vec_id % 3) * list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) AS audio_sum,
+              CASE WHEN audio_len = audio_padded THEN CAST(embedding[-1] AS DOUBLE) ELSE 0 END AS last_sample,
+              CASE WHEN code_len = codes_padded THEN CAST(trunc(CAST(embedding[64] AS DOUBLE) * 1000) AS BIGINT)
                    ELSE 0 END AS last_code FROM w""",
 )
 def _(t: Tables) -> DataFrame:
     whole = F.transform("embedding", lambda v: (v.cast("double") * 1000).cast("int"))
+    repeated = lambda c, n: F.flatten(F.array_repeat(c, (F.lit(1) + n).cast("int")))
     samples = t.embeddings.select(
-        "vec_id",
-        arrays.codes_matrix(F.slice(whole, F.lit(1), F.lit(16) * (F.lit(1) + F.col("label") % 4))).alias("codes"),
-        F.slice("embedding", F.lit(1), (F.lit(10) + F.col("vec_id") % 50).cast("int")).alias("audio"),
+        "vec_id", arrays.codes_matrix(repeated(whole, F.col("label") % 4)).alias("codes"),
+        repeated("embedding", F.col("vec_id") % 3).alias("audio"),
     )
     padded = batches.pad_batches(batches.plan_batches(samples, ["vec_id"], 8, value_block("vec_id")))
     big = lambda c: F.col(c).cast("bigint").alias(c)

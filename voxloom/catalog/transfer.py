@@ -158,18 +158,18 @@ def _(t: Tables) -> DataFrame:
 
 
 _EVALUATION_SQL = """
-    WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN 'bad_shape' WHEN 10 + label < 12 THEN 'duration'
+    WITH s AS (SELECT vec_id, label, CASE WHEN vec_id % 13 = 0 THEN 'bad_shape' WHEN 4 * (1 + label) < 12 THEN 'duration'
                       WHEN vec_id % 11 = 0 THEN 'no_audio' WHEN vec_id % 7 = 0 THEN 'rms' END AS skip_reason
                FROM embeddings),
     k AS (SELECT vec_id, label FROM s WHERE skip_reason IS NULL ORDER BY vec_id LIMIT 100)"""
 
 
 def _evaluation_shards(t: Tables) -> str:
-    """Shards in which some samples are ragged, short, without audio or silent."""
-    long = F.flatten(F.array_repeat(_code_column(), 8))
-    n = F.lit(16) * (F.lit(10) + F.col("label")) + F.when(F.col("vec_id") % 13 == 0, 3).otherwise(0)
+    """Shards of all vectors, in which some samples are ragged, short, without audio or silent."""
+    codes = F.flatten(F.array_repeat(_code_column(), F.lit(1) + F.col("label")))
+    extra = F.when(F.col("vec_id") % 13 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     quiet = F.transform("embedding", lambda v: F.when(F.col("vec_id") % 7 == 0, F.lit(0.0)).otherwise(v).cast("float"))
-    given = t.embeddings.select("vec_id", "label", F.slice(long, F.lit(1), n).alias("codes"), quiet.alias("audio"))
+    given = t.embeddings.select("vec_id", F.concat(codes, extra).alias("codes"), quiet.alias("audio"))
     wav = F.when(F.col("vec_id") % 11 != 0, wav_bytes(arrays.pcm16("audio"), F.lit(48000)))
     both = given.select("vec_id", wav.alias("wav"), npy_bytes("codes").alias("npy"))
     members = F.map_filter(F.create_map(F.lit("wav"), F.col("wav"), F.lit("npy"), F.col("npy")), lambda k, v: v.isNotNull())
@@ -181,7 +181,7 @@ def _evaluation_shards(t: Tables) -> str:
 
 @query(
     "load_evaluation_samples",
-    _EVALUATION_SQL + " SELECT printf('%08d', vec_id) AS key, 10 + label AS num_codes, 64 AS n_audio, 48000 AS sr FROM k",
+    _EVALUATION_SQL + " SELECT printf('%08d', vec_id) AS key, 4 * (1 + label) AS num_codes, 64 AS n_audio, 48000 AS sr FROM k",
 )
 def _(t: Tables) -> DataFrame:
     kept, _ = corpus.load_evaluation_samples(t.spark, _evaluation_shards(t), 100, first=1)

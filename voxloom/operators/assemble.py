@@ -10,14 +10,12 @@ position of every block is walked back down. Only (seq, length) metadata takes p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import bind, zeros
-from voxloom.operators.scan import BLOCK, BLOCK_ROWS, value_block
+from voxloom.operators.scan import BLOCK, BLOCK_ROWS, dense_index, value_block
 from voxloom.session import stage
 
 FAN = 64
@@ -53,24 +51,22 @@ def _compose(first: dict[int, int], second: dict[int, int], chunk: int) -> dict[
     return both
 
 
-def _by_block(pdf: pd.DataFrame) -> Iterator[tuple[int, dict[int, int]]]:
-    for block, rows in pdf.groupby(BLOCK, sort=True):
-        yield int(block), dict(zip(rows["residue"].tolist(), rows["advance"].tolist()))
-
-
 def _entries(advances: DataFrame, levels: int, chunk: int, fan: int, start: DataFrame | None) -> DataFrame:
     """Entry position of every block, from the advances of the blocks."""
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         at, rows = int(pdf["entry"].iloc[0]), []
-        for block, advance in _by_block(pdf):
+        for block, found in pdf.groupby(BLOCK, sort=True):
             rows.append((pdf["lane"].iloc[0], block, at))
-            at += advance.get(at % chunk, advance[GENERIC])
+            residue, advance = found["residue"].to_numpy(), found["advance"].to_numpy()
+            special = advance[residue == at % chunk]
+            at += int(special[0] if len(special) else advance[residue == GENERIC][0])
         return pd.DataFrame(rows, columns=["lane", BLOCK, "entry"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
-        for _, advance in _by_block(pdf):
+        for _, found in pdf.groupby(BLOCK, sort=True):
+            advance = dict(zip(found["residue"].tolist(), found["advance"].tolist()))
             whole = advance if whole is None else _compose(whole, advance, chunk)
         return pd.DataFrame(
             {
@@ -109,7 +105,8 @@ def timeline(
     """Place ``pieces(lane, seq, clip_id, len)``: adds bigint ``start`` and ``end`` per lane.
 
     ``seq`` is an integer, unique in its lane. ``start(lane, start)`` optionally gives the position
-    at which each lane goes on.
+    at which each lane goes on. A lane is cut into blocks of ``block_rows`` pieces; only lanes of
+    more than one block are composed.
     """
     if chunk <= 0 or gap < 0:
         raise ValueError("the chunk length must be positive and the gap must not be negative")
@@ -118,14 +115,14 @@ def timeline(
         F.col("seq").cast("bigint").alias("seq"),
         F.col("clip_id").cast("bigint").alias("clip_id"),
         F.col("len").cast("bigint").alias("len"),
-        value_block("seq", block_rows).alias(BLOCK),
     )
-    # Read two or three times below; staged, it is computed once.
-    blocked = stage(metadata, "pieces")
-    low, high = blocked.agg(F.min(BLOCK), F.max(BLOCK)).first()
+    ranked = dense_index(metadata, ["seq", "clip_id"], "_rank", within=["lane"], block=value_block("seq", block_rows))
+    # Read several times below; staged, it is computed once.
+    blocked = stage(ranked.withColumn(BLOCK, value_block("_rank", block_rows)).drop("_rank"), "pieces")
+    top = blocked.agg(F.max(BLOCK)).first()[0] or 0
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        advance = _advances(pdf.sort_values("seq")["len"].tolist(), chunk, gap)
+        advance = _advances(pdf.sort_values(["seq", "clip_id"])["len"].tolist(), chunk, gap)
         return pd.DataFrame(
             {
                 "lane": pdf["lane"].iloc[0],
@@ -136,7 +133,7 @@ def timeline(
         )
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("seq")
+        ordered = pdf.sort_values(["seq", "clip_id"])
         at, starts, ends = int(pdf["entry"].iloc[0]), [], []
         for n in ordered["len"].tolist():
             begin = at + (gap if at % chunk else 0)
@@ -145,16 +142,17 @@ def timeline(
             ends.append(at)
         return ordered.assign(start=starts, end=ends)[["lane", "seq", "clip_id", "len", "start", "end"]]
 
-    if low == high:  # also an empty frame: every lane is one block
-        entered = _with_start(blocked, start)
-    else:
+    entered = _with_start(blocked, start)
+    if top > 0:
         levels, reach = 0, fan
-        while high // reach != low // reach:
+        while top >= reach:
             levels, reach = levels + 1, reach * fan
-        # Blocks that share one group at level 0 still need a single walk per lane.
-        advances = blocked.groupBy("lane", BLOCK).applyInPandas(summarize, _ADVANCE)
-        entries = _entries(stage(advances, "timeline-blocks"), levels, chunk, fan, start)
-        entered = blocked.join(entries, ["lane", BLOCK])
+        long = stage(blocked.where(F.col(BLOCK) > 0).select("lane").distinct(), "long-lanes")
+        cut = blocked.join(long, "lane", "left_semi")
+        advances = stage(cut.groupBy("lane", BLOCK).applyInPandas(summarize, _ADVANCE), "timeline-blocks")
+        entries = _entries(advances, levels, chunk, fan, start).withColumnRenamed("entry", "_later")
+        joined = entered.join(entries, ["lane", BLOCK], "left")
+        entered = joined.withColumn("entry", F.coalesce("_later", "entry")).drop("_later")
     return entered.groupBy("lane", BLOCK).applyInPandas(
         place, "lane string, seq bigint, clip_id bigint, len bigint, start bigint, end bigint"
     )

@@ -102,9 +102,10 @@ def order_statistics(
 ) -> DataFrame:
     """The value at each 0-based rank: (keys..., rank, value) for ``targets(keys..., rank)``.
 
-    ``values(keys..., value)`` holds no NULL; ``span`` is ``value_span`` per key if already at hand. A group of more than ``direct_rows`` rows is counted
-    in equal bins of its range (combined map-side), and only the bins that hold a wanted rank are
-    looked at again, until a group is small. Every row is counted, so the result is exact.
+    ``values(keys..., value)`` holds no NULL; ``span`` is ``value_span`` per key, if already at hand.
+    A group of more than ``direct_rows`` rows is counted in equal bins of its range (combined
+    map-side), and only the bins that hold a wanted rank are looked at again, until a group is
+    small. Every row is counted, so the result is exact.
     """
     v = F.col("value")
     if span is None:

@@ -1,6 +1,8 @@
 """Tar shards as a Spark data source, for reading and writing.
 
-Reading makes one input partition per tar and streams its members. Writing expects rows clustered
+Reading streams the members of each tar; a large plain tar is shared by several tasks, each of which
+seeks past the samples of the others. Paths are those of a file system that all executors mount.
+Writing expects rows clustered
 by (split, shard), as :func:`voxloom.sinks.shards.write_shards` arranges; a task writes temporary
 files and the commit renames them, so a lost or repeated task leaves no partial shard behind.
 """
@@ -23,14 +25,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 FORMAT = "voxshards"
 READ_DDL = "shard string, key string, members map<string,binary>"
 FLUSH_BYTES = 32 << 20
+SPLIT_BYTES = 1 << 30
 _RANGE = re.compile(r"\{(\d+)\.\.(\d+)\}")
 _ARROW = pa.schema(
     [("shard", pa.string()), ("key", pa.string()), ("members", pa.map_(pa.string(), pa.binary()))]
 )
 
 
+def mounted(path: str) -> str:
+    """A plain path; other schemes than ``file:`` cannot be opened by ``tarfile``."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file":
+        return "/" + rest.lstrip("/")
+    if colon and rest.startswith("//"):
+        raise ValueError(f"shards need a mounted path, not {path}")
+    return path
+
+
 def expand_shards(pattern: str) -> list[str]:
     """Sorted tar paths of a glob, or of a ``{000000..000010}`` range in the order given."""
+    pattern = mounted(pattern)
     found = _RANGE.search(pattern)
     if found:
         low, high = found.groups()
@@ -47,13 +61,23 @@ def expand_shards(pattern: str) -> list[str]:
 
 @dataclass
 class ShardPartition(InputPartition):
+    """Every ``of``-th sample of a tar, beginning with the sample number ``part``."""
+
     path: str
+    part: int
+    of: int
+
+
+def _partitions(path: str, split_bytes: int) -> list[ShardPartition]:
+    """Only an uncompressed tar can be shared, as its readers skip by seeking."""
+    of = max(1, -(-os.path.getsize(path) // split_bytes)) if path.endswith(".tar") else 1
+    return [ShardPartition(path, i, of) for i in range(of)]
 
 
-def _samples(path: str) -> Iterator[tuple[str, dict[str, bytes]]]:
+def _samples(share: ShardPartition) -> Iterator[tuple[str, dict[str, bytes]]]:
     """Adjacent members of one key; the extension is all after the first dot of the file name."""
-    key, members = None, {}
-    with tarfile.open(path, "r|*") as tar:
+    key, members, number = None, {}, -1
+    with tarfile.open(share.path, "r:" if share.of > 1 else "r|*") as tar:
         for member in tar:
             folder, _, base = member.name.rpartition("/")
             stem, dot, ext = base.partition(".")
@@ -63,22 +87,24 @@ def _samples(path: str) -> Iterator[tuple[str, dict[str, bytes]]]:
             if this != key:
                 if members:
                     yield key, members
-                key, members = this, {}
-            members[ext.lower()] = tar.extractfile(member).read()
+                key, members, number = this, {}, number + 1
+            if number % share.of == share.part:
+                members[ext.lower()] = tar.extractfile(member).read()
+            tar.members = []  # headers seen are not kept
     if members:
         yield key, members
 
 
 class ShardReader(DataSourceReader):
-    def __init__(self, paths: Sequence[str]):
-        self.paths = paths
+    def __init__(self, paths: Sequence[str], split_bytes: int = SPLIT_BYTES):
+        self.paths, self.split_bytes = paths, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [ShardPartition(p) for p in self.paths]
+        return [p for path in self.paths for p in _partitions(path, self.split_bytes)]
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
         shard, rows, size = os.path.basename(partition.path), [], 0
-        for key, members in _samples(partition.path):
+        for key, members in _samples(partition):
             rows.append({"shard": shard, "key": key, "members": list(members.items())})
             size += sum(map(len, members.values()))
             if size >= FLUSH_BYTES:
@@ -144,18 +170,21 @@ class ShardSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         listed = self.options.get("paths")
-        return ShardReader(listed.split("\n") if listed else expand_shards(self.options["path"]))
+        paths = listed.split("\n") if listed else expand_shards(self.options["path"])
+        return ShardReader(paths, int(self.options.get("splitBytes", SPLIT_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("shards are only appended")
-        return ShardWriter(self.options["path"])
+        return ShardWriter(mounted(self.options["path"]))
 
 
-def read_shards(spark: SparkSession, pattern: str | Sequence[str]) -> DataFrame:
+def read_shards(
+    spark: SparkSession, pattern: str | Sequence[str], split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
     """(shard, key, members) of every sample in the tars that a pattern or a list of paths names."""
     spark.dataSource.register(ShardSource)
-    reader = spark.read.format(FORMAT)
+    reader = spark.read.format(FORMAT).option("splitBytes", split_bytes)
     if isinstance(pattern, str):
         return reader.load(pattern)
     return reader.option("paths", "\n".join(pattern)).load()
