@@ -24,7 +24,7 @@ def runs():
     }
 
 
-@pytest.mark.parametrize("direct_rows,bins", [(1 << 20, 4096), (5, 4), (1, 2), (0, 16)])
+@pytest.mark.parametrize("direct_rows,bins", [(1 << 20, 4096), (5, 32), (1, 64)])
 def test_summary_is_exact(spark, direct_rows, bins):
     given = runs()
     rows = evaluate.summarize(metrics_of(spark, given), direct_rows=direct_rows, bins=bins).collect()

@@ -130,7 +130,7 @@ def order_statistics(
     inside = [*keys, level]
     picked = stage(_pick(counts, targets, keys, level).select(*inside, "rank", "_before"), "value-bins")
     wanted = stage(picked.select(*inside).distinct(), "value-bins")
-    rest = binned.join(wanted, inside, "left_semi")
+    rest = stage(binned.join(wanted, inside, "left_semi"), "value-rest")  # later rounds read only this
     deeper = picked.select(*inside, (F.col("rank") - F.col("_before")).alias("rank"))
     found = order_statistics(rest, deeper.distinct(), inside, direct_rows, bins)
     renamed = found.withColumnRenamed("rank", "_deeper")
