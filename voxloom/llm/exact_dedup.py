@@ -4,9 +4,9 @@ Index entries (hash key, document, length, digest) are written to the shared fol
 key prefixes is grown over the distinct keys: buckets that hold more than ``capacity`` keys are split by one
 more bit, round by round, and the directory doubles with each round. A bucket is a range of keys and has one owner task.
 
-Texts are read again only where a key has several entries. They are combined before any exchange by
-(bucket, key, text, length), so a group of copies of any size reaches its owner as a few rows per map task. The owner
-chains the different texts of one key (a hash collision) in byte order; texts are equal only if their bytes are.
+Texts are compared by their bytes: they are grouped by (key, text, length), which combines the copies that a map task
+holds before the exchange, so a group of copies of any size travels as a few rows per map task. The owner of a bucket
+chains the different texts of one key (a hash collision) in the order of their SHA-256, without the texts.
 
 Defined cases: a null text counts as empty; a null id sorts after all other ids; rows that repeat an id and
 its text are counted one by one, all carry the same result, and :func:`deduplicate` returns one of them; an
@@ -35,7 +35,7 @@ def _normalised(docs: DataFrame, id_col: str, text_col: str, key_bits: int) -> D
     """(id, chars, norm, key) of each row. ``key_bits`` below 64 forces collisions, for tests."""
     text = whole(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.length(text).alias("chars"), without_white(text).alias("norm"))
-    mask = -1 << (KEY_BITS - key_bits)
+    mask = (-1 << (KEY_BITS - key_bits)) if key_bits else 0
     return rows.withColumn("key", F.xxhash64("norm").bitwiseAND(F.lit(mask).cast("bigint")))
 
 
@@ -77,32 +77,20 @@ def copies(
     rows = _normalised(docs, id_col, text_col, key_bits)
     entries = stage(rows.select("id", "key", "chars", F.unhex(F.sha2("norm", 256)).alias("digest")), "index")
     keys = stage(entries.groupBy("key").agg(F.count("*").alias("n")), "keys")
+    # Equal bytes meet here; a group of copies has been combined in each map task before.
+    pages = rows.groupBy("key", "norm", "chars").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    pages = pages.select("key", F.unhex(F.sha2("norm", 256)).alias("digest"), "chars", "n", "least")
     shared = with_bucket(keys.filter("n > 1").select("key"), directory(keys, capacity))
-
-    pages = rows.join(shared, "key").groupBy("bucket", "key", "norm", "chars").agg(
-        F.count("*").alias("n"), F.min("id").alias("least")
-    )
-    owner = Window.partitionBy("bucket", "key")
-    chained = pages.withColumn("chain", F.dense_rank().over(owner.orderBy("norm")))
+    owned = stage(pages, "pages").join(shared, "key")
+    chain = F.dense_rank().over(Window.partitionBy("bucket", "key").orderBy("digest"))
     best = F.max_by(F.struct("least", "chars"), "chars")
-    classes = chained.groupBy("bucket", "key", "chain").agg(
-        F.sum("n").alias("group_size"), best.alias("best"), F.first("norm").alias("norm")
+    classes = owned.withColumn("chain", chain).groupBy("bucket", "key", "chain", "digest").agg(
+        F.sum("n").alias("group_size"), best.alias("best")
     )
-    links = F.max("chain").over(owner)
-    classes = classes.withColumn("links", links).select(
-        "key", "links", F.col("best.least").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size",
-        F.when(F.col("links") > 1, F.col("norm")).alias("norm"),
-    )
-    classes = stage(classes, "classes")
-
-    single = classes.filter("links = 1").drop("norm", "links")
-    collided = classes.filter("links > 1").drop("links")
-    if collided.isEmpty():
-        found = entries.join(single, "key", "left")
-    else:
-        plain = entries.join(collided, "key", "left_anti").join(single, "key", "left")
-        again = rows.join(collided, ["key", "norm"]).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-        found = plain.unionByName(again.drop("norm"))
+    classes = classes.select(
+        "key", "digest", F.col("best.least").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size"
+    )
+    found = entries.join(stage(classes, "classes"), ["key", "digest"], "left")
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     keep_chars = F.when(alone, F.col("chars")).otherwise(F.col("keep_chars"))
