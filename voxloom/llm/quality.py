@@ -40,10 +40,7 @@ def repeated_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def marked(s: Column) -> Column:
-            twice = lambda x, j: F.coalesce(
-                (F.when(j > 0, F.get(s, j - 1)["h"]) == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]),
-                F.when(j > 0, F.get(s, j - 1)["h"]) == x["h"], F.get(s, j + 1)["h"] == x["h"], F.lit(False),
-            )
+            twice = lambda x, j: same(F.get(s, j - 1)["h"], x["h"]) | same(F.get(s, j + 1)["h"], x["h"])
             return F.sort_array(F.transform(F.filter(s, twice), lambda x: x["i"]))
 
         def total(starts: Column) -> Column:
