@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from voxloom.llm import exact_dedup, quality, token_counts, warc
+from voxloom.llm import byte_bpe, exact_dedup, quality, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,6 +68,12 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("text_key", "host")
 
 
+@query("op8_byte_bpe")
+def _byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(_table(spark, folder, "documents"), path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
 @query("op9_exact_dedup", r"""
 WITH docs AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 ranked AS (
