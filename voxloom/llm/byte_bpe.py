@@ -64,12 +64,12 @@ class Codec:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one word."""
+    def fold(self, word: Column, ranks_of: Column) -> Column:
+        """Ids of one word; ``ranks_of`` is the rank map, bound once by the caller so that the plan holds it once."""
 
         def pair(symbols: Column, i: Column) -> Column:
             """Rank of symbols i and i+1; null if they do not merge or one is missing."""
-            return F.when((i >= 0) & (i + 1 < F.size(symbols)), _look_up(self.ranks, F.concat(F.get(symbols, i), F.get(symbols, i + 1))))
+            return F.when((i >= 0) & (i + 1 < F.size(symbols)), _look_up(ranks_of, F.concat(F.get(symbols, i), F.get(symbols, i + 1))))
 
         def step(state: Column, _: Column) -> Column:
             symbols, ranks = state["symbols"], state["ranks"]
@@ -97,23 +97,23 @@ class Codec:
         def folded(code: Column) -> Column:
             count = (F.length(code) / 2).cast("int")
             symbols = F.transform(indices(count), lambda i: F.substring(code, 2 * i + 1, F.lit(2)))
-            ids = lambda end: F.transform(end["symbols"], lambda s: _look_up(self.ranks, s))
+            ids = lambda end: F.transform(end["symbols"], lambda s: _look_up(ranks_of, s))
             return bind(F.aggregate(indices(count - 1), bind(symbols, start), step), ids)
 
-        return bind(F.lower(F.hex(F.encode(word, "UTF-8"))), lambda code: bind(_look_up(self.ranks, code), lambda own: F.when(
+        return bind(F.lower(F.hex(F.encode(word, "UTF-8"))), lambda code: bind(_look_up(ranks_of, code), lambda own: F.when(
             own.isNotNull(), F.array(own)
         ).otherwise(folded(code))))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of the pieces of ``ids``, one after the other."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""))
+        return bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
 def common_words(rows: DataFrame, codec: Codec, count: int = COMMON) -> list[tuple[str, list[int]]]:
     """The most frequent distinct words of a ``text`` column with their ids; at most ``count``."""
     words = rows.select(F.explode(codec.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = stage(words.orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
-    return [tuple(r) for r in stage(top.select("word", codec.fold(F.col("word")).alias("ids")), "common-ids").collect()]
+    return [tuple(r) for r in stage(top.select("word", bind(codec.ranks, lambda ranks: codec.fold(F.col("word"), ranks)).alias("ids")), "common-ids").collect()]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
@@ -122,10 +122,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
     known = _bucketed(common_words(rows, codec, common), "array<int>")
 
-    def ids_of(word: Column) -> Column:
-        return F.coalesce(_look_up(known, word), codec.fold(word))
+    def ids_of(known: Column, ranks: Column) -> Column:
+        each = lambda word: F.coalesce(_look_up(known, word), codec.fold(word, ranks))
+        return F.flatten(F.transform(codec.words(F.col("text")), each))
 
-    return rows.select("id", "text", F.flatten(F.transform(codec.words(F.col("text")), ids_of)).alias("ids"))
+    return rows.select("id", "text", bind(codec.ranks, lambda ranks: bind(known, lambda k: ids_of(k, ranks))).alias("ids"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
