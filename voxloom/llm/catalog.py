@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from voxloom.llm import byte_bpe, exact_dedup, packing, quality, token_counts, warc
+from voxloom.llm import byte_bpe, exact_dedup, packing, quality, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +89,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def _exact(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.copies(_table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_suffix_dedup")
+def _suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.judge(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
