@@ -330,7 +330,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
                 yield _batch(schema, [[anchor] * n, [name] * n, list(range(before, before - n, -1)), digests])
 
     rows = stage(contexts.mapInArrow(strings, schema), "strings")
-    twice = rows.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
+    twice = stage(rows.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string"), "twice")
     found = rows.join(twice, "string").groupBy("anchor", "context")
     return found.agg(F.max("before").alias("before"), (F.lit(length) - F.min("before")).alias("after"))
 
@@ -339,15 +339,15 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """(_id, _key, spans) of the texts that hold repeated strings; spans are (from, to) in bytes and may overlap."""
     found = stage(anchors(docs, id_col, text_col, length, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
-    shared = shared.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
-    shared = stage(found.join(shared, "anchor"), "shared-anchors")
+    shared = stage(shared.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "shared")
+    shared = stage(found.join(shared, "anchor"), "shared-anchors")  # a plain join of two tables: a hot anchor is split
 
     contexts = stage(shared.groupBy("anchor", "context", "mixed").agg(
         F.count("*").alias("n"), F.first(F.struct("id", "text_key", "at", "before", "after")).alias("of")
     ), "contexts")
     copied = contexts.filter("n > 1").select("anchor", "context", "of.before", "of.after")
     mixed = contexts.filter("mixed")
-    crowds = mixed.groupBy("anchor").agg(F.count("*").alias("crowd"))
+    crowds = stage(mixed.groupBy("anchor").agg(F.count("*").alias("crowd")), "crowds")
     one = F.struct("anchor", "context", "of.at", "of.before", "of.after", "crowd")
     wanted = mixed.join(crowds, "anchor").groupBy(F.col("of.id").alias("_id"), F.col("of.text_key").alias("_key")).agg(F.collect_list(one).alias("wanted"))
     cut = stage(_contexts(_keyed(docs, id_col, text_col), stage(wanted, "wanted")), "cut")
