@@ -154,21 +154,50 @@ def labels(found: DataFrame) -> DataFrame:
             return now
 
 
+def _needed(n: Column, part: int) -> Column:
+    """Columns of its prefix that a class must share with others to have a link."""
+    return F.lit(1) + F.floor(F.ceil(n * part / OF - F.lit(1e-9)) / 24)
+
+
 def _pivot_pairs(cells: DataFrame) -> DataFrame:
-    """(a, b): the pivot of each column with the other rows of that column, where sizes allow a link."""
-    crowd = cells.groupBy("key").agg(F.count("*").alias("crowd"))
-    weight = cells.join(crowd, "key").groupBy("sig").agg((F.sum("crowd") / F.first("k")).alias("weight"))
-    weighed = stage(cells.join(weight, "sig"), "weighed")
-    best = F.max_by(F.struct("sig", "n"), F.struct("weight", "sig")).alias("p")
-    pivots = stage(weighed.groupBy("key").agg(best).select("key", F.col("p.sig").alias("a"), F.col("p.n").alias("m")), "pivots")
-    return weighed.join(pivots, "key").filter("a != sig").select("a", F.col("sig").alias("b"), "n", "m").distinct()
-
-
-def _blocks(cells: DataFrame, pivots: DataFrame, rows: int) -> DataFrame:
-    """(sig, block): rows that share a pivot are dealt into blocks of about ``rows``."""
-    first = pivots.groupBy(F.col("b").alias("sig")).agg(F.min("a").alias("group"))
-    own = cells.select("sig").distinct().join(first, "sig", "left").select("sig", F.coalesce("group", "sig").alias("group"))
-    own = stage(own, "groups")
+    """(a, b, hits): the pivot of each column with the other rows of that column, and in how many columns."""
+    best = F.max(F.struct("weight", "sig")).alias("p")
+    pivots = cells.groupBy("key").agg(best, F.count("*").alias("rows")).filter("rows > 1")
+    pivots = stage(pivots.select("key", F.col("p.sig").alias("a")), "pivots")
+    met = cells.select("key", F.col("sig").alias("b")).join(pivots, "key").filter("a != b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("hits"))
+
+
+def _within_bounds(pairs: DataFrame, rows: DataFrame, part: int) -> DataFrame:
+    """The pairs whose sizes and shared prefix columns allow a link; ``rows`` has sig, n, k, last, keys."""
+    sides = [rows.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "k", "last", "keys")]) for s in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    least = overlap(F.col("n_a"), F.col("n_b"), part)
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("k_a")).otherwise(F.col("n_b") - F.col("k_b"))
+    need = F.greatest(least - rest, F.lit(1) + F.floor(F.least("n_a", "n_b") / 24))
+    fits = OF * F.least("n_a", "n_b") >= part * F.greatest("n_a", "n_b")
+    return joined.filter(fits).filter(F.size(F.array_intersect("keys_a", "keys_b")) >= need).select(*pairs.columns)
+
+
+def _open_cells(cells: DataFrame, part: int) -> DataFrame:
+    """The cells of columns with several labels, without classes that share too few such columns."""
+    for _ in range(2):  # dropping a class may close a column; twice is enough to be worth it
+        mixed = cells.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+        cells = stage(cells.join(stage(mixed, "mixed"), "key"), "open-cells")
+        some = cells.groupBy("sig").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+        some = some.filter(F.col("shared") >= _needed(F.col("n"), part)).select("sig")
+        cells = cells.join(stage(some, "enough"), "sig")
+    return stage(cells, "open-cells")
+
+
+def _blocks(cells: DataFrame, pivots: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """(sig, block): rows that meet the pivots of one component most often are dealt into blocks of about ``rows``."""
+    of_pivot = known.withColumnsRenamed({"sig": "a", "label": "group"})
+    met = pivots.join(of_pivot, "a", "left").select(F.col("b").alias("sig"), F.coalesce("group", "a").alias("group"), "hits")
+    met = met.groupBy("sig", "group").agg(F.sum("hits").alias("hits")).groupBy("sig").agg(F.max(F.struct("hits", "group")).alias("m"))
+    own = cells.select("sig", "label").distinct().join(met, "sig", "left")
+    linked = F.when(F.col("label") != F.col("sig"), F.col("label"))
+    own = stage(own.select("sig", F.coalesce(linked, F.col("m.group"), "sig").alias("group")), "groups")
     sizes = own.groupBy("group").agg(F.ceil(F.count("*") / rows).alias("parts"))
     return own.join(sizes, "group").select("sig", F.xxhash64("group", F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("block"))
 
@@ -182,9 +211,8 @@ def _product(cells: DataFrame, part: int) -> DataFrame:
     rows = cells.withColumnRenamed("block", "own").join(meetings, "key").filter("own = one OR own = two")
     schema = "a long, b long"
 
-    def multiply(block) -> list[np.ndarray]:
-        one, two = block[0]
-        key, sig, n, k, last, label, own = (np.array(c) for c in block[1])
+    def multiply(block: list[np.ndarray]) -> list[np.ndarray]:
+        (one, *_), (two, *_), key, sig, n, k, last, label, own = block
         _, first, code = np.unique(sig, return_index=True, return_inverse=True)
         size, rest, last_, label_, own_ = n[first], (n - k)[first], last[first], label[first], own[first]
         rows_ = [np.flatnonzero(own_ == b) for b in (one, two)]
@@ -209,17 +237,23 @@ def _product(cells: DataFrame, part: int) -> DataFrame:
         return [names[i[ok]], names[j[ok]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = None
+        held: list[list[np.ndarray]] = []
+
+        def solved():
+            found = multiply([np.concatenate(c) for c in zip(*held)])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
         for batch in batches:
-            for one, two, *row in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if block is None or block[0] != (one, two):
-                    if block:
-                        yield pa.record_batch([pa.array(c, pa.int64()) for c in multiply(block)], ["a", "b"])
-                    block = ((one, two), [[] for _ in range(7)])
-                for column, value in zip(block[1], row):
-                    column.append(value)
-        if block:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in multiply(block)], ["a", "b"])
+            columns = [batch.column(i).to_numpy() for i in range(9)]
+            new = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)) + 1
+            for piece in zip(*(np.split(c, new) for c in columns)):
+                if held and (held[0][0][0], held[0][1][0]) != (piece[0][0], piece[1][0]):
+                    yield solved()
+                    held = []
+                if len(piece[0]):
+                    held.append(piece)
+        if held:
+            yield solved()
 
     dealt = rows.select("one", "two", "key", "sig", "n", "k", "last", "label", "own").repartition("one", "two")
     return dealt.sortWithinPartitions("one", "two").mapInArrow(run, schema).distinct()
@@ -236,25 +270,26 @@ def components(
         F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
     classes = stage(classes, "classes")
-    spread = classes.select("sig", "n", F.size("prefix").alias("k"), F.array_max("prefix").alias("last"), F.explode("prefix").alias("key"))
-    columns = spread.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).filter("low != high").select("key")
-    cells = stage(spread.join(stage(columns, "columns"), "key"), "cells")
-    needed = F.lit(1) + F.floor(F.ceil(F.col("n") * part / OF - F.lit(1e-9)) / 24)
-    enough = cells.groupBy("sig").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(F.col("shared") >= needed).select("sig")
-    cells = stage(cells.join(stage(enough, "enough"), "sig"), "cells")
+    spread = classes.select("sig", F.explode("prefix").alias("key"))
+    columns = spread.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
+    shared = spread.join(stage(columns, "columns"), "key").groupBy("sig").agg(F.collect_list("key").alias("keys"))
+    info = classes.select("sig", "n", F.size("prefix").alias("k"), F.array_max("prefix").alias("last"))
+    rows_ = stage(shared.filter(F.size("keys") > 0).join(info, "sig").filter(F.size("keys") >= _needed(F.col("n"), part)), "rows")
+    cells = rows_.select("sig", "n", "k", "last", (F.size("keys") / F.col("k")).alias("weight"), F.explode("keys").alias("key"))
 
     pivots = stage(_pivot_pairs(cells), "pivot-pairs")
-    wanted = classes.select("sig", F.col("least").alias("id")).join(cells.select("sig").distinct(), "sig")
-    sets = stage(whole_sets(texts, size, order, stage(wanted, "wanted")), "sets")
-    fits = OF * F.least("n", "m") >= part * F.greatest("n", "m")
-    first = stage(links(pivots.filter(fits).select("a", "b"), sets, part), "first-links")
-    known = labels(first)
-
-    named = cells.join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    left = stage(named.join(stage(mixed, "mixed"), "key"), "open-cells")
-    left = stage(left.join(stage(_blocks(left, pivots, rows), "blocks"), "sig"), "blocked")
-    second = stage(links(stage(_product(left, part), "pairs"), sets, part), "second-links")
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+        wanted = stage(classes.select("sig", F.col("least").alias("id")).join(ends, "sig"), "wanted")
+        return stage(links(pairs.select("a", "b"), stage(whole_sets(texts, size, order, wanted), "sets"), part), name)
+
+    first = similar(stage(_within_bounds(pivots, rows_, part), "bounded-pairs"), "first-links")
+    known = stage(labels(first), "known")
+    named = cells.drop("weight").join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    left = _open_cells(named, part)
+    left = stage(left.join(stage(_blocks(left, pivots, known, rows), "blocks"), "sig"), "blocked")
+    second = similar(stage(_product(left, part), "pairs"), "second-links")
 
     known = stage(labels(first.union(second)), "components")
     least = known.join(classes.select("sig", "least"), "sig").groupBy("label").agg(F.min("least").alias("component_id"))
