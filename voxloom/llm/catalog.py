@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,6 @@ def _exact(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def _suffix(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.judge(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
