@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from voxloom.llm.text import same, whole, without_white
+from voxloom.llm.text import growing, same, whole, without_white
 from voxloom.session import stage
 
 KEY_BITS = 64
@@ -90,7 +90,7 @@ def copies(
     classes = classes.select(
         "key", "digest", F.col("best.least").alias("keep_id"), F.col("best.chars").alias("keep_chars"), "group_size"
     )
-    found = entries.join(stage(classes, "classes"), ["key", "digest"], "left")
+    found = entries.join(growing(stage(classes, "classes")), ["key", "digest"], "left")
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
     keep_chars = F.when(alone, F.col("chars")).otherwise(F.col("keep_chars"))
@@ -111,7 +111,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = whole(F.col(text_col))
     digest = F.sha2(without_white(text), 256)
     on = same(F.col(id_col), F.col("_id")) & (digest == F.col("_digest")) & (F.length(text) == F.col("_chars"))
-    stays = docs.join(gone, on, "left_anti")
+    stays = docs.join(growing(gone), on, "left_anti")
     repeated = verdict.filter("kept").groupBy("id", "text_sha256").count().filter("count > 1")
     if repeated.isEmpty():
         return stays

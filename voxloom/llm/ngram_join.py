@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from voxloom.llm.shingles import Shingler, pieces
-from voxloom.llm.text import same, whole
+from voxloom.llm.text import growing, same, whole
 from voxloom.session import stage
 
 SIZE, PART, OF = 4, 85, 100  # words in an n-gram; similarity PART / OF
@@ -127,7 +127,7 @@ def whole_sets(texts: DataFrame, size: int, hot: tuple[np.ndarray, np.ndarray],
                 done += len(piece)
                 yield pa.record_batch([pa.array([s for s, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.int64()))], ["sig", "columns"])
 
-    joined = texts.join(wanted.withColumnRenamed("id", "_id"), same(F.col("id"), F.col("_id"))).select("sig", "data")
+    joined = texts.join(growing(wanted.withColumnRenamed("id", "_id")), same(F.col("id"), F.col("_id"))).select("sig", "data")
     return joined.mapInArrow(rows, "sig long, columns array<long>").dropDuplicates(["sig"])
 
 
@@ -137,7 +137,7 @@ def links(pairs: DataFrame, sets: DataFrame, part: int) -> DataFrame:
     right = sets.select(F.col("sig").alias("b"), F.col("columns").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return pairs.join(left, "a").join(right, "b").filter(OF * common >= part * union).select("a", "b")
+    return pairs.join(growing(left), "a").join(growing(right), "b").filter(OF * common >= part * union).select("a", "b")
 
 
 def labels(found: DataFrame) -> DataFrame:
@@ -164,14 +164,14 @@ def _pivot_pairs(cells: DataFrame) -> DataFrame:
     best = F.max(F.struct("weight", "sig")).alias("p")
     pivots = cells.groupBy("key").agg(best, F.count("*").alias("rows")).filter("rows > 1")
     pivots = stage(pivots.select("key", F.col("p.sig").alias("a")), "pivots")
-    met = cells.select("key", F.col("sig").alias("b")).join(pivots, "key").filter("a != b")
+    met = cells.select("key", F.col("sig").alias("b")).join(growing(pivots), "key").filter("a != b")
     return met.groupBy("a", "b").agg(F.count("*").alias("hits"))
 
 
 def _within_bounds(pairs: DataFrame, rows: DataFrame, part: int) -> DataFrame:
     """The pairs whose sizes and shared prefix columns allow a link; ``rows`` has sig, n, k, last, keys."""
     sides = [rows.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "k", "last", "keys")]) for s in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    joined = pairs.join(growing(sides[0]), "a").join(growing(sides[1]), "b")
     least = overlap(F.col("n_a"), F.col("n_b"), part)
     rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("n_a") - F.col("k_a")).otherwise(F.col("n_b") - F.col("k_b"))
     need = F.greatest(least - rest, F.lit(1) + F.floor(F.least("n_a", "n_b") / 24))
@@ -183,10 +183,10 @@ def _open_cells(cells: DataFrame, part: int) -> DataFrame:
     """The cells of columns with several labels, without classes that share too few such columns."""
     for _ in range(2):  # dropping a class may close a column; twice is enough to be worth it
         mixed = cells.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-        cells = stage(cells.join(stage(mixed, "mixed"), "key"), "open-cells")
+        cells = stage(cells.join(growing(stage(mixed, "mixed")), "key"), "open-cells")
         some = cells.groupBy("sig").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
         some = some.filter(F.col("shared") >= _needed(F.col("n"), part)).select("sig")
-        cells = cells.join(stage(some, "enough"), "sig")
+        cells = cells.join(growing(stage(some, "enough")), "sig")
     return stage(cells, "open-cells")
 
 
@@ -207,7 +207,7 @@ def _product(cells: DataFrame, part: int) -> DataFrame:
     held = cells.groupBy("key", "block").agg(F.count("*").alias("rows"))
     held = stage(held, "held")
     left, right = held.select("key", F.col("block").alias("one")), held.select("key", F.col("block").alias("two"))
-    meetings = left.join(right, "key").filter("one <= two")
+    meetings = left.join(growing(right), "key").filter("one <= two")
     rows = cells.withColumnRenamed("block", "own").join(meetings, "key").filter("own = one OR own = two")
     schema = "a long, b long"
 
@@ -272,7 +272,7 @@ def components(
     classes = stage(classes, "classes")
     spread = classes.select("sig", F.explode("prefix").alias("key"))
     columns = spread.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1").select("key")
-    shared = spread.join(stage(columns, "columns"), "key").groupBy("sig").agg(F.collect_list("key").alias("keys"))
+    shared = spread.join(growing(stage(columns, "columns")), "key").groupBy("sig").agg(F.collect_list("key").alias("keys"))
     info = classes.select("sig", "n", F.size("prefix").alias("k"), F.array_max("prefix").alias("last"))
     rows_ = stage(shared.filter(F.size("keys") > 0).join(info, "sig").filter(F.size("keys") >= _needed(F.col("n"), part)), "rows")
     cells = rows_.select("sig", "n", "k", "last", (F.size("keys") / F.col("k")).alias("weight"), F.explode("keys").alias("key"))
@@ -286,16 +286,16 @@ def components(
 
     first = similar(stage(_within_bounds(pivots, rows_, part), "bounded-pairs"), "first-links")
     known = stage(labels(first), "known")
-    named = cells.drop("weight").join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    named = cells.drop("weight").join(growing(known), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     left = _open_cells(named, part)
-    left = stage(left.join(stage(_blocks(left, pivots, known, rows), "blocks"), "sig"), "blocked")
+    left = stage(left.join(growing(stage(_blocks(left, pivots, known, rows), "blocks")), "sig"), "blocked")
     second = similar(stage(_product(left, part), "pairs"), "second-links")
 
     known = stage(labels(first.union(second)), "components")
     least = known.join(classes.select("sig", "least"), "sig").groupBy("label").agg(F.min("least").alias("component_id"))
     joined = known.join(least, "label").select("sig", "component_id")
     of_class = classes.select("sig", "least").join(joined, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
-    found = members.select("id", "sig", "n").join(stage(of_class, "of-class"), "sig", "left")
+    found = members.select("id", "sig", "n").join(growing(stage(of_class, "of-class")), "sig", "left")
     return found.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -303,6 +303,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the smallest of their component, with all their columns; one of repeated rows."""
     found = stage(components(docs, id_col, text_col, **options), "components")
     gone = found.filter(~same(F.col("id"), F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    stays = docs.join(gone, same(F.col(id_col), F.col("_id")), "left_anti")
+    stays = docs.join(growing(gone), same(F.col(id_col), F.col("_id")), "left_anti")
     repeated = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     return stays if repeated.isEmpty() else stays.dropDuplicates([id_col, text_col])

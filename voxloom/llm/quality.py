@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from voxloom.functions.arrays import bind, indices
-from voxloom.llm.text import joined_lines, same, whole, without_white, words_of
+from voxloom.llm.text import growing, joined_lines, same, whole, without_white, words_of
 from voxloom.session import stage
 
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -146,5 +146,5 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         F.split(text, "\n"), lambda x: (without_white(x) == "") | ~F.array_contains(c, line_digest(x))
     )))
     cleaned = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(left)
-    rows = docs.join(marks, on, "left").filter(~F.coalesce("_gone", F.lit(False)))
+    rows = docs.join(growing(marks), on, "left").filter(~F.coalesce("_gone", F.lit(False)))
     return rows.withColumn(text_col, cleaned).select(*docs.columns)

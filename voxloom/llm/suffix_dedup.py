@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from voxloom.llm.text import whole
+from voxloom.llm.text import growing, whole
 from voxloom.session import stage
 
 LENGTH = 400
@@ -273,7 +273,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, context, before, size, data) of the wanted representatives; one text is read once."""
     schema = "anchor long, context long, before int, crowd long, data binary"
-    rows = docs.select("_id", "_key", "_data").join(wanted, ["_id", "_key"]).select("_data", "wanted")
+    rows = docs.select("_id", "_key", "_data").join(growing(wanted), ["_id", "_key"]).select("_data", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +340,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     found = stage(anchors(docs, id_col, text_col, length, gram), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
     shared = stage(shared.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "shared")
-    shared = stage(found.join(shared, "anchor"), "shared-anchors")  # a plain join of two tables: a hot anchor is split
+    shared = stage(found.join(growing(shared), "anchor"), "shared-anchors")  # a plain join of two tables: a hot anchor is split
 
     contexts = stage(shared.groupBy("anchor", "context", "mixed").agg(
         F.count("*").alias("n"), F.first(F.struct("id", "text_key", "at", "before", "after")).alias("of")
@@ -358,7 +358,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         parts = parts.unionByName(_crowded(far, length))
     cover = parts.groupBy("anchor", "context").agg(F.max("before").alias("l"), F.max("after").alias("r"))
     span = F.struct((F.col("at") - F.col("l")).alias("a"), (F.col("at") + F.col("r")).alias("b"))
-    hits = shared.join(stage(cover, "cover"), ["anchor", "context"]).select("id", "text_key", span.alias("span"))
+    hits = shared.join(growing(stage(cover, "cover")), ["anchor", "context"]).select("id", "text_key", span.alias("span"))
     return hits.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("span").alias("spans"))
 
 
@@ -381,7 +381,7 @@ def _remaining(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _keyed(docs, id_col, text_col).join(stage(found, "spans").withColumnRenamed("spans", "_spans"), ["_id", "_key"], "left")
+    return _keyed(docs, id_col, text_col).join(growing(stage(found, "spans").withColumnRenamed("spans", "_spans")), ["_id", "_key"], "left")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The white space of the contracts, [\x20\x09-\x0D].
@@ -27,6 +27,11 @@ def joined_lines(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def growing(rows: DataFrame) -> DataFrame:
+    """A side of a join whose size grows with the corpus: it has no size bound, so it is never broadcast."""
+    return rows.hint("merge")
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
