@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from voxloom.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, suffix_dedup, token_counts, warc
+from voxloom.llm import byte_bpe, exact_dedup, licenses, ngram_join, packing, quality, quotations, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,16 @@ def _warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(_table(spark, folder, "pages"))
 
 
+@query("op2_quotations")
+def _quotations(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.conversations(_table(spark, folder, "conversations"))
+
+
+@query("op4_license_scan")
+def _licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_best_fit_packing")
 def _packing(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")

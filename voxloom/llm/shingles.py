@@ -25,8 +25,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of words and of runs of ``size`` words; a text with fewer words is one run."""
 
-    def __init__(self, size: int, lower: bool = True):
+    def __init__(self, size: int, lower: bool = True, punctuation: bool = False):
+        """``punctuation``: ASCII characters that are no letters or digits part words like white space."""
         self.size, self.lower = size, lower
+        self.white = _WHITE.copy()
+        if punctuation:
+            self.white[[c for c in range(128) if not chr(c).isalnum()]] = True
         self.byte = np.random.default_rng(4).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
         self.up = self.down = np.ones(0, np.uint64)
 
@@ -44,7 +48,7 @@ class Shingler:
             data = _LOWER[data]
         n = len(data)
         self._powers(n)
-        white = _WHITE[data]
+        white = self.white[data]
         edge = np.flatnonzero(white[1:] != white[:-1]) + 1
         if not white[0]:
             edge = np.append(0, edge)
