@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -14,6 +16,7 @@ _instances: dict[Any, Any] = {}
 
 def _instance(factory: Callable[[], Any], token: str) -> Any:
     if token not in _instances:
+        _instances.clear()  # a reused worker holds one model at a time
         _instances[token] = factory()
     return _instances[token]
 
@@ -29,8 +32,8 @@ def map_batches(
 ) -> DataFrame:
     """Call a model on batches of rows; adds the output columns and ``error``.
 
-    ``factory`` builds the model on a worker, once per worker for one ``token``: ship a path, not a
-    model. The model maps a list of input tuples to a list of output tuples. If a batch fails its
+    ``factory`` builds the model on a worker, once per worker: ship a path, not a model. A factory
+    is known by the hash of its pickled form, with all it captures, unless ``token`` names it. The model maps a list of input tuples to a list of output tuples. If a batch fails its
     items are tried one by one; an item that fails has NULL outputs and its error text, so one row
     comes out for each row that went in.
     """
@@ -39,7 +42,7 @@ def map_batches(
         [df.schema[c] for c in keep] + list(extra) + [T.StructField("error", T.StringType(), True)]
     )
     names = [f.name for f in extra]
-    identity = token or f"{factory.__module__}.{factory.__qualname__}"
+    identity = token or hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
 
     def call(model: Callable[[list], list], rows: list) -> list[tuple]:
         try:
