@@ -1,17 +1,19 @@
 """Byte-level BPE by higher-order functions: a ranked fold over the bytes of distinct words, and decoding.
 
-A rank file maps byte strings to ranks, which are also the ids. The map is a literal of the plan: an array of small maps
-of hex byte strings, so a look-up reads one of ``BUCKETS`` maps. A word that is in the map is its own id. Any other
-word starts as the array of its bytes and is folded: each step joins the adjacent pair of lowest rank, the
-leftmost among equals, and looks up only the two pairs it changes.
+A rank file maps byte strings to ranks, which are also the ids. Its merges are a literal of the plan: for every token and
+every cut of it into two tokens, (left id, right id) -> id, in ``BUCKETS`` small lists, so that a look-up reads one
+of them. A word starts as the ids of its bytes. Each symbol is one long: the rank of its merge with the next symbol, its
+byte offset and its id, from high to low bits, so the least element of the array is the next pair to join, the leftmost
+among equal ranks. A step of the fold joins that pair and looks up only the two pairs it changes.
 
-All distinct words of the table are counted. The ``COMMON`` most frequent are folded once and become a second literal of the
-plan, whose size is bounded by that parameter; words beyond it are folded where they stand, so every word gets its ids
-whichever side it is on, and no text is shuffled. Only word counts are, after being combined in each map task.
+A word that is itself a token is that token. The tokens and the ``COMMON`` most frequent of the other words of the table, folded
+once, are a second literal, whose size is bounded by the file and that parameter; words beyond it are folded where they stand, so
+every word gets its ids whichever side it is on, and no text is shuffled. Only word counts are, after being combined in each map task.
 
 Defined cases: a null text counts as empty (no ids); rows that repeat an id give a row each; an empty table gives an empty
 result; other columns are ignored. Words are split by Java's regular expressions with Unicode classes, whose
-character tables are those of the Java version.
+character tables are those of the Java version. A vocabulary has fewer than 2^17 ids and holds every single byte; a word has
+fewer than 2^29 bytes.
 """
 
 from __future__ import annotations
@@ -26,9 +28,10 @@ from voxloom.functions.arrays import bind, indices
 from voxloom.llm.text import whole
 from voxloom.session import stage
 
-BUCKETS = 8192
+BUCKETS = 1 << 16
 COMMON = 1 << 17
-NO_IDS = "array<int>"
+ID_BITS, OFFSET_BITS = 17, 29
+NO_RANK = (1 << ID_BITS) - 1  # above every rank: the symbol does not join the next one
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,16 +40,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
 
 
-def _bucketed(pairs, kind: str) -> Column:
-    """Literal array of maps; ``pairs`` of a string and its value."""
+def _literal(value: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+
+
+def _dictionary(pairs) -> Column:
+    """Literal of words and their ids."""
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for key, value in pairs:
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>")
+    for word, ids in pairs:
+        buckets[zlib.crc32(word.encode()) % BUCKETS][word] = ids
+    return _literal(buckets, "array<map<string,array<int>>>")
 
 
-def _look_up(table: Column, key: Column) -> Column:
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(BUCKETS)).cast("int")), key)
+def _ids_in(table: Column, word: Column) -> Column:
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(BUCKETS)).cast("int")), word)
 
 
 class Codec:
@@ -54,55 +61,70 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
+        if max(ranks.values(), default=0) >= NO_RANK:
+            raise ValueError(f"ids must be below {NO_RANK}")
         self.pattern = "(?U)" + pattern
-        self.ranks = _bucketed(((k.hex(), v) for k, v in ranks.items()), "int")
+        buckets: list[dict] = [{} for _ in range(BUCKETS)]
+        self.tokens: list[tuple[str, list[int]]] = []
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    key = left << ID_BITS | right
+                    buckets[key % BUCKETS][key] = rank
+            try:
+                self.tokens.append((token.decode(), [rank]))
+            except UnicodeDecodeError:
+                pass  # part of a character, never a whole word
+        listed = [{"pair": list(b), "id": list(b.values())} for b in buckets]
+        self.merges = _literal(listed, "array<struct<pair:array<bigint>,id:array<int>>>")
+        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        self.pieces = _literal(pieces, "array<string>")
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def fold(self, word: Column, ranks_of: Column) -> Column:
-        """Ids of one word; ``ranks_of`` is the rank map, bound once by the caller so that the plan holds it once."""
+    def fold(self, word: Column, merges: Column, byte_ids: Column) -> Column:
+        """Ids of one word; the two literals are bound once by the caller, so that the plan holds them once."""
+        long = lambda n: F.lit(n).cast("bigint")
+        id_of = lambda symbol: symbol.bitwiseAND(long(NO_RANK))
+        offset_of = lambda symbol: F.shiftright(symbol, ID_BITS).bitwiseAND(long((1 << OFFSET_BITS) - 1))
 
-        def pair(symbols: Column, i: Column) -> Column:
-            """Rank of symbols i and i+1; null if they do not merge or one is missing."""
-            return F.when((i >= 0) & (i + 1 < F.size(symbols)), _look_up(ranks_of, F.concat(F.get(symbols, i), F.get(symbols, i + 1))))
+        def symbol(offset: Column, own: Column, following: Column) -> Column:
+            """The symbol ``own`` at ``offset`` before the id ``following``, which is null at the end of the word."""
+            key = F.shiftleft(own, ID_BITS).bitwiseOR(following)
+            bucket = F.get(merges, F.pmod(key, long(BUCKETS)).cast("int"))
+            rank = F.get(bucket["id"], F.array_position(bucket["pair"], key).cast("int") - 1)
+            high = F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("bigint"), ID_BITS + OFFSET_BITS)
+            return high.bitwiseOR(F.shiftleft(offset, ID_BITS)).bitwiseOR(own)
 
         def step(state: Column, _: Column) -> Column:
-            symbols, ranks = state["symbols"], state["ranks"]
-
-            def merge(at: Column) -> Column:
-                joined = F.array(F.concat(F.get(symbols, at), F.get(symbols, at + 1)))
-                merged = F.concat(F.slice(symbols, F.lit(1), at), joined, F.slice(symbols, at + 3, F.size(symbols)))
-
-                def ranked(m: Column) -> Column:
-                    around = F.concat(
-                        F.slice(ranks, F.lit(1), F.greatest(at - 1, F.lit(0))), F.when(at > 0, F.array(pair(m, at - 1))).otherwise(F.array().cast(NO_IDS)),
-                        F.when(at + 1 < F.size(m), F.array(pair(m, at))).otherwise(F.array().cast(NO_IDS)), F.slice(ranks, at + 3, F.size(ranks) + 1),
-                    )
-                    return F.struct(m.alias("symbols"), around.alias("ranks"))
-
-                return bind(merged, ranked)
-
-            return bind(F.array_min(ranks), lambda least: F.when(least.isNull(), state).otherwise(
-                bind((F.array_position(ranks, least) - 1).cast("int"), merge)
-            ))
-
-        def start(symbols: Column) -> Column:
-            return F.struct(symbols.alias("symbols"), F.transform(indices(F.size(symbols) - 1), lambda i: pair(symbols, i)).alias("ranks"))
-
-        def folded(code: Column) -> Column:
-            count = (F.length(code) / 2).cast("int")
-            symbols = F.transform(indices(count), lambda i: F.substring(code, 2 * i + 1, F.lit(2)))
-            ids = lambda end: F.transform(end["symbols"], lambda s: _look_up(ranks_of, s))
-            return bind(F.aggregate(indices(count - 1), bind(symbols, start), step), ids)
-
-        return bind(F.lower(F.hex(F.encode(word, "UTF-8"))), lambda code: bind(_look_up(ranks_of, code), lambda own: F.when(
-            own.isNotNull(), F.array(own)
-        ).otherwise(folded(code))))
+            def merge(least: Column, at: Column) -> Column:
+                """``at`` counts from 1."""
+                joined = F.shiftright(least, ID_BITS + OFFSET_BITS)
+                after = F.get(state, at + 1)
+                merged = symbol(offset_of(least), joined, id_of(after))
+                before = F.get(state, at - 2)
+                rest = F.slice(state, at + 2, F.size(state))
+                return F.when(at == 1, F.concat(F.array(merged), rest)).otherwise(F.concat(
+                    F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))),
+                    F.array(symbol(offset_of(before), id_of(before), joined), merged), rest,
+                ))
+
+            return bind(F.array_min(state), lambda least: F.when(
+                least >= long(NO_RANK << (ID_BITS + OFFSET_BITS)), state
+            ).otherwise(bind(F.array_position(state, least).cast("int"), lambda at: merge(least, at))))
+
+        def start(ids: Column) -> Column:
+            return F.transform(ids, lambda own, i: symbol(i.cast("bigint"), own, F.get(ids, i + 1)))
+
+        characters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # one for each byte
+        ids = F.transform(characters, lambda c: F.get(byte_ids, F.ascii(c)).cast("bigint"))
+        folded = bind(ids, lambda ids: F.aggregate(indices(F.size(ids) - 1), bind(ids, start), step))
+        return F.transform(folded, lambda s: id_of(s).cast("int"))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of the pieces of ``ids``, one after the other."""
@@ -110,23 +132,26 @@ class Codec:
 
 
 def common_words(rows: DataFrame, codec: Codec, count: int = COMMON) -> list[tuple[str, list[int]]]:
-    """The most frequent distinct words of a ``text`` column with their ids; at most ``count``."""
+    """The most frequent distinct words of a ``text`` column that are no tokens, with their ids; at most ``count``."""
     words = rows.select(F.explode(codec.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = stage(words.orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
-    return [tuple(r) for r in stage(top.select("word", bind(codec.ranks, lambda ranks: codec.fold(F.col("word"), ranks)).alias("ids")), "common-ids").collect()]
+    others = words.where(bind(_dictionary(codec.tokens), lambda tokens: _ids_in(tokens, F.col("word"))).isNull())
+    top = stage(others.orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
+    ids = bind(codec.merges, lambda merges: bind(codec.bytes, lambda own: codec.fold(F.col("word"), merges, own)))
+    return [tuple(r) for r in stage(top.select("word", ids.alias("ids")), "common-ids").collect()]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """(id, text, ids) of each row."""
     codec = Codec(path, pattern)
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    known = _bucketed(common_words(rows, codec, common), "array<int>")
+    known = _dictionary([*codec.tokens, *common_words(rows, codec, common)])
 
-    def ids_of(known: Column, ranks: Column) -> Column:
-        each = lambda word: F.coalesce(_look_up(known, word), codec.fold(word, ranks))
+    def ids_of(known: Column, merges: Column, byte_ids: Column) -> Column:
+        each = lambda word: F.coalesce(_ids_in(known, word), codec.fold(word, merges, byte_ids))
         return F.flatten(F.transform(codec.words(F.col("text")), each))
 
-    return rows.select("id", "text", bind(codec.ranks, lambda ranks: bind(known, lambda k: ids_of(k, ranks))).alias("ids"))
+    ids = bind(codec.merges, lambda merges: bind(codec.bytes, lambda own: bind(known, lambda k: ids_of(k, merges, own))))
+    return rows.select("id", "text", ids.alias("ids"))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
