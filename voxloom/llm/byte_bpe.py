@@ -1,7 +1,7 @@
 """Byte-level BPE by higher-order functions: a ranked fold over the bytes of distinct words, and decoding.
 
 A rank file maps byte strings to ranks, which are also the ids. Its merges are a literal of the plan: for every token and
-every cut of it into two tokens, (left id, right id) -> id, in ``BUCKETS`` small lists, so that a look-up reads one
+every cut of it into two tokens, (left id, right id) -> id, in ``BUCKETS`` small maps, so that a look-up reads one
 of them. A word starts as the ids of its bytes. Each symbol is one long: the rank of its merge with the next symbol, its
 byte offset and its id, from high to low bits, so the least element of the array is the next pair to join, the leftmost
 among equal ranks. A step of the fold joins that pair and looks up only the two pairs it changes.
@@ -28,7 +28,7 @@ from voxloom.functions.arrays import bind, indices
 from voxloom.llm.text import whole
 from voxloom.session import stage
 
-BUCKETS = 1 << 16
+BUCKETS = 65_521  # a prime, so that both ids of a pair choose its bucket
 COMMON = 1 << 17
 ID_BITS, OFFSET_BITS = 17, 29
 NO_RANK = (1 << ID_BITS) - 1  # above every rank: the symbol does not join the next one
@@ -76,8 +76,7 @@ class Codec:
                 self.tokens.append((token.decode(), [rank]))
             except UnicodeDecodeError:
                 pass  # part of a character, never a whole word
-        listed = [{"pair": list(b), "id": list(b.values())} for b in buckets]
-        self.merges = _literal(listed, "array<struct<pair:array<bigint>,id:array<int>>>")
+        self.merges = _literal(buckets, "array<map<string,int>>")
         self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
@@ -96,8 +95,7 @@ class Codec:
         def symbol(offset: Column, own: Column, following: Column) -> Column:
             """The symbol ``own`` at ``offset`` before the id ``following``, which is null at the end of the word."""
             key = F.shiftleft(own, ID_BITS).bitwiseOR(following)
-            bucket = F.get(merges, F.pmod(key, long(BUCKETS)).cast("int"))
-            rank = F.get(bucket["id"], F.array_position(bucket["pair"], key).cast("int") - 1)
+            rank = F.try_element_at(F.get(merges, F.pmod(key, long(BUCKETS)).cast("int")), key.cast("string"))
             high = F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("bigint"), ID_BITS + OFFSET_BITS)
             return high.bitwiseOR(F.shiftleft(offset, ID_BITS)).bitwiseOR(own)
 
