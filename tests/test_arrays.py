@@ -30,6 +30,7 @@ def test_pcm16_clips_and_truncates(spark):
     given = [-2.0, -1.0, -0.5, -1e-5, 0.0, 1e-5, 0.5, 1.0, 2.0, 0.99999]
     want = (np.clip(np.array(given, np.float32), -1.0, 1.0) * np.float32(32767)).astype(np.int16)
     assert one(spark, arrays.pcm16("f"), f=given) == want.tolist()
+    assert one(spark, arrays.pcm16("f"), f=[float("nan"), 1.0]) == [0, 32767]
 
 
 def test_levels(spark):

@@ -127,9 +127,10 @@ def test_loudness_gap(spark):
 def test_grid_keeps_run_order(spark):
     grid = evaluate.eval_grid(spark.range(3), ["b", "a"]).collect()
     assert len(grid) == 6 and {(r["ckpt_ord"], r["checkpoint"]) for r in grid} == {(0, "b"), (1, "a")}
-    too_many = spark.range(evaluate.MAX_RUNS + 1).select(F.col("id").cast("string").alias("run"))
-    with pytest.raises(ValueError):
-        evaluate.eval_grid(spark.range(3), too_many)
+    table = spark.range(12_000).select(F.col("id").cast("string").alias("run"), (-F.col("id")).alias("place"))
+    grid = evaluate.eval_grid(spark.range(3), table, "place")
+    assert grid.count() == 36_000 and grid.where("ckpt_ord + int(checkpoint) != 11999").count() == 0
+    assert grid.columns == ["ckpt_ord", "checkpoint", "id"]
 
 
 def test_report_files(spark, folder):

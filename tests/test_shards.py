@@ -27,6 +27,26 @@ def test_expand(tmp_path):
         expand_shards(f"{tmp_path}/none-*.tar")
 
 
+def test_a_finished_shard_is_not_overwritten(spark, folder):
+    rows = [("train", "shard-000000.tar", "00000000", {"txt": bytearray(b"1")})]
+    df = spark.createDataFrame(rows, "split string, shard string, key string, members map<string,binary>")
+    write_shards(df, folder)
+    with pytest.raises(Exception, match="exist already"):
+        write_shards(df, folder)
+    assert len(glob.glob(f"{folder}/train/*")) == 1  # nothing half-written stays
+    write_shards(df, folder, replace=True)
+    assert read_shards(spark, f"{folder}/train/*.tar").count() == 1
+
+
+def test_a_compressed_tar_is_not_shared_whatever_its_name(spark, folder):
+    with tarfile.open(f"{folder}/a.tar", "w:gz") as tar:
+        for i in range(4):
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"x"))
+    assert read_shards(spark, f"{folder}/a.tar", split_bytes=10).count() == 4
+
+
 def test_write_then_read(spark, folder):
     df = spark.range(50).withColumn("split", F.when(F.col("id") % 10 == 0, "val").otherwise("train"))
     members = F.create_map(F.lit("txt"), F.col("id").cast("string").cast("binary"), F.lit("wav"), F.lit(b"w"))

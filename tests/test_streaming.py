@@ -31,7 +31,7 @@ def test_assembly_equals_batch(spark, folder):
         spark, pieces(spark), "seq", [9, 10, 55, 89], source,
         lambda s: assemble.stream_assemble(s, out, 10, 3, block_rows=16),
     )
-    last = assemble.last_batch(query)
+    last = assemble.last_batch(spark, out)
     assert last == 3
     emitted = assemble.assembled_slices(spark, out)
     rest = assemble.flushed_slices(spark, out, last)
@@ -81,7 +81,7 @@ def test_a_batch_that_dies_halfway_is_run_again(spark, folder, monkeypatch):
     monkeypatch.setattr(assemble, "write_version", real)
     query = start()
     query.awaitTermination()
-    rest = assemble.flushed_slices(spark, out, assemble.last_batch(query))
+    rest = assemble.flushed_slices(spark, out, assemble.last_batch(spark, out))
     got = assemble.assembled_slices(spark, out).unionByName(rest)
     want = chunk_slices(timeline(given, 10, 3), 10)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -99,7 +99,7 @@ def test_running_best_equals_batch(spark, folder):
     for column in ("step", "best_before", "is_best"):
         assert [r[column] for r in got] == [r[column] for r in want]
     assert [round(r["hours"], 9) for r in got] == [round(r["hours"], 9) for r in want]
-    state = runlog.run_state(spark, f"{folder}/out", assemble.last_batch(query)).collect()
+    state = runlog.run_state(spark, f"{folder}/out", runlog.last_batch(spark, f"{folder}/out")).collect()
     assert {r["run_id"]: r["last_step"] for r in state} == {"r0": 78, "r1": 79}
 
 
@@ -117,3 +117,41 @@ def test_manifest_counts_on_after_a_restart(spark, folder):
     # Batch 0: 8 train rows in 2 shards and 2 val rows; batch 1: 16 train rows in 3 shards and 4 val rows.
     assert (state["next_train_shard_idx"], state["next_val_shard_idx"], state["global_key"]) == (5, 2, 30)
     assert manifest.completed_files(spark, f"{folder}/out").count() == 3
+
+
+def test_a_quiet_restart_keeps_the_tail(spark, folder):
+    source, out = f"{folder}/in", f"{folder}/out"
+    assert assemble.last_batch(spark, out) == -1 and assemble.assembled_slices(spark, out).count() == 0
+    pieces(spark).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(3):
+        assemble.stream_assemble(spark.readStream.schema(PIECES).parquet(source), out, 10, 3).awaitTermination()
+    assert assemble.last_batch(spark, out) == 0
+    rest = assemble.flushed_slices(spark, out, assemble.last_batch(spark, out))
+    got = assemble.assembled_slices(spark, out).unionByName(rest)
+    want = chunk_slices(timeline(pieces(spark), 10, 3), 10)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_files_count_only_with_their_manifest_row(spark, folder, monkeypatch):
+    source, out = f"{folder}/in", f"{folder}/out"
+    rows = [(i, f"f{i // 5}", "train", {"txt": bytearray(b"x")}) for i in range(10)]
+    samples = spark.createDataFrame(rows, "id bigint, path string, split string, members map<string,binary>")
+    samples.coalesce(1).write.mode("append").parquet(source)
+    start = lambda: manifest.manifest_commit(
+        spark.readStream.schema(samples.schema).parquet(source), out, ["id"], {"shard_size": 4}, 4
+    )
+    real = manifest.write_version
+
+    def dies(df, where, name, batch_id):
+        if name == "manifest":
+            raise RuntimeError("executor lost")
+        real(df, where, name, batch_id)
+
+    monkeypatch.setattr(manifest, "write_version", dies)
+    with pytest.raises(Exception, match="executor lost"):
+        start().awaitTermination()
+    assert manifest.completed_files(spark, out).count() == 0
+    monkeypatch.setattr(manifest, "write_version", real)
+    start().awaitTermination()  # the shards of the batch that died are replaced
+    assert manifest.completed_files(spark, out).count() == 2
+    assert manifest.manifest_state(spark, out).first()["next_train_shard_idx"] == 3

@@ -245,7 +245,7 @@ def _(t: Tables) -> DataFrame:
         stream = t.spark.readStream.schema(given.schema).parquet(source)
         run = stream_chunks.stream_assemble(stream, folder, CHUNK, GAP)
         run.awaitTermination()
-    last = stream_chunks.last_batch(run)
+    last = stream_chunks.last_batch(t.spark, folder)
     return stream_chunks.assembled_slices(t.spark, folder).unionByName(
         stream_chunks.flushed_slices(t.spark, folder, last)
     )

@@ -136,11 +136,12 @@ def aligned_crop(
 
 
 def pcm16(samples: Column | str) -> Column:
-    """Clip to [-1, 1], scale by 32767 in single precision, cut the fraction."""
+    """Clip to [-1, 1], scale by 32767 in single precision, cut the fraction. A NaN sample is silence."""
     scale = F.lit(32767.0).cast("float")
     one = F.lit(1.0).cast("float")
     return F.transform(
-        _col(samples), lambda v: (F.least(F.greatest(v, -one), one) * scale).cast("smallint")
+        _col(samples),
+        lambda v: (F.least(F.greatest(F.nanvl(v, F.lit(0.0).cast("float")), -one), one) * scale).cast("smallint"),
     )
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 # Temporary SQL functions over built-ins: they are inlined by the analyzer, no Python runs.
 SQL_FUNCTIONS = {
@@ -30,21 +27,17 @@ SQL_FUNCTIONS = {
 }
 
 
-def _signal_frames():
-    @udtf(returnType="frame_idx int, rms double")
-    class SignalFrames:
-        """One row per complete or partial frame of a signal with its root mean square."""
-
-        def eval(self, samples: list, frame: int) -> Iterator[tuple[int, float]]:
-            for i, at in enumerate(range(0, len(samples or []), frame)):
-                part = samples[at : at + frame]
-                yield i, (sum(v * v for v in part) / len(part)) ** 0.5
-
-    return SignalFrames
+# One row per complete or partial frame of a signal with its root mean square; nothing for a missing or empty one.
+SIGNAL_FRAMES = """
+CREATE OR REPLACE TEMPORARY FUNCTION signal_frames(x ARRAY<FLOAT>, frame INT)
+RETURNS TABLE (frame_idx INT, rms DOUBLE)
+RETURN SELECT f.i, rms_amp(slice(x, f.i * frame + 1, frame))
+FROM (SELECT explode(CASE WHEN size(x) > 0 THEN sequence(0, int((size(x) - 1) DIV frame)) END) AS i) f
+"""
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to ``spark.sql``."""
     for name, (arguments, returns, body) in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
-    spark.udtf.register("signal_frames", _signal_frames())
+    spark.sql(SIGNAL_FRAMES)

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.functions.arrays import rms_db
+from voxloom.functions.arrays import indices, rms_db
+from voxloom.operators.scan import dense_index
 from voxloom.session import stage
 
 # Fixed values of the report.
 LOWER_IS_BETTER = ("multi_res_mel", "mcd")
 STATS = ("mean", "std", "median", "p25", "p75", "n_valid")
 QUARTILES = (0.25, 0.5, 0.75)
-MAX_RUNS = 10_000
 GROUP = ("checkpoint", "metric")
 
 
@@ -32,15 +32,17 @@ def to_long(wide: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> Data
 def eval_grid(samples: DataFrame, runs: Sequence[str] | DataFrame, order: str | None = None) -> DataFrame:
     """Every run (in the given order) for every sample, as (checkpoint, ckpt_ord, sample columns).
 
-    The run list is what a user types, so it travels as a literal array that each sample explodes;
-    a run table larger than any such list is refused rather than cut.
+    A list is what a user types, so it travels as a literal array that each sample explodes. A run table of
+    any length, in the order of ``order`` and then of the name, is numbered and joined on the numbers that each sample explodes.
     """
     if isinstance(runs, DataFrame):
         name = [c for c in runs.columns if c != order][0]
-        ordered = runs.orderBy(order or name).select(name)
-        runs = [r[0] for r in ordered.limit(MAX_RUNS + 1).collect()]
-    if len(runs) > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs")
+        keys = list(dict.fromkeys([order or name, name]))
+        listed = dense_index(runs.select(*keys), keys, "ckpt_ord")
+        numbered = stage(listed.select(F.col("ckpt_ord").cast("int"), F.col(name).alias("checkpoint")), "eval-runs")
+        each = F.explode(indices(F.lit(numbered.count()))).alias("ckpt_ord")
+        repeated = samples.select(each, *samples.columns)
+        return repeated.join(numbered, "ckpt_ord").select("ckpt_ord", "checkpoint", *samples.columns)
     listed = F.array(*[F.lit(r) for r in runs])
     return samples.select(F.posexplode(listed).alias("ckpt_ord", "checkpoint"), *samples.columns)
 

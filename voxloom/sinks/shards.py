@@ -11,9 +11,11 @@ from voxloom.operators.scan import value_block
 from voxloom.sources.shards import FORMAT, ShardSource
 
 
-def write_shards(df: DataFrame, folder: str) -> None:
+def write_shards(df: DataFrame, folder: str, replace: bool = False) -> None:
     """Write ``df(split, shard, key, members)`` to ``<folder>/<split>/<shard>``.
 
+    A shard that exists already stops the write before any shard is put in place, unless ``replace`` is set.
+
     A shard is one task's work and has a fixed number of samples, so no task grows with the data.
     """
     df.sparkSession.dataSource.register(ShardSource)
@@ -22,6 +24,7 @@ def write_shards(df: DataFrame, folder: str) -> None:
         .repartition("split", "shard")
         .sortWithinPartitions("split", "shard", "key")
         .write.format(FORMAT)
+        .option("replace", str(replace).lower())
         .mode("append")
         .save(folder)
     )

@@ -68,9 +68,20 @@ class ShardPartition(InputPartition):
     of: int
 
 
+def _is_plain(path: str) -> bool:
+    with open(path, "rb") as file:
+        try:
+            tarfile.TarInfo.frombuf(file.read(tarfile.BLOCKSIZE), tarfile.ENCODING, "surrogateescape")
+        except tarfile.HeaderError:
+            return False
+    return True
+
+
 def _partitions(path: str, split_bytes: int) -> list[ShardPartition]:
-    """Only an uncompressed tar can be shared, as its readers skip by seeking."""
-    of = max(1, -(-os.path.getsize(path) // split_bytes)) if path.endswith(".tar") else 1
+    """Only an uncompressed tar can be shared, as its readers skip by seeking. Its first header tells, not its name."""
+    of = max(1, -(-os.path.getsize(path) // split_bytes))
+    if of > 1 and not _is_plain(path):
+        of = 1
     return [ShardPartition(path, i, of) for i in range(of)]
 
 
@@ -121,8 +132,8 @@ class ShardsWritten(WriterCommitMessage):
 
 
 class ShardWriter(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, replace: bool = False):
+        self.folder, self.replace = folder, replace
 
     def write(self, rows: Iterator) -> ShardsWritten:
         files, samples, current, tar = [], 0, None, None
@@ -150,6 +161,10 @@ class ShardWriter(DataSourceWriter):
         if len({final for _, final in written}) != len(written):
             self.abort(messages)
             raise ValueError("one shard was written by two tasks; cluster the rows by (split, shard)")
+        there = [] if self.replace else [final for _, final in written if os.path.exists(final)]
+        if there:
+            self.abort(messages)
+            raise FileExistsError(f"{len(there)} shards exist already, the first is {there[0]}")
         for temporary, final in written:
             os.replace(temporary, final)
 
@@ -176,7 +191,7 @@ class ShardSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("shards are only appended")
-        return ShardWriter(mounted(self.options["path"]))
+        return ShardWriter(mounted(self.options["path"]), self.options.get("replace") == "true")
 
 
 def read_shards(

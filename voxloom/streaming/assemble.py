@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.operators.assemble import chunk_slices, timeline
 from voxloom.operators.scan import BLOCK_ROWS
 from voxloom.session import stage
-from voxloom.streaming.state import read_output, read_version, run_batches, write_version
+from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 LANES = "lane string, start bigint, last_seq bigint, dropped bigint"
 SLICES = "lane string, chunk bigint, clip_id bigint, src_from bigint, src_to bigint, dst_from bigint"
@@ -67,7 +67,7 @@ def stream_assemble(
 
 def assembled_slices(spark: SparkSession, folder: str) -> DataFrame:
     """Slices of all chunks emitted so far."""
-    return read_output(spark, folder, "slices", SLICES)
+    return read_output(spark, folder, "slices", SLICES, last_batch(spark, folder))
 
 
 def flushed_slices(spark: SparkSession, folder: str, last_batch: int) -> DataFrame:
@@ -79,7 +79,6 @@ def lane_state(spark: SparkSession, folder: str, last_batch: int) -> DataFrame:
     return read_version(spark, folder, "lanes", last_batch, LANES)
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Id of the last batch a finished query ran, or -1."""
-    progress = query.lastProgress
-    return -1 if progress is None else int(progress["batchId"])
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """Id of the last batch that was finished, or -1. A batch writes its lanes last."""
+    return newest_version(spark, folder, "lanes")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.operators.order import SHARD_SIZE
 from voxloom.session import stage
 from voxloom.sinks.shards import number_samples, write_shards
-from voxloom.streaming.state import read_output, read_version, run_batches, write_version
+from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 VERSION = 1
 MANIFEST = (
@@ -29,14 +30,14 @@ def manifest_commit(
     order: Sequence[str],
     args: dict,
     size: int = SHARD_SIZE,
-    write: Callable[[DataFrame, str], None] = write_shards,
+    write: Callable[[DataFrame, str], None] = partial(write_shards, replace=True),
     available_now: bool = True,
 ) -> StreamingQuery:
     """Number, shard and write a stream of (path, split, members, order columns).
 
     Counters go on from the manifest row of the batch before. The manifest row and the completed
     files are written after the shards, so a file counts as completed only once its samples are in
-    place. Each batch begins new shards; the last shard of a batch may be short.
+    place. Shards beyond the counters are left by a batch that died and are replaced. Each batch begins new shards; the last shard of a batch may be short.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -65,10 +66,11 @@ def manifest_commit(
 
 def manifest_state(spark: SparkSession, folder: str) -> DataFrame:
     """The counters after the last committed batch."""
-    rows = read_output(spark, folder, "manifest", MANIFEST)
+    rows = read_output(spark, folder, "manifest", MANIFEST, newest_version(spark, folder, "manifest"))
     last = F.max_by(F.struct(*rows.columns), "batch_id")
     return rows.agg(last.alias("_last")).select("_last.*")
 
 
 def completed_files(spark: SparkSession, folder: str) -> DataFrame:
-    return read_output(spark, folder, "files", FILES).distinct()
+    """Files of the batches up to the newest manifest row: its counters cover their samples."""
+    return read_output(spark, folder, "files", FILES, newest_version(spark, folder, "manifest")).distinct()

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.operators.runlog import RUN, cumulative_hours, running_best
 from voxloom.operators.scan import BLOCK_ROWS
 from voxloom.session import stage
-from voxloom.streaming.state import read_output, read_version, run_batches, write_version
+from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 STATE = "run_id string, segment string, best double, seconds double, last_step bigint, dropped bigint"
 BEST = (
@@ -64,7 +64,12 @@ def stream_running_best(
 
 
 def best_so_far(spark: SparkSession, folder: str) -> DataFrame:
-    return read_output(spark, folder, "best", BEST)
+    return read_output(spark, folder, "best", BEST, last_batch(spark, folder))
+
+
+def last_batch(spark: SparkSession, folder: str) -> int:
+    """Id of the last batch that was finished, or -1. A batch writes the state of its runs last."""
+    return newest_version(spark, folder, "runs")
 
 
 def run_state(spark: SparkSession, folder: str, last_batch: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -27,9 +28,23 @@ def read_version(spark: SparkSession, folder: str, name: str, batch_id: int, sch
     return spark.read.schema(schema).parquet(version_path(folder, name, batch_id))
 
 
-def read_output(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """All versions of an append-only output."""
-    return spark.read.schema(schema).parquet(f"{folder}/{name}/version=*")
+def newest_version(spark: SparkSession, folder: str, name: str) -> int:
+    """Id of the newest batch whose table ``name`` is written in full, or -1.
+
+    With the table that a batch writes last, this is the last finished batch. The folder is asked, as the
+    progress of a query that found no new input names a batch that never ran.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path) or []
+    return max((int(f.getPath().getParent().getName().partition("=")[2]) for f in found), default=-1)
+
+
+def read_output(spark: SparkSession, folder: str, name: str, schema: str, last: int) -> DataFrame:
+    """An append-only output up to the batch ``last``; what an unfinished batch wrote is left out."""
+    if last < 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, version bigint").parquet(f"{folder}/{name}")
+    return rows.where(F.col("version") <= last).drop("version")
 
 
 def run_batches(
