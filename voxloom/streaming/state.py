@@ -43,8 +43,8 @@ def read_output(spark: SparkSession, folder: str, name: str, schema: str, last:
     """An append-only output up to the batch ``last``; what an unfinished batch wrote is left out."""
     if last < 0:
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, version bigint").parquet(f"{folder}/{name}")
-    return rows.where(F.col("version") <= last).drop("version")
+    version = F.regexp_extract("_metadata.file_path", r".*/version=(\d+)/", 1).cast("bigint")
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/version=*").where(version <= last)
 
 
 def run_batches(
