@@ -1,12 +1,16 @@
 """Properties of plans: results do not depend on partitioning, and no plan pairs or gathers rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from voxloom.catalog import Tables, roles
 from voxloom.operators import evaluate, order, runlog, segment
-from voxloom.operators.scan import value_block
+from voxloom.operators.scan import SPARSE, dense_index, earlier_min, running_sum, value_block
+from voxloom.plans import corpus
+from voxloom.session import stage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -59,3 +63,35 @@ def test_scans_read_only_needed_columns(spark):
     t = Tables(spark, FOLDER)
     text = plan(order.assign_keys(t.documents.select("doc_id"), ["doc_id"], block=value_block("doc_id")))
     assert "ReadSchema: struct<doc_id:bigint>" in text and "text:string" not in text
+
+
+def test_levelling_does_not_shuffle(spark):
+    signals = spark.range(3).selectExpr("id AS clip_id", "8 AS sr", "array_repeat(float(0.5), 40) AS samples")
+    assert "Exchange" not in plan(corpus.level_signals(signals, 2))
+
+
+def test_batches_are_planned_without_the_payload(spark):
+    loaded = spark.range(9).selectExpr(
+        "id AS _row", "'s' AS shard", "string(id) AS key", "array_repeat(array_repeat(1, 16), 2) AS codes",
+        "array_repeat(float(1), int(id)) AS audio", "100 AS sr", "CAST(NULL AS STRING) AS skip_reason",
+    )
+    text = plan(corpus.batch_samples(stage(loaded, "loaded"), 2, 1))
+    windows = [line for line in text.splitlines() if "Window [" in line and "WindowGroup" not in line]
+    assert windows and not any(re.search(r"\b(codes|audio)#", line) for line in windows)
+    assert text.count("codes#") and "Cartesian" not in text and "NestedLoop" not in text
+
+
+def test_levels_of_a_sparse_order(spark):
+    rows = [(k, ((i * 7919 + 13) * 10**13 * (-1) ** i), float((i * 31) % 17)) for k in ("a", "b") for i in range(60 if k == "a" else 1)]
+    df = spark.createDataFrame(rows, "k string, at bigint, v double")
+    sums = running_sum(df, F.col("v"), "sum", ["k"], "at", levels=SPARSE)
+    found = earlier_min(sums, F.col("v"), "least", ["k"], "at", levels=SPARSE)
+    ranked = dense_index(found, ["at"], "n", within=["k"], block=value_block("at"))
+    got = {(r["k"], r["at"]): (r["sum"], r["least"], r["n"]) for r in ranked.collect()}
+    assert len(got) == len(rows)
+    for k in ("a", "b"):
+        total, least = 0.0, None
+        for n, (_, at, v) in enumerate(sorted(r for r in rows if r[0] == k)):
+            total += v
+            assert got[k, at] == (total, least, n)
+            least = v if least is None else min(least, v)

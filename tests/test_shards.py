@@ -11,7 +11,7 @@ from voxloom.functions.payloads import npy_bytes, npy_codes, wav_bytes, wav_sign
 from voxloom.operators.batches import pad_batches, plan_batches
 from voxloom.operators.model import map_batches
 from voxloom.operators.scan import value_block
-from voxloom.plans.corpus import load_batches
+from voxloom.plans.corpus import load_batches, load_training
 from voxloom.sinks.shards import number_samples, write_shards
 from voxloom.sources import clips, runs
 from voxloom.sources.shards import expand_shards, read_shards
@@ -135,7 +135,10 @@ def test_loading_drops_short_quiet_and_broken_samples(spark, folder):
     members = F.create_map(F.lit("wav"), wav_bytes("pcm", F.lit(100)), F.lit("npy"), npy_bytes("codes"))
     numbered = number_samples(df.select("id", F.lit("train").alias("split"), members.alias("members")), ["id"], 100)
     write_shards(numbered, folder)
-    got = {r["key"]: r for r in load_batches(spark, f"{folder}/train/*.tar", 8, 1, max_s=2.0).collect()}
+    loaded, skips = load_training(spark, f"{folder}/train/*.tar", 8, 1, max_s=2.0)
+    got = {r["key"]: r for r in loaded.collect()}
+    assert {r["skip_reason"]: r["n"] for r in skips.collect()} == {"kept": 2, "rms": 1, "bad_shape": 1, "duration": 1}
+    assert load_batches(spark, f"{folder}/train/*.tar", 8, 1, max_s=2.0).count() == 2
     # In key order the rows are: long, ok, quiet, ragged, short.
     assert sorted(got) == ["00000000", "00000001"]
     assert got["00000000"]["code_len"] == 25 and got["00000000"]["audio_len"] == 200

@@ -53,6 +53,7 @@ def test_late_pieces_are_dropped_and_counted(spark, folder):
         query.awaitTermination()
     state = {r["lane"]: (r["start"], r["last_seq"], r["dropped"]) for r in assemble.lane_state(spark, out, 1).collect()}
     assert state == {"a": (12, 7, 1), "b": (2, 1, 0)}
+    assert [tuple(r) for r in assemble.late_pieces(spark, out).collect()] == [("a", 6, 9, 4)]
 
 
 def test_a_repeated_batch_replaces_its_output(spark, folder):

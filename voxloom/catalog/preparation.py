@@ -390,6 +390,19 @@ def _(t: Tables) -> DataFrame:
     return assemble.timeline(pieces(t).withColumn("lane", F.lit("all")), CHUNK, GAP, block_rows=512, fan=8)
 
 
+_HASHED = "doc_id * 1000003 % 998244353 * 1000000007"  # unique, up to 10^18, in another order
+
+
+@query(
+    "timeline_hashed_order",
+    timeline_sql(f"SELECT 'all' AS lane, {_HASHED} AS seq, doc_id AS clip_id, n_chars AS len FROM documents", CHUNK, GAP)
+    + " SELECT lane, seq, clip_id, len, s AS \"start\", e AS \"end\" FROM placed",
+)
+def _(t: Tables) -> DataFrame:
+    """One lane in the order of widely spread ids, so that nearly every piece has a block of its own."""
+    return assemble.timeline(pieces(t).withColumns({"lane": F.lit("all"), "seq": F.expr(_HASHED.replace("doc_id", "seq"))}), CHUNK, GAP)
+
+
 @query("chunk_slices", _PLACED + slices_sql(CHUNK))
 def _(t: Tables) -> DataFrame:
     return assemble.chunk_slices(assemble.timeline(pieces(t), CHUNK, GAP), CHUNK)
@@ -487,6 +500,16 @@ def _(t: Tables) -> DataFrame:
     return order.assign_keys(t.documents.select("doc_id"), ["doc_id"], 99999500, value_block("doc_id"))
 
 
+@query(
+    "assign_keys_hashed_order",
+    f"""WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY {_HASHED}) - 1 AS n FROM documents)
+       SELECT doc_id, n, printf('%08d', n) AS key FROM k""",
+)
+def _(t: Tables) -> DataFrame:
+    hashed = t.documents.select("doc_id", F.expr(_HASHED).alias("_spread"))
+    return order.assign_keys(hashed, ["_spread"], block=value_block("_spread")).drop("_spread")
+
+
 @query(
     "assign_shards",
     f"""WITH s AS (SELECT doc_id, {_SPLIT_SQL} AS split FROM documents),

@@ -48,7 +48,7 @@ def slices_sql(chunk: int) -> str:
 
 def frames(t: Tables) -> DataFrame:
     """Events of a user in order as the frame scores of a clip; a written table, as a scoring job leaves."""
-    indexed = dense_index(t.events, ["event_id"], "frame_idx", within=["user_id"], block=value_block("event_id"))
+    indexed = dense_index(t.events, ["event_id"], "frame_idx", within=["user_id"], block=value_block("event_id"), levels=0)
     scored = indexed.select(
         F.col("user_id").alias("clip_id"), "frame_idx", F.least(F.col("value") / 100, F.lit(1.0)).alias("prob"),
         F.col("value").alias("energy"),

@@ -19,6 +19,7 @@ from voxloom.operators.scan import BLOCK, BLOCK_ROWS, dense_index, value_block
 from voxloom.session import stage
 
 FAN = 64
+RANGE = 64  # chunks whose slices meet a signal together
 GENERIC = -1  # the residue under which a block's advance for all other residues is stored
 _ADVANCE = "lane string, _block bigint, residue bigint, advance bigint"
 _ENTRY = "lane string, _block bigint, entry bigint"
@@ -195,19 +196,27 @@ def materialize_chunks(
 ) -> DataFrame:
     """The samples of every chunk: exactly ``chunk`` long, zero in gaps and in the padded tail.
 
-    The payload is joined once, here. A chunk collects at most ``chunk`` samples.
+    The payload is joined once, here, to the slices of ``RANGE`` chunks at a time, and cut behind the join: a long
+    signal is not repeated for each of its slices, and a clip that stands everywhere is still spread
+    over tasks. A chunk collects at most ``chunk`` samples.
     """
-    cut = slices.join(signals.select(clip, samples), clip).select(
-        "lane",
-        "chunk",
-        F.struct(
-            "dst_from",
-            (F.col("dst_from") + F.col("src_to") - F.col("src_from")).alias("dst_to"),
-            F.slice(samples, (F.col("src_from") + 1).cast("int"), (F.col("src_to") - F.col("src_from")).cast("int")).alias(
-                "part"
-            ),
-        ).alias("_piece"),
-    )
+    part = F.struct("lane", "chunk", "dst_from", "src_from", "src_to").alias("_slice")
+    ranges = slices.groupBy(clip, "lane", F.floor(F.col("chunk") / RANGE)).agg(F.collect_list(part).alias("_slices"))
+
+    def piece(s: Column) -> Column:
+        size = s["src_to"] - s["src_from"]
+        return F.struct(
+            s["lane"].alias("lane"),
+            s["chunk"].alias("chunk"),
+            F.struct(
+                s["dst_from"].alias("dst_from"),
+                (s["dst_from"] + size).alias("dst_to"),
+                F.slice(samples, (s["src_from"] + 1).cast("int"), size.cast("int")).alias("part"),
+            ).alias("_piece"),
+        )
+
+    joined = ranges.select(clip, "_slices").join(signals.select(clip, samples), clip)
+    cut = joined.select(F.inline(F.transform("_slices", piece)))
 
     def fill(parts: Column) -> Column:
         before = lambda i: F.when(i > 0, F.get(parts, i - 1)["dst_to"]).otherwise(F.lit(0))

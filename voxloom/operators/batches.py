@@ -32,11 +32,18 @@ def pad_batches(
 
     A batch has a fixed number of rows, so the window over it stays small.
     """
-    batch = Window.partitionBy("batch_id")
     sized = df.withColumn("code_len", F.size(codes)).withColumn("audio_len", F.size(audio))
-    longest = sized.withColumn("_codes", F.max("code_len").over(batch)).withColumn(
-        "_audio", F.max("audio_len").over(batch)
-    )
+    return pad_rows(longest_of_batch(sized), codes, audio, q)
+
+
+def longest_of_batch(df: DataFrame) -> DataFrame:
+    """Add ``_codes`` and ``_audio``, the greatest ``code_len`` and ``audio_len`` of each batch. Needs no payload."""
+    batch = Window.partitionBy("batch_id")
+    return df.withColumn("_codes", F.max("code_len").over(batch)).withColumn("_audio", F.max("audio_len").over(batch))
+
+
+def pad_rows(longest: DataFrame, codes: str = "codes", audio: str = "audio", q: int = QUANTIZERS) -> DataFrame:
+    """Zero-pad each row to the lengths that ``longest_of_batch`` found; no shuffle."""
     zero_row = F.array_repeat(F.lit(0), q)
     padded_codes = F.concat(codes, F.array_repeat(zero_row, F.col("_codes") - F.col("code_len")))
     return (

@@ -85,6 +85,21 @@ def gated_loudness(
     )
 
 
+def signal_loudness(energies: Column) -> Column:
+    """``gated_loudness`` of the block energies of one signal, inside the row; NULL where no block passes."""
+
+    def mean(blocks: Column) -> Column:
+        total = F.aggregate(blocks, F.lit(0.0), lambda a, e: a + e)
+        return total / F.nullif(F.size(blocks), F.lit(0))
+
+    def second(loud: Column) -> Column:
+        over = lambda gate: F.filter(loud, lambda e: F.coalesce(to_loudness(e) > gate, F.lit(False)))
+        kept = bind(to_loudness(mean(loud)) + RELATIVE_GATE, over)
+        return bind(bind(kept, mean), to_loudness)
+
+    return bind(F.filter(energies, lambda e: F.coalesce(to_loudness(e) > ABSOLUTE_GATE, F.lit(False))), second)
+
+
 def peak(samples: Column | str) -> Column:
     return F.array_max(F.transform(samples, lambda v: F.abs(v).cast("double")))
 

@@ -25,7 +25,7 @@ def interleave_sources(
     ``row`` is the row's index in its file. Only the list of files is ranked.
     """
     files = df.select(file).distinct().withColumn("_draw", md5_key(seed, file))
-    ranked = dense_index(files, ["_draw", file], "_rank", block=hash_block(uniform("_draw")))
+    ranked = dense_index(files, ["_draw", file], "_rank", block=hash_block(uniform("_draw")), levels=0)
     waves = stage(ranked.select(file, F.floor(F.col("_rank") / k).cast("bigint").alias("wave")), "waves")
     batch_no = F.floor(F.col(row) / batch_rows).cast("bigint")
     return (
@@ -38,7 +38,7 @@ def interleave_sources(
 def global_shuffle(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:
     """Add ``out``: the place of each row in a uniformly random order fixed by ``seed``."""
     drawn = df.withColumn("_draw", md5_key(seed, key))
-    return dense_index(drawn, ["_draw", key], out, block=hash_block(uniform("_draw"), HASH_BLOCKS)).drop("_draw")
+    return dense_index(drawn, ["_draw", key], out, block=hash_block(uniform("_draw"), HASH_BLOCKS), levels=0).drop("_draw")
 
 
 def bounded_shuffle(

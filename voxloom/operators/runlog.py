@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import every_n
-from voxloom.operators.scan import BLOCK_ROWS, earlier_min, running_sum
+from voxloom.operators.scan import BLOCK_ROWS, SPARSE, earlier_min, running_sum
 
 RUN = ("run_id", "segment")
 
@@ -40,14 +40,14 @@ def cumulative_hours(
     log: DataFrame, seconds: str = "value", by: Sequence[str] = RUN, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add ``hours``: audio hours seen up to each step of a run segment."""
-    total = running_sum(log, F.coalesce(F.col(seconds), F.lit(0.0)), "_seconds", by, "step", block_rows=block_rows)
+    total = running_sum(log, F.coalesce(F.col(seconds), F.lit(0.0)), "_seconds", by, "step", block_rows=block_rows, levels=SPARSE)
     return total.withColumn("hours", F.col("_seconds") / 3600.0).drop("_seconds")
 
 
 def running_best(log: DataFrame, by: Sequence[str] = RUN, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``best_before`` and ``is_best``: strictly lower than all earlier values of the segment."""
     comparable = F.when(~F.isnan("value"), F.col("value"))
-    seen = earlier_min(log, comparable, "best_before", by, "step", block_rows)
+    seen = earlier_min(log, comparable, "best_before", by, "step", block_rows, SPARSE)
     is_best = comparable.isNotNull() & (F.col("best_before").isNull() | (comparable < F.col("best_before")))
     return seen.withColumn("is_best", is_best)
 

@@ -12,8 +12,8 @@ from voxloom.functions import arrays
 from voxloom.functions.hashing import md5_key, uniform
 from voxloom.functions.payloads import npy_bytes, sample_decoder, wav_bytes
 from voxloom.operators.assemble import chunk_slices, materialize_chunks, timeline
-from voxloom.operators.batches import pad_batches, plan_batches
-from voxloom.operators.loudness import apply_gain, block_energy, gated_loudness, normalize_gain, peak
+from voxloom.operators.batches import longest_of_batch, pad_rows, plan_batches
+from voxloom.operators.loudness import apply_gain, block_energies, normalize_gain, peak, signal_loudness
 from voxloom.operators.order import split_train_val, take_valid
 from voxloom.operators.quality import skip_report
 from voxloom.operators.scan import hash_block
@@ -32,12 +32,11 @@ from voxloom.sources.shards import expand_shards, read_shards
 
 
 def level_signals(signals: DataFrame, hop: int) -> DataFrame:
-    """signals(clip_id, sr, samples) brought to the target loudness; adds ``loudness`` (0 if silent)."""
+    """signals(clip_id, sr, samples) brought to the target loudness; adds ``loudness`` (0 if silent). No shuffle."""
     padded = signals.withColumn("samples", arrays.pad_to("samples", F.lit(4 * hop)))
-    loudness = gated_loudness(block_energy(padded, hop)).select("clip_id", "loudness")
-    joined = padded.join(loudness, "clip_id", "left")
+    measured = padded.withColumn("loudness", signal_loudness(block_energies("samples", hop)))
     gain = normalize_gain("loudness", peak("samples"))
-    return joined.withColumn("samples", apply_gain("samples", gain)).withColumn(
+    return measured.withColumn("samples", apply_gain("samples", gain)).withColumn(
         "loudness", F.coalesce("loudness", F.lit(0.0))
     )
 
@@ -84,36 +83,89 @@ def shard_samples(
     return numbered.join(encoded, ["lane", "chunk"]).select("split", "shard", "key", "members")
 
 
-def load_batches(
-    spark: SparkSession, pattern: str, size: int, seed: int, min_s: float = 1.0, max_s: float = 10.0
+def training_samples(
+    samples: DataFrame, seed: int, min_s: float, max_s: float, decode: Callable[[Column, Column], Column] | None = None
 ) -> DataFrame:
-    """Shards to padded batches: decode, drop short, crop, drop quiet, shuffle, batch, pad."""
-    samples = read_shards(spark, pattern)
+    """(shard, key, codes, audio, sr, skip_reason) of every sample, cropped; the payload is NULL where skipped.
+
+    ``decode`` turns the bytes of the codes and of the audio into struct(codes, sr, samples) and may leave
+    out the audio of samples that are too short; without it, npy and 16-bit wav are read.
+    """
     payload, _ = arrays.pick_payload("members")
-    decode = sample_decoder(arrays.min_code_count(min_s))
-    decoded = samples.select(
-        "shard", "key", decode(F.try_element_at("members", F.lit("npy")), payload).alias("_sample")
-    )
-    heard = decoded.where(F.col("_sample.samples").isNotNull()).select(
-        "shard", "key", "_sample.sr", "_sample.samples", arrays.codes_matrix("_sample.codes").alias("codes")
+    decode = decode or sample_decoder(arrays.min_code_count(min_s))
+    read = samples.select(
+        "shard", "key", payload.isNotNull().alias("_audio"),
+        decode(F.try_element_at("members", F.lit("npy")), payload).alias("_sample"),
+    ).select("shard", "key", "_audio", "_sample.*")
+    matrix = read.withColumn("_matrix", arrays.codes_matrix("codes"))
+    crop = arrays.aligned_crop("_matrix", "samples", "sr", max_s, seed, "shard", "key")
+    cropped = matrix.withColumn("_crop", crop)
+    reason = F.coalesce(
+        arrays.codes_skip_reason("codes"),
+        F.when(~arrays.enough_codes(F.size("_matrix"), min_s), F.lit("duration")),
+        F.when(~F.col("_audio"), F.lit("no_audio")),
+        F.when(F.col("samples").isNull(), F.lit("undecodable")),
+        F.when(~F.coalesce(arrays.loud_enough_db("_crop.audio"), F.lit(False)), F.lit("rms")),
     )
-    crop = arrays.aligned_crop("codes", "samples", "sr", max_s, seed, "shard", "key")
-    cropped = heard.withColumn("_crop", crop).select("shard", "key", "_crop.codes", "_crop.audio", "sr")
-    loud = stage(cropped.where(arrays.loud_enough_db("audio")), "loaded")
-    drawn = loud.withColumn("_draw", md5_key(seed, "shard", "key"))
-    batches = plan_batches(drawn, ["_draw", "shard", "key"], size, hash_block(uniform("_draw")))
-    return pad_batches(batches.drop("_draw"))
+    judged = cropped.select("shard", "key", "_crop", "sr", reason.alias("skip_reason"))
+    kept = lambda c: F.when(F.col("skip_reason").isNull(), F.col(f"_crop.{c}")).alias(c)
+    return judged.select("shard", "key", kept("codes"), kept("audio"), "sr", "skip_reason")
+
 
+def batch_samples(loaded: DataFrame, size: int, seed: int) -> DataFrame:
+    """Padded batches of the kept rows of ``training_samples``; give a written table.
 
-def judged_samples(samples: DataFrame, min_s: float, max_s: float) -> DataFrame:
-    """Decoded evaluation samples with the reason to skip each; those without codes are left out."""
+    Order, batches and padded lengths are decided on ids and lengths; the payload is joined to them once.
+    """
+    kept = loaded.where(F.col("skip_reason").isNull())
+    lengths = kept.select(
+        "_row", "shard", "key", F.size("codes").alias("code_len"), F.size("audio").alias("audio_len"),
+        md5_key(seed, "shard", "key").alias("_draw"),
+    )
+    planned = plan_batches(lengths, ["_draw", "shard", "key", "_row"], size, hash_block(uniform("_draw")))
+    longest = longest_of_batch(planned).drop("_draw", "shard", "key")
+    return pad_rows(kept.drop("skip_reason").join(longest, "_row")).drop("_row")
+
+
+def load_training(
+    spark: SparkSession,
+    pattern: str,
+    size: int,
+    seed: int,
+    min_s: float = 1.0,
+    max_s: float = 10.0,
+    decode: Callable[[Column, Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Shards to padded batches, and the count of samples for each skip reason, which add up to the input."""
+    judged = training_samples(read_shards(spark, pattern), seed, min_s, max_s, decode)
+    loaded = stage(judged.withColumn("_row", F.monotonically_increasing_id()), "loaded")
+    return batch_samples(loaded, size, seed), skip_report(loaded, by=())
+
+
+def load_batches(
+    spark: SparkSession,
+    pattern: str,
+    size: int,
+    seed: int,
+    min_s: float = 1.0,
+    max_s: float = 10.0,
+    decode: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
+    """Shards to padded batches: decode, drop short, crop, drop quiet, shuffle, batch, pad."""
+    return load_training(spark, pattern, size, seed, min_s, max_s, decode)[0]
+
+
+def judged_samples(
+    samples: DataFrame, min_s: float, max_s: float, decode: Callable[[Column, Column], Column] | None = None
+) -> DataFrame:
+    """Decoded evaluation samples with the reason to skip each; every sample gives a row."""
     payload, _ = arrays.pick_payload("members")
-    decode = sample_decoder(arrays.min_code_count(min_s), arrays.min_code_count(max_s))
+    decode = decode or sample_decoder(arrays.min_code_count(min_s), arrays.min_code_count(max_s))
     decoded = samples.select(
         "shard", "key", payload.isNotNull().alias("_audio"),
         decode(F.try_element_at("members", F.lit("npy")), payload).alias("_sample"),
     )
-    read = decoded.select("shard", "key", "_audio", "_sample.*").where(F.col("codes").isNotNull())
+    read = decoded.select("shard", "key", "_audio", "_sample.*")
     reason = F.coalesce(
         arrays.codes_skip_reason("codes"),
         arrays.duration_skip_reason(F.size("codes") / F.lit(arrays.QUANTIZERS), min_s, max_s),

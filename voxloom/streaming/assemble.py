@@ -12,6 +12,7 @@ from voxloom.session import stage
 from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 LANES = "lane string, start bigint, last_seq bigint, dropped bigint"
+LATE = "lane string, seq bigint, clip_id bigint, len bigint"
 SLICES = "lane string, chunk bigint, clip_id bigint, src_from bigint, src_to bigint, dst_from bigint"
 
 
@@ -27,7 +28,7 @@ def stream_assemble(
 
     Each micro-batch places its pieces after the carried lane ends and emits the slices of chunks
     that are full by now; slices of the open chunk of each lane are kept. A piece whose ``seq`` is not
-    beyond what its lane has seen is dropped and counted. Lanes are spread over tasks inside a
+    beyond what its lane has seen is counted and written to the table of late pieces. Lanes are spread over tasks inside a
     micro-batch as in the batch operator.
     """
 
@@ -60,6 +61,7 @@ def stream_assemble(
         cut = stage(kept.unionByName(chunk_slices(placed, chunk)).join(full, "lane"), "stream-slices")
         write_version(cut.where(F.col("chunk") < F.col("_full")).drop("_full"), folder, "slices", batch_id)
         write_version(cut.where(F.col("chunk") >= F.col("_full")).drop("_full"), folder, "open", batch_id)
+        write_version(marked.where("_late").select("lane", "seq", "clip_id", "len"), folder, "late", batch_id)
         write_version(now, folder, "lanes", batch_id)
 
     return run_batches(pieces, folder, step, available_now)
@@ -70,6 +72,11 @@ def assembled_slices(spark: SparkSession, folder: str) -> DataFrame:
     return read_output(spark, folder, "slices", SLICES, last_batch(spark, folder))
 
 
+def late_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces that came after a later one of their lane and are in no chunk."""
+    return read_output(spark, folder, "late", LATE, last_batch(spark, folder))
+
+
 def flushed_slices(spark: SparkSession, folder: str, last_batch: int) -> DataFrame:
     """At the end of the input: the slices of the open, incomplete chunk of each lane."""
     return read_version(spark, folder, "open", last_batch, SLICES)

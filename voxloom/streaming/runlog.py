@@ -12,6 +12,7 @@ from voxloom.session import stage
 from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 STATE = "run_id string, segment string, best double, seconds double, last_step bigint, dropped bigint"
+LATE = "run_id string, segment string, step bigint, value double, audio_sec double"
 BEST = (
     "run_id string, segment string, step bigint, value double, audio_sec double, "
     "best_before double, is_best boolean, hours double"
@@ -23,7 +24,7 @@ def stream_running_best(
 ) -> StreamingQuery:
     """For a stream of (run_id, segment, step, value, audio_sec): is_best and hours per step.
 
-    Steps at or before the last one seen in their run segment are dropped and counted.
+    Steps at or before the last one seen in their run segment are counted and written to the table of late rows.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -58,6 +59,7 @@ def stream_running_best(
             F.greatest("last_step", "_step").alias("last_step"),
             (F.coalesce("dropped", none) + F.coalesce("_dropped", none)).alias("dropped"),
         )
+        write_version(marked.where("_late").select(*RUN, "step", "value", "audio_sec"), folder, "late", batch_id)
         write_version(now, folder, "runs", batch_id)
 
     return run_batches(log, folder, step, available_now)
@@ -67,6 +69,11 @@ def best_so_far(spark: SparkSession, folder: str) -> DataFrame:
     return read_output(spark, folder, "best", BEST, last_batch(spark, folder))
 
 
+def late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that came after a later step of their run segment and are in no result."""
+    return read_output(spark, folder, "late", LATE, last_batch(spark, folder))
+
+
 def last_batch(spark: SparkSession, folder: str) -> int:
     """Id of the last batch that was finished, or -1. A batch writes the state of its runs last."""
     return newest_version(spark, folder, "runs")
