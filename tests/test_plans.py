@@ -84,7 +84,7 @@ def test_batches_are_planned_without_the_payload(spark):
 def test_levels_of_a_sparse_order(spark):
     rows = [(k, ((i * 7919 + 13) * 10**13 * (-1) ** i), float((i * 31) % 17)) for k in ("a", "b") for i in range(60 if k == "a" else 1)]
     df = spark.createDataFrame(rows, "k string, at bigint, v double")
-    sums = running_sum(df, F.col("v"), "sum", ["k"], "at", levels=SPARSE)
+    sums = running_sum(df, F.col("v"), "sum", ["k"], "at", levels=2)
     found = earlier_min(sums, F.col("v"), "least", ["k"], "at", levels=SPARSE)
     ranked = dense_index(found, ["at"], "n", within=["k"], block=value_block("at"))
     got = {(r["k"], r["at"]): (r["sum"], r["least"], r["n"]) for r in ranked.collect()}

@@ -6,9 +6,9 @@ per key; the carried value is joined back on (key, block). The data is shuffled
 (key, block), however hot a key is, and the summary is smaller by the block size.
 
 Blocks are ranges of values, so an order with large gaps (hashed or 64-bit ids) may have a block for each
-row. ``levels`` then cuts the summary in the same way: blocks are gathered into blocks of ``FAN`` and
-scanned there, and what these begin with is found one level up. Two levels bring all 64-bit integers
-down to 2^16 rows for one task. The levels above cost a shuffle of the summary each.
+row. ``levels`` then cuts the summary in the same way: 2^``FAN_BITS`` blocks are gathered and scanned
+together, and what these begin with is found one level up. One level brings all 64-bit integers, in
+blocks of ``BLOCK_ROWS``, down to 2^24 summary rows for one task; it costs a shuffle of the summary.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from voxloom.session import stage
 
 BLOCK_ROWS = 65536
 HASH_BLOCKS = 65536
-FAN_BITS = 16
-SPARSE = 2  # levels for an order of any integers
+FAN_BITS = 24
+SPARSE = 1  # levels for an order of any integers
 BLOCK = "_block"
 
 
