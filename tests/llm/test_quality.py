@@ -54,6 +54,18 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert 100 not in texts and texts[1] == prose(1) and texts[200] == prose(1000) and kept.count() == len(rows) - 1
 
 
+def test_pages_mixed_from_a_few_shared_lines_count_each(spark):
+    pool = [" ".join(f"pool{k}x{j}" for j in range(12)) for k in range(8)]
+    rows = [(i, "\n".join(pool[(i + j * (1 + i % 3)) % 8] for j in range(5)) + f"\nown{i} " + prose(i, 5), "s", "h") for i in range(60)]
+    rows += [(100 + i, "\n".join([prose(2000), prose(2001)]).replace(" ", " " * (1 + i % 2)), "s", "h") for i in range(40)]  # true copies
+    rows += [(200 + i, prose(3000 + i), "s", "h") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r for r in judge(df).collect()}
+    assert all(got[i].lines_removed == 5 and not got[i].kept for i in range(60))
+    assert all(got[i].lines_removed == 0 and got[i].kept for i in got if i >= 100)
+    assert sorted(r.doc_id for r in clean(df).collect()) == sorted(i for i in got if i >= 100)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert judge(df).count() == 0 and clean(df).count() == 0

@@ -2,9 +2,8 @@
 
 One pass over the texts keeps what the rules need: counts, and one (digest, number of words) per line that has a word.
 Lines are normalised (lower case, single spaces) and hashed by md5. For each host (the ``source`` column) the distinct
-documents of a line are counted; documents whose other lines share the same smallest digest count once, so that copies of
-one text do not make its lines frequent. A line in more than ``max(least, share * documents of the host)`` documents is
-removed. A document of which less than ``left`` of its words remain is depleted and rejected.
+documents of a line are counted; documents are told apart by a digest of all their lines in order, so that only true copies
+count once. A line in more than ``max(least, share * distinct documents of the host)`` documents is removed. A document of which less than ``left`` of its words remain is depleted and rejected.
 
 Nothing is grouped by document over exploded words: repeated windows are found inside the row by sorting 64-bit hashes of
 its three-word windows. A hot host or line is counted map-side before the exchange.
@@ -88,12 +87,11 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 def frequent_lines(measured: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """(host, line, n_docs) of the lines above the limit of their host."""
-    own = F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["line"])))
-    rows = measured.select("host", own.alias("own")).select("host", F.explode("own").alias("line"), F.col("own")[0].alias("a"), F.get("own", F.lit(1)).alias("b"))
-    family = F.when(F.col("line") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    counted = rows.select("host", "line", F.coalesce(family, F.unhex(F.lit(""))).alias("family")).distinct()
-    counted = counted.groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    hosts = measured.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
+    document = F.md5(F.array_join(F.transform("lines", lambda x: F.hex(x["line"])), ""))
+    own = F.array_distinct(F.transform("lines", lambda x: x["line"]))
+    once = stage(measured.select("host", document.alias("document"), own.alias("own")).dropDuplicates(["host", "document"]), "distinct-documents")
+    counted = once.select("host", F.explode("own").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    hosts = once.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "_host")
     likely = counted.filter(F.col("n_docs") > limits.least)
     over = F.col("n_docs") > F.greatest(F.lit(float(limits.least)), F.col("host_docs") * limits.share)
     return likely.join(hosts, same(F.col("host"), F.col("_host"))).filter(over).select("host", "line", "n_docs")
