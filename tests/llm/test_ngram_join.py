@@ -77,6 +77,21 @@ def test_deduplicate_and_empty(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_or_with_the_same_id_are_told_apart(spark):
+    rng = random.Random(9)
+    prose = [[f"v{rng.randrange(10**6)}" for _ in range(60)] for _ in range(5)]
+    text = [" ".join(p) for p in prose]
+    rows = [
+        (1, text[0]), (None, near(rng, prose[0], 1)), (None, text[1]), (None, near(rng, prose[1], 1)), (None, text[2]), (None, text[2]),
+        (7, text[3]), (7, text[4]), (7, near(rng, prose[0], 1)), (8, near(rng, prose[3], 1)), (9, text[4]), (9, near(rng, prose[4], 1)),
+        (None, ""), (None, " "), (7, None),
+    ]
+    kept = deduplicate(spark.createDataFrame([(i, t, "s", 0) for i, t in rows], SCHEMA)).collect()
+    own = lambda t: [k for k, p in enumerate(text) if t and len(set(t.split()) & set(p.split())) > 50]
+    got = sorted(((r.doc_id, own(r.text)) for r in kept), key=repr)
+    assert got == sorted([(1, [0]), (None, [1]), (None, [2]), (7, [3]), (7, [4]), (None, []), (None, []), (7, [])], key=repr)
+
+
 def test_prefix_bound():
     for n in range(1, 300):
         assert 1 <= prefix_length(n, 85) <= n

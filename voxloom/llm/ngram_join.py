@@ -16,8 +16,8 @@ frequent n-grams only set the order, so their number is bounded (``HOT``) withou
 Sets are told apart by 64-bit hashes of n-grams and of whole sets.
 
 Defined cases: null, empty and white texts have an empty set, are linked with nothing and are their own component; a null id takes
-part and is never the smallest id while another is there; rows that repeat an id give a row each; an empty table gives
-an empty result; other columns are ignored by :func:`components` and kept by :func:`deduplicate`.
+part and is never the smallest id while another is there; rows that repeat an id give a row each, and :func:`deduplicate`
+tells them apart by a 64-bit hash of their text; an empty table gives an empty result; other columns are ignored by :func:`components` and kept by :func:`deduplicate`.
 """
 
 from __future__ import annotations
@@ -72,7 +72,8 @@ class Rows:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(whole(F.col(text_col)), "UTF-8").alias("data"))
+    text = whole(F.col(text_col))
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.encode(text, "UTF-8").alias("data"), F.xxhash64(text).alias("text_key"))
 
 
 def frequent(texts: DataFrame, size: int, hot: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -94,12 +95,12 @@ def frequent(texts: DataFrame, size: int, hot: int = HOT) -> tuple[np.ndarray, n
 
 
 def matrix(texts: DataFrame, size: int, part: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, sig, n, prefix) of each row."""
+    """(id, text_key, sig, n, prefix) of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Rows(size, *hot)
         for batch in batches:
-            ids, done = batch.column(0), 0
+            ids, keys, done = batch.column(0), batch.column(2), 0
             for piece in pieces(batch.column(1)):
                 sigs, ns, prefixes = [], [], []
                 for sig, columns in reader.columns(piece):
@@ -109,10 +110,11 @@ def matrix(texts: DataFrame, size: int, part: int, hot: tuple[np.ndarray, np.nda
                 ends = np.cumsum([0, *map(len, prefixes)])
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.record_batch([ids.slice(done, len(piece)), pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), lists], ["id", "sig", "n", "prefix"])
+                own = [c.slice(done, len(piece)) for c in (ids, keys)]
+                yield pa.record_batch([*own, pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), lists], ["id", "text_key", "sig", "n", "prefix"])
                 done += len(piece)
 
-    return texts.mapInArrow(rows, "id long, sig long, n int, prefix array<long>")
+    return texts.mapInArrow(rows, "id long, text_key long, sig long, n int, prefix array<long>")
 
 
 def whole_sets(texts: DataFrame, size: int, hot: tuple[np.ndarray, np.ndarray], wanted: DataFrame) -> DataFrame:
@@ -259,15 +261,15 @@ def _product(cells: DataFrame, part: int) -> DataFrame:
     return dealt.sortWithinPartitions("one", "two").mapInArrow(run, schema).distinct()
 
 
-def components(
+def _represented(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, part: int = PART, hot: int = HOT, rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of each row of ``docs``; sets are linked at a similarity of ``part`` percent."""
+    """(id, text_key, n, best) of each row of ``docs``; ``best`` is the smallest (no_id, id, text_key) of its component, null without words."""
     texts = _texts(docs, id_col, text_col)
     order = frequent(texts, size, hot)
     members = stage(matrix(texts, size, part, order), "matrix")
     classes = members.filter("n > 0").groupBy("sig").agg(
-        F.min("id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
     classes = stage(classes, "classes")
     spread = classes.select("sig", F.explode("prefix").alias("key"))
@@ -281,7 +283,7 @@ def components(
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         ends = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        wanted = stage(classes.select("sig", F.col("least").alias("id")).join(ends, "sig"), "wanted")
+        wanted = stage(classes.select("sig", F.col("least.id").alias("id")).join(ends, "sig"), "wanted")
         return stage(links(pairs.select("a", "b"), stage(whole_sets(texts, size, order, wanted), "sets"), part), name)
 
     first = similar(stage(_within_bounds(pivots, rows_, part), "bounded-pairs"), "first-links")
@@ -292,17 +294,25 @@ def components(
     second = similar(stage(_product(left, part), "pairs"), "second-links")
 
     known = stage(labels(first.union(second)), "components")
-    least = known.join(classes.select("sig", "least"), "sig").groupBy("label").agg(F.min("least").alias("component_id"))
-    joined = known.join(least, "label").select("sig", "component_id")
-    of_class = classes.select("sig", "least").join(joined, "sig", "left").select("sig", F.coalesce("component_id", "least").alias("component_id"))
-    found = members.select("id", "sig", "n").join(growing(stage(of_class, "of-class")), "sig", "left")
-    return found.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    least = known.join(classes.select("sig", "least"), "sig").groupBy("label").agg(F.min("least").alias("best"))
+    joined = known.join(least, "label").select("sig", "best")
+    of_class = classes.select("sig", "least").join(joined, "sig", "left").select("sig", F.coalesce("best", "least").alias("best"))
+    found = members.select("id", "text_key", "sig", "n").join(growing(stage(of_class, "of-class")), "sig", "left")
+    return found.select("id", "text_key", "n", "best")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, n_shingles, component_id) of each row of ``docs``; sets are linked at a similarity of ``part`` percent."""
+    found = _represented(docs, id_col, text_col, **options)
+    return found.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("best.id", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with all their columns; one of repeated rows."""
-    found = stage(components(docs, id_col, text_col, **options), "components")
-    gone = found.filter(~same(F.col("id"), F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    stays = docs.join(growing(gone), same(F.col(id_col), F.col("_id")), "left_anti")
+    """One row of each component, of the smallest id and then text key, with all its columns; one of repeated rows."""
+    found = stage(_represented(docs, id_col, text_col, **options), "components")
+    first = same(F.col("id"), F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))
+    gone = found.filter("best IS NOT NULL").filter(~first).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    on = same(F.col(id_col), F.col("_id")) & (F.xxhash64(whole(F.col(text_col))) == F.col("_key"))
+    stays = docs.join(growing(gone), on, "left_anti")
     repeated = found.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     return stays if repeated.isEmpty() else stays.dropDuplicates([id_col, text_col])
