@@ -60,3 +60,13 @@ def test_packing_of_what_is_left(stages):
     assert dict(sizes) == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in stages[-2]}
     check(packed, 1024)
     assert max(Counter((r.doc_id, r.piece) for r in packed).values()) == 1
+
+
+def test_near_copies_on_five_words(spark):
+    words = [f"v{i * i}" for i in range(51)]
+    edited = words[:25] + ["other"] + words[26:]
+    grams = lambda size: [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (words, edited)]
+    five, four = (len(a & b) / len(a | b) for a, b in (grams(5), grams(4)))
+    assert 0.8 <= five < 0.85 and four < 0.85
+    rows = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, "x") for i, w in enumerate((words, edited, words[:20]))], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, rows, "unused").collect()) == [0, 2]
