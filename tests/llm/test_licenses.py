@@ -1,4 +1,8 @@
-from voxloom.llm.licenses import TEMPLATES, scan
+import re
+from collections import Counter
+
+import pytest
+from voxloom.llm.licenses import TEMPLATES, Scanner, scan
 
 SCHEMA = "doc_id long, text string, license string"
 
@@ -14,3 +18,35 @@ def test_matches(spark):
     assert texts[3].encode()[one[5] : one[6]].decode() == "Released under the MIT License" and one[4] == 1.0
     assert got[1][2] == got[1][3] - 1 and texts[4][got[1][5] : got[1][6]] == noisy.rstrip(".")
     assert scan(df.limit(0)).count() == 0 and scan(df, {}).count() == 0
+
+
+LINES = {
+    r"Licensed under CC BY-NC \d\.\d\.": "cc-by-nc-notice", r"All rights reserved\.": "reserved", r"Released under the MIT License\.": "mit-notice",
+    r"Licensed under the Apache License, Version 2\.0\.": "apache-notice",
+    r"This work is licensed under the GNU General Public License, version \d\.": "gpl-notice",
+}
+
+
+def test_all_license_lines_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text RLIKE 'icense|rights reserved'")
+    want = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        for pattern, name in LINES.items():
+            want[r.doc_id, name] += len(re.findall(pattern, r.text))
+    got = Counter((r.id, r.license) for r in scan(docs).collect())
+    assert +want == got and sum(want.values()) == 328
+
+
+def test_every_template_is_told_apart_from_the_others():
+    scanner = Scanner(TEMPLATES)
+    for name, text in TEMPLATES.items():
+        found = list(scanner.scan([f"some words {text} and others".encode()]))
+        assert [(f[1], f[4]) for f in found] == [(name, 1.0)]
+
+
+@pytest.mark.parametrize("name", ["mit-notice", "cc-by-nc-notice"])
+def test_one_replaced_word_of_a_short_notice(name):
+    words = TEMPLATES[name].split()
+    for i in range(len(words) - ("CC" in words)):
+        text = " ".join(["before", "it", *words[:i], "replaced", *words[i + 1 :], "after", "it"])
+        assert name in [f[1] for f in Scanner({name: TEMPLATES[name]}).scan([text.encode()])]
