@@ -35,9 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings that begin anywhere else as well are removed."""
+    """Bytes of strings that begin anywhere else as well are removed, and so are passages of over 50 words, however short."""
     ship_package(spark)
-    return _counted(suffix_dedup.deduplicate(docs))
+    return _counted(suffix_dedup.deduplicate(docs, words=51))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

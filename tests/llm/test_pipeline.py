@@ -70,3 +70,19 @@ def test_near_copies_on_five_words(spark):
     assert 0.8 <= five < 0.85 and four < 0.85
     rows = spark.createDataFrame([(i, " ".join(w), "en", "s", 1, "x") for i, w in enumerate((words, edited, words[:20]))], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, rows, "unused").collect()) == [0, 2]
+
+
+def test_passages_of_over_50_words_below_400_bytes(spark):
+    rng = random.Random(5)
+    passages = [" ".join(rng.choice("abcdefgh") + rng.choice("klmnop") * rng.randint(0, 4) + str(i) for i in range(n)) for n in (51, 60, 50, 49)]
+    assert all(len(p) < 400 for p in passages)
+    long = "".join(rng.choice("abcdefgh") for _ in range(450))  # one word
+    texts = [f"é {prose(rng, 70)} {p} {prose(rng, 70)}" for p in [*passages, long] for _ in range(2)]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in enumerate(texts)], SCHEMA)
+    after = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, rows, "unused").collect()}
+    for i, p in enumerate([*passages, long]):
+        for k in (2 * i, 2 * i + 1):
+            if i in (2, 3):
+                assert after[k] == texts[k]
+            else:
+                assert "".join(after[k].split()) == "".join(texts[k].replace(p, "").split())

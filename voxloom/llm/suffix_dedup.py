@@ -14,6 +14,9 @@ each stands for the run of strings that chose it (its context: the bytes of all
 4. The repeated strings of a context cover one stretch around its anchor. Stretches are joined to all occurrences, and
    the bytes they cover are removed.
 
+Passages of so many words are found in the same way: each word (a run of bytes that are not white space) becomes a code of
+``CODE`` bytes, so that all runs of that many words have one length. Spans of codes are cut back to whole words.
+
 Defined cases: a null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat an id and text
 repeat each other; an empty table gives an empty result; :func:`deduplicate` keeps other columns, and drops the bytes
 of a character that is cut in two.
@@ -28,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from voxloom.llm.shingles import Shingler
 from voxloom.llm.text import growing, whole
 from voxloom.session import stage
 
@@ -36,6 +40,7 @@ GRAM = 64
 SHALLOW = 32
 GROUP = 1024
 SEGMENT = 1 << 20
+CODE = 8  # bytes that stand for a word
 NO_ID = -(1 << 63)
 ANCHORS = "id long, text_key long, anchor long, context long, at int, before int, after int"
 
@@ -234,6 +239,26 @@ def repeated_stretches(contexts: list[bytes], before: list[int], length: int = L
     return [(int(a), int(b)) if s else None for a, b, s in zip(l, r, some)]
 
 
+class Words:
+    """Texts as strings of codes, one 64-bit hash for each run of bytes that are not white space."""
+
+    def __init__(self):
+        self.shingler = Shingler(1, lower=False)
+
+    def codes(self, text: bytes) -> bytes:
+        return self.shingler.words([text])[0].astype("<u8").tobytes()
+
+    def places(self, text: bytes, spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans of codes as spans of the text, from whole words to whole words."""
+        _, _, start, end = self.shingler.words([text])
+        found = [(-(-a // CODE), b // CODE) for a, b in spans_]
+        return [(int(start[a]), int(end[b - 1])) for a, b in found if a < b]
+
+
+def _reader(words: bool):
+    return Words().codes if words else bytes
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole(F.col(text_col))
     return docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)), "_key": F.xxhash64(text), "_data": F.encode(text, "UTF-8")})
@@ -245,12 +270,13 @@ def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """The anchors of all texts (schema ``ANCHORS``)."""
-    rows = _keyed(docs, id_col, text_col).select("_id", "_key", "_data").filter(F.octet_length("_data") >= length)
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: bool = False) -> DataFrame:
+    """The anchors of all texts, or of their ``words`` as codes (schema ``ANCHORS``)."""
+    least = 2 * (length // CODE) - 1 if words else length
+    rows = _keyed(docs, id_col, text_col).select("_id", "_key", "_data").filter(F.octet_length("_data") >= least)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Anchors(length, gram)
+        finder, read = Anchors(length, gram), _reader(words)
         for batch in batches:
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             out: list[list] = [[] for _ in range(7)]
@@ -258,7 +284,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             while done < len(texts):  # a few MB of texts at a time
                 part, size = [], 0
                 while done + len(part) < len(texts) and size < 4 * SEGMENT:
-                    part.append(texts[done + len(part)].as_py())
+                    part.append(read(texts[done + len(part)].as_py()))
                     size += len(part[-1])
                 for i, *found in finder.rows(part):
                     for column, value in zip(out, (ids[done + i], keys[done + i], *found)):
@@ -270,15 +296,16 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     return rows.mapInArrow(find, ANCHORS)
 
 
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _contexts(docs: DataFrame, wanted: DataFrame, words: bool) -> DataFrame:
     """(anchor, context, before, size, data) of the wanted representatives; one text is read once."""
     schema = "anchor long, context long, before int, crowd long, data binary"
     rows = docs.select("_id", "_key", "_data").join(growing(wanted), ["_id", "_key"]).select("_data", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _reader(words)
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1)):
-                text, rows = text.as_py(), wanted.as_py()
+                text, rows = read(text.as_py()), wanted.as_py()
                 out = [[w[c] for w in rows] for c in ("anchor", "context", "before", "crowd")]
                 yield _batch(schema, [*out, [text[w["at"] - w["before"] : w["at"] + w["after"]] for w in rows]])
 
@@ -335,9 +362,11 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
     return found.agg(F.max("before").alias("before"), (F.lit(length) - F.min("before")).alias("after"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(_id, _key, spans) of the texts that hold repeated strings; spans are (from, to) in bytes and may overlap."""
-    found = stage(anchors(docs, id_col, text_col, length, gram), "anchors")
+def spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: bool = False
+) -> DataFrame:
+    """(_id, _key, spans) of the texts that hold repeated strings; spans are (from, to) in bytes (of codes: ``words``) and may overlap."""
+    found = stage(anchors(docs, id_col, text_col, length, gram, words), "anchors")
     shared = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
     shared = stage(shared.filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "shared")
     shared = stage(found.join(growing(shared), "anchor"), "shared-anchors")  # a plain join of two tables: a hot anchor is split
@@ -350,7 +379,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     crowds = stage(mixed.groupBy("anchor").agg(F.count("*").alias("crowd")), "crowds")
     one = F.struct("anchor", "context", "of.at", "of.before", "of.after", "crowd")
     wanted = mixed.join(crowds, "anchor").groupBy(F.col("of.id").alias("_id"), F.col("of.text_key").alias("_key")).agg(F.collect_list(one).alias("wanted"))
-    cut = stage(_contexts(_keyed(docs, id_col, text_col), stage(wanted, "wanted")), "cut")
+    cut = stage(_contexts(_keyed(docs, id_col, text_col), stage(wanted, "wanted"), words), "cut")
     near = _sorted_groups(cut.filter(F.col("crowd") <= group), length)
     far = cut.filter(F.col("crowd") > group)
     parts = copied.unionByName(near)
@@ -403,14 +432,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     return rows.select(F.col(id_col).cast("bigint"), "_data", "_spans").mapInArrow(remove, schema)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows with all their columns, without the repeated bytes."""
-    rows = _with_spans(docs, spans(docs, id_col, text_col, **options), id_col, text_col)
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, **options) -> DataFrame:
+    """The rows with all their columns, without the repeated bytes; ``words``: nor runs of so many words or more that repeat."""
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    found = spans(docs, id_col, text_col, **options)
+    if words:
+        runs = spans(docs, id_col, text_col, length=words * CODE, words=True).withColumnRenamed("spans", "runs")
+        found = stage(found, "byte-spans").join(growing(stage(runs, "word-spans")), ["_id", "_key"], "full")
+    else:
+        found = found.withColumn("runs", none)
+    rows = _with_spans(docs, found, id_col, text_col)
 
     @F.pandas_udf("string")
-    def kept(data, found):
-        out = (_remaining(d, merged([(s["a"], s["b"]) for s in f])).decode("utf-8", "ignore") for d, f in zip(data, found))
-        return type(data)(list(out), dtype=object)
-
-    left: Column = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept("_data", F.coalesce("_spans", F.array().cast("array<struct<a:int,b:int>>"))))
+    def kept(data, found, runs):
+        reader, out = Words(), []
+        for d, f, r in zip(data, found, runs):
+            own = [(s["a"], s["b"]) for s in f]
+            if len(r):
+                own += reader.places(d, [(s["a"], s["b"]) for s in r])
+            out.append(_remaining(d, merged(own)).decode("utf-8", "ignore"))
+        return type(data)(out, dtype=object)
+
+    unchanged = F.col("_spans").isNull() & F.col("runs").isNull()
+    left: Column = F.when(unchanged, F.col(text_col)).otherwise(kept("_data", F.coalesce("_spans", none), F.coalesce("runs", none)))
     return rows.withColumn(text_col, left).select(*docs.columns)
