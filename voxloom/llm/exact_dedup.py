@@ -6,7 +6,8 @@ more bit, round by round, and the directory doubles with each round. A bucket is
 
 Texts are compared by their bytes: they are grouped by (key, text, length), which combines the copies that a map task
 holds before the exchange, so a group of copies of any size travels as a few rows per map task. The owner of a bucket
-chains the different texts of one key (a hash collision) in the order of their SHA-256, without the texts.
+chains the different texts of one key (a hash collision) in the order of their SHA-256, without the texts. The directory thus
+no longer carries the comparison: it only says which owner chains a key, and the result would be the same without it.
 
 Defined cases: a null text counts as empty; a null id sorts after all other ids; rows that repeat an id and
 its text are counted one by one, all carry the same result, and :func:`deduplicate` returns one of them; an
