@@ -11,7 +11,8 @@
    whose sizes cannot be similar, and pairs below the overlap that their sizes ask of the prefixes.
 5. Surviving pairs are compared on whole sets. Components of the links are found by passing on the smallest label.
 
-No pair is left out: a pair is either compared, in one component already, or below a bound that every link meets. The
+No component is cut: a pair is either compared, in one component already, or below a bound that every link meets. Pairs within
+one component are not all compared, so this gives components only, neither the linked pairs nor a number of links per document. The
 frequent n-grams only set the order, so their number is bounded (``HOT``) without an effect on the result.
 Sets are told apart by 64-bit hashes of n-grams and of whole sets.
 
