@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from voxloom.llm import byte_bpe, exact_dedup, licenses, ngram_join, packing, quality, quotations, suffix_dedup, token_counts, warc
+from voxloom.llm import byte_bpe, exact_dedup, licenses, merkle, ngram_join, packing, quality, quotations, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,4 +122,54 @@ def _suffix(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.judge(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+CRC_SQL = """crc_table AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) AS r(i))"""
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, with ``crc_table`` in the FROM clause."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen({v})::VARCHAR || ':' || {v}, '-')" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of every level of each tree of ``leaves(tree, i, n, h)``, and what stands left and right of each in its run."""
+    return f"""{name}_nodes(tree, l, n, i, h) AS (
+  SELECT tree, 0, n, i, h FROM {leaves}
+  UNION ALL SELECT tree, l + 1, (n + 2) // 3, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {name}_nodes WHERE n > 1 GROUP BY tree, l, n, i // 3),
+{name}_beside AS (
+  SELECT a.tree, a.l, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS rgt
+  FROM {name}_nodes a JOIN {name}_nodes b ON a.tree = b.tree AND a.l = b.l AND a.i // 3 = b.i // 3 WHERE a.n > 1 GROUP BY a.tree, a.l, a.i),
+{name}_tops AS (SELECT tree, h FROM {name}_nodes WHERE n = 1)"""
+
+
+@query("op11_merkle_manifest", rf"""
+WITH RECURSIVE {CRC_SQL},
+leaves AS (
+  SELECT doc_id, coalesce('s' || source, '') AS tree, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS now FROM documents, crc_table),
+placed AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_tree_sql('low', 'placed')},
+subroots AS (SELECT '' AS tree, tree AS source, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM low_tops),
+{_tree_sql('top', 'subroots')},
+low_walk(doc_id, tree, l, i, proof, h) AS (
+  SELECT doc_id, tree, 0, i, '', now FROM placed
+  UNION ALL SELECT w.doc_id, w.tree, w.l + 1, w.i // 3, w.proof || b.lft || b.rgt, sha256(b.lft || w.h || b.rgt) FROM low_walk w JOIN low_beside b ON w.tree = b.tree AND w.l = b.l AND w.i = b.i),
+low_end AS (SELECT doc_id, tree, arg_max(proof, l) AS proof, arg_max(h, l) AS h FROM low_walk GROUP BY doc_id, tree),
+top_walk(doc_id, l, i, proof, h) AS (
+  SELECT e.doc_id, 0, s.i, e.proof, e.h FROM low_end e JOIN subroots s ON e.tree = s.source
+  UNION ALL SELECT w.doc_id, w.l + 1, w.i // 3, w.proof || b.lft || b.rgt, sha256(b.lft || w.h || b.rgt) FROM top_walk w JOIN top_beside b ON w.l = b.l AND w.i = b.i),
+top_end AS (SELECT doc_id, arg_max(proof, l) AS proof, arg_max(h, l) AS h FROM top_walk GROUP BY doc_id)
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+FROM placed p JOIN subroots s ON p.tree = s.source JOIN top_end e ON p.doc_id = e.doc_id, top_tops r""")
+def _merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.lines_joined_audit(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
