@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from voxloom.llm import byte_bpe, exact_dedup, licenses, merkle, ngram_join, packing, quality, quotations, suffix_dedup, token_counts, warc
+from voxloom.llm import byte_bpe, exact_dedup, licenses, merkle, mixing, ngram_join, packing, prefix_trie, quality, quotations, suffix_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,4 +172,31 @@ def _merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.lines_joined_audit(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query("op12_source_mixing")
+def _mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_prefix_trie", rf"""
+WITH {CRC_SQL},
+turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS h FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(h ORDER BY turn NULLS FIRST, h) AS hs, list(length(text) ORDER BY turn NULLS FIRST, h) AS cs FROM turns GROUP BY conv_id),
+plan AS (SELECT conv_id, hs, cs, {_crc_sql('conv_id::VARCHAR')} % 6 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.hs, [])[1:p.h], p.hs[p.h + 1:]) AS hs, list_concat(coalesce(b.cs, [])[1:p.h], p.cs[p.h + 1:]) AS cs
+  FROM plan p LEFT JOIN own b ON b.conv_id = p.conv_id - p.conv_id % 100),
+steps AS (SELECT conv_id, len(hs) AS n, hs, cs, unnest(range(0, len(hs) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT array_to_string(hs[1:depth], '') AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(coalesce(cs[depth], 0)) AS chars,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = n), '') AS ends FROM steps GROUP BY 1, 2),
+children AS (SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+counted AS (SELECT v.*, coalesce(c.n, 0) AS n_children FROM nodes v LEFT JOIN children c ON v.node = c.node),
+below AS (SELECT left(node, 64 * above) AS node, (n_children = 0)::INT AS leaf, (n_convs - 1) * chars AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM counted)),
+sums AS (SELECT node, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY node)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, sha256(v.ends) AS ends_sha256
+FROM counted v JOIN sums s ON v.node = s.node LEFT JOIN nodes p ON v.depth > 0 AND p.node = left(v.node, 64 * (v.depth - 1))""")
+def _trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.conversations_trie(_table(spark, folder, "conversations"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
