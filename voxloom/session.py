@@ -6,11 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch: list[list[str]] = []
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "voxloom") -> SparkSession:
@@ -71,5 +74,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     large one is joined by shuffle. No broadcast hint is needed anywhere.
     """
     path = fresh_path(df.sparkSession, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Notes the tables that are staged inside, so that :func:`discard` can drop them once what reads them is written."""
+    noted: list[str] = []
+    _scratch.append(noted)
+    try:
+        yield noted
+    finally:
+        _scratch.pop()
+
+
+def discard(spark: SparkSession, tables: Sequence[str]) -> None:
+    """Drop staged tables that no plan will read again."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(conf).delete(path, True)
