@@ -1,5 +1,9 @@
+import itertools
 import re
 
+import duckdb
+from tests.compare import difference
+from voxloom.llm.catalog import SQL
 from voxloom.llm.quality import LineLimits, clean, judge
 
 SCHEMA = "doc_id long, text string, source string, host string"
@@ -69,3 +73,18 @@ def test_pages_mixed_from_a_few_shared_lines_count_each(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert judge(df).count() == 0 and clean(df).count() == 0
+
+
+def test_sql_counts_distinct_documents(spark):
+    """Pages made of a few shared lines in different orders, copies, and hosts with and without a name."""
+    shared = [" ".join(f"line{k}x{j}" for j in range(12)) for k in range(6)]
+    pages = list(itertools.permutations(shared))[:400]
+    rows = [(i, "\n".join(p), "a") for i, p in enumerate(pages)]
+    rows += [(1000 + i, "\n".join(pages[0]), None) for i in range(30)] + [(2000 + i, prose(i), ["", None, "a"][i % 3]) for i in range(30)]
+    rows += [(3000, None, "a"), (3001, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = judge(docs).withColumnRenamed("id", "doc_id").drop("text_key", "host")
+    assert difference(got, con, SQL["op7_quality_rules"]) is None
+    assert got.where("doc_id < 400 AND kept").count() == 0

@@ -71,20 +71,19 @@ def _ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("op7_quality_rules", r"""
-WITH docs AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT doc_id, coalesce('s' || source, '') AS host, coalesce(text, '') AS text FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, text, host FROM docs),
 positions AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM positions),
 repeated AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM windows, (VALUES (0), (1), (2)) AS o(k) WHERE windows.n > 1 GROUP BY doc_id),
-split AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM docs),
-lines AS (SELECT doc_id, host, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+split AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+lines AS (SELECT doc_id, host, pos, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM split WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines GROUP BY doc_id),
-hashed AS (SELECT doc_id, host, md5(array_to_string(w, ' ')) AS h, len(w) AS n FROM lines),
-own AS (SELECT DISTINCT doc_id, host, h FROM hashed),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS r FROM own),
-families AS (SELECT a.host, a.h, coalesce(b.h, '') AS family FROM ranked a LEFT JOIN ranked b ON a.doc_id = b.doc_id AND b.r = CASE WHEN a.r = 1 THEN 2 ELSE 1 END),
-counted AS (SELECT host, h, count(DISTINCT family) AS n FROM families GROUP BY host, h),
-hosts AS (SELECT host, count(*) AS n FROM docs GROUP BY host),
+hashed AS (SELECT doc_id, host, pos, md5(array_to_string(w, ' ')) AS h, len(w) AS n FROM lines),
+pages AS (SELECT doc_id, md5(string_agg(h, '' ORDER BY pos)) AS page FROM hashed GROUP BY doc_id),
+whole AS (SELECT d.doc_id, d.host, coalesce(p.page, '') AS page FROM docs d LEFT JOIN pages p ON d.doc_id = p.doc_id),
+counted AS (SELECT w.host, l.h, count(DISTINCT w.page) AS n FROM whole w JOIN hashed l ON w.doc_id = l.doc_id GROUP BY w.host, l.h),
+hosts AS (SELECT host, count(DISTINCT page) AS n FROM whole GROUP BY host),
 often AS (SELECT c.host, c.h FROM counted c JOIN hosts o ON c.host = o.host WHERE c.n > 10 AND c.n > o.n * 0.05::DOUBLE),
 lost AS (SELECT l.doc_id, sum(l.n)::BIGINT AS words, count(*)::BIGINT AS lines FROM hashed l JOIN often o ON l.host = o.host AND l.h = o.h GROUP BY l.doc_id),
 base AS (

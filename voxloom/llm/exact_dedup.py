@@ -21,8 +21,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from voxloom.llm.text import growing, same, whole, without_white
-from voxloom.session import stage
+from voxloom.llm.text import any_columns, growing, same, whole, without_white
+from voxloom.session import discard, scratch, stage
 
 KEY_BITS = 64
 CAPACITY = 4096  # distinct keys in a bucket
@@ -103,9 +103,13 @@ def copies(
     )
 
 
+@any_columns
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    verdict = stage(copies(docs, id_col, text_col, **options), "verdict")
+    with scratch() as inner:
+        verdict = copies(docs, id_col, text_col, **options)
+    verdict = stage(verdict, "verdict")
+    discard(docs.sparkSession, inner)
     gone = verdict.filter(~F.col("kept")).select(
         F.col("id").alias("_id"), F.col("text_sha256").alias("_digest"), F.col("chars").alias("_chars")
     ).distinct()

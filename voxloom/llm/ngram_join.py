@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from voxloom.llm.shingles import Shingler, pieces
-from voxloom.llm.text import growing, same, whole
-from voxloom.session import stage
+from voxloom.llm.text import any_columns, growing, same, whole
+from voxloom.session import discard, scratch, stage
 
 SIZE, PART, OF = 4, 85, 100  # words in an n-gram; similarity PART / OF
 HOT = 1 << 17
@@ -308,9 +308,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("best.id", "id").alias("component_id"))
 
 
+@any_columns
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, of the smallest id and then text key, with all its columns; one of repeated rows."""
-    found = stage(_represented(docs, id_col, text_col, **options), "components")
+    with scratch() as inner:
+        found = _represented(docs, id_col, text_col, **options)
+    found = stage(found, "components")
+    discard(docs.sparkSession, inner)
     first = same(F.col("id"), F.col("best.id")) & (F.col("text_key") == F.col("best.text_key"))
     gone = found.filter("best IS NOT NULL").filter(~first).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     on = same(F.col(id_col), F.col("_id")) & (F.xxhash64(whole(F.col(text_col))) == F.col("_key"))

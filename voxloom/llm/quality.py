@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from voxloom.functions.arrays import bind, indices
-from voxloom.llm.text import growing, joined_lines, same, whole, without_white, words_of
-from voxloom.session import stage
+from voxloom.llm.text import any_columns, growing, joined_lines, same, whole, without_white, words_of
+from voxloom.session import discard, scratch, stage
 
 SYMBOLS = "#*$%&|<>"  # fixed value
 
@@ -127,10 +127,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     return _verdicts(measured, _hits(measured, frequent), limits)
 
 
+@any_columns
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The kept rows with all their columns, the frequent lines removed from their text (null stays null)."""
-    measured = stage(measures(docs, id_col, text_col, host_col), "measures")
-    hits = stage(_hits(measured, stage(frequent_lines(measured, limits), "frequent")), "hits")
+    with scratch() as inner:
+        measured = stage(measures(docs, id_col, text_col, host_col), "measures")
+        hits = stage(_hits(measured, stage(frequent_lines(measured, limits), "frequent")), "hits")
     rejected = _verdicts(measured, hits, limits).filter(~F.col("kept")).select("id", "text_key", "host").distinct()
     cuts = hits.groupBy("id", "text_key", "host").agg(F.collect_set("line").alias("cuts"))
     marks = stage(
@@ -138,6 +140,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         .groupBy("id", "text_key", "host").agg(F.max("gone").alias("_gone"), F.first("cuts", ignorenulls=True).alias("_cuts"))
         .withColumnsRenamed({"id": "_id", "text_key": "_key", "host": "_host"}), "marks",
     )
+    discard(docs.sparkSession, inner)
     text = whole(F.col(text_col))
     on = same(F.col(id_col), F.col("_id")) & (F.xxhash64(text) == F.col("_key")) & same(F.col(host_col).cast("string"), F.col("_host"))
     left = bind(F.col("_cuts"), lambda c: joined_lines(F.filter(

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from voxloom.llm.shingles import Shingler
-from voxloom.llm.text import growing, whole
-from voxloom.session import stage
+from voxloom.llm.text import any_columns, growing, whole
+from voxloom.session import discard, scratch, stage
 
 LENGTH = 400
 GRAM = 64
@@ -283,7 +283,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             done = 0
             while done < len(texts):  # a few MB of texts at a time
                 part, size = [], 0
-                while done + len(part) < len(texts) and size < 4 * SEGMENT:
+                while done + len(part) < len(texts) and size < SEGMENT:
                     part.append(read(texts[done + len(part)].as_py()))
                     size += len(part[-1])
                 for i, *found in finder.rows(part):
@@ -391,6 +391,15 @@ def spans(
     return hits.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("span").alias("spans"))
 
 
+def _written_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """:func:`spans` as a table, without the tables of the search."""
+    with scratch() as inner:
+        found = spans(docs, id_col, text_col, **options)
+    found = stage(found, "spans")
+    discard(docs.sparkSession, inner)
+    return found
+
+
 def merged(spans_: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans_):
@@ -410,35 +419,43 @@ def _remaining(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _keyed(docs, id_col, text_col).join(growing(stage(found, "spans").withColumnRenamed("spans", "_spans")), ["_id", "_key"], "left")
+    return _keyed(docs, id_col, text_col).join(growing(found.withColumnRenamed("spans", "_spans")), ["_id", "_key"], "left")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    rows = _with_spans(docs, spans(docs, id_col, text_col, **options), id_col, text_col)
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    """id, n_bytes, n_removed, n_spans, kept_sha256, text of each row; ``text`` is what remains, without characters that are cut in two."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_col, text_col = "doc_id", "text"
+    rows = _with_spans(docs, _written_spans(docs, id_col, text_col, **options), id_col, text_col)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out, size = [[] for _ in range(6)], 0
             for doc, data, found in zip(*(batch.column(i) for i in range(3))):
                 data = data.as_py()
                 runs = merged([(s["a"], s["b"]) for s in found.as_py() or []])
-                row = (doc.as_py(), len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_remaining(data, runs)).hexdigest())
+                left = _remaining(data, runs)
+                row = (doc.as_py(), len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))
                 for column, value in zip(out, row):
                     column.append(value)
+                size += len(left)
+                if size >= 4 * SEGMENT:
+                    yield _batch(schema, out)
+                    out, size = [[] for _ in range(6)], 0
             yield _batch(schema, out)
 
     return rows.select(F.col(id_col).cast("bigint"), "_data", "_spans").mapInArrow(remove, schema)
 
 
+@any_columns
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, **options) -> DataFrame:
     """The rows with all their columns, without the repeated bytes; ``words``: nor runs of so many words or more that repeat."""
     none = F.array().cast("array<struct<a:int,b:int>>")
-    found = spans(docs, id_col, text_col, **options)
+    found = _written_spans(docs, id_col, text_col, **options)
     if words:
-        runs = spans(docs, id_col, text_col, length=words * CODE, words=True).withColumnRenamed("spans", "runs")
-        found = stage(found, "byte-spans").join(growing(stage(runs, "word-spans")), ["_id", "_key"], "full")
+        runs = _written_spans(docs, id_col, text_col, length=words * CODE, words=True).withColumnRenamed("spans", "runs")
+        found = found.join(growing(runs), ["_id", "_key"], "full")
     else:
         found = found.withColumn("runs", none)
     rows = _with_spans(docs, found, id_col, text_col)

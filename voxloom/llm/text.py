@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,22 @@ def growing(rows: DataFrame) -> DataFrame:
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)
+
+
+def any_columns(keep: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator that returns rows of ``docs``: its user's columns may have any names, the operator's own among them.
+
+    ``keep(docs, **columns, **options)`` sees them named by position; the arguments that end in ``_col`` name columns.
+    """
+
+    @wraps(keep)
+    def with_positions(docs: DataFrame, *args, **options) -> DataFrame:
+        given = dict(zip(keep.__code__.co_varnames[1 : keep.__code__.co_argcount], args)) | options
+        defaults = dict(zip(reversed(keep.__code__.co_varnames[: keep.__code__.co_argcount]), reversed(keep.__defaults__ or ())))
+        named = {k: v for k, v in (defaults | given).items() if k.endswith("_col")}
+        lower = [c.lower() for c in docs.columns]
+        places = {k: f"column{lower.index(v.lower())}" for k, v in named.items()}
+        rows = docs.toDF(*[f"column{i}" for i in range(len(lower))])
+        return keep(rows, **(given | places)).toDF(*docs.columns)
+
+    return with_positions
