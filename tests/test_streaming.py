@@ -1,10 +1,13 @@
+import glob
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from voxloom.operators.assemble import chunk_slices, timeline
 from voxloom.operators.runlog import cumulative_hours, running_best
 from voxloom.streaming import assemble, manifest, runlog
-from voxloom.streaming.state import write_version
+from voxloom.streaming.state import Buckets, write_version
 
 PIECES = "lane string, seq bigint, clip_id bigint, len bigint"
 
@@ -69,17 +72,17 @@ def test_a_batch_that_dies_halfway_is_run_again(spark, folder, monkeypatch):
     start = lambda: assemble.stream_assemble(spark.readStream.schema(PIECES).parquet(source), out, 10, 3)
     start().awaitTermination()
     given.where("seq >= 40").coalesce(1).write.mode("append").parquet(source)
-    real = assemble.write_version
+    real = Buckets.write
 
-    def dies(df, where, name, batch_id):
-        if name == "open":
+    def dies(self, rows, batch_id, touched):
+        if self.name == "lanes":
             raise RuntimeError("executor lost")
-        real(df, where, name, batch_id)
+        real(self, rows, batch_id, touched)
 
-    monkeypatch.setattr(assemble, "write_version", dies)
+    monkeypatch.setattr(Buckets, "write", dies)
     with pytest.raises(Exception, match="executor lost"):
         start().awaitTermination()
-    monkeypatch.setattr(assemble, "write_version", real)
+    monkeypatch.setattr(Buckets, "write", real)
     query = start()
     query.awaitTermination()
     rest = assemble.flushed_slices(spark, out, assemble.last_batch(spark, out))
@@ -156,3 +159,37 @@ def test_files_count_only_with_their_manifest_row(spark, folder, monkeypatch):
     start().awaitTermination()  # the shards of the batch that died are replaced
     assert manifest.completed_files(spark, out).count() == 2
     assert manifest.manifest_state(spark, out).first()["next_train_shard_idx"] == 3
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, folder):
+    source, out = f"{folder}/in", f"{folder}/out"
+    many = spark.range(300).select(F.format_string("lane%d", "id").alias("lane"), F.lit(1).cast("bigint").alias("seq"), F.col("id").alias("clip_id"), F.lit(4).cast("bigint").alias("len"))
+    one = lambda seq: spark.createDataFrame([("lane7", seq, 900 + seq, 4)], PIECES)
+    given = [many, one(2), one(3), one(4)]
+    for part in given:
+        part.coalesce(1).write.mode("append").parquet(source)
+        assemble.stream_assemble(spark.readStream.schema(PIECES).parquet(source), out, 10, 0, buckets=16).awaitTermination()
+    written = lambda name, v: len(glob.glob(f"{out}/{name}/version={v}/bucket=*"))
+    assert [written("lanes", v) for v in range(4)] == [15, 0, 1, 1]  # the first without the bucket of lane7; the second is superseded
+    assert written("open", 0) == 15 and written("open", 3) == 1
+    assert sorted(os.listdir(f"{out}/lanes-index")) == ["version=2", "version=3"]
+    last = assemble.last_batch(spark, out)
+    assert assemble.lane_state(spark, out, last, 16).count() == 300
+    got = assemble.assembled_slices(spark, out).unionByName(assemble.flushed_slices(spark, out, last, 16))
+    every = given[0].unionByName(given[1]).unionByName(given[2]).unionByName(given[3])
+    want = chunk_slices(timeline(every, 10, 0), 10)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    with pytest.raises(ValueError, match="16 buckets"):
+        assemble.lane_state(spark, out, last, 8)
+
+
+def test_a_manifest_stops_on_hard_drift(spark, folder):
+    rows = [(i, "f", "train", {"txt": bytearray(b"x")}) for i in range(4)]
+    samples = spark.createDataFrame(rows, "id bigint, path string, split string, members map<string,binary>")
+    samples.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = lambda: spark.readStream.schema(samples.schema).parquet(f"{folder}/in")
+    manifest.manifest_commit(stream(), f"{folder}/out", ["id"], {"shard_size": 2, "seed": 1}, 2).awaitTermination()
+    with pytest.raises(ValueError, match="shard_size was 2 and is 3"):
+        manifest.manifest_commit(stream(), f"{folder}/out", ["id"], {"shard_size": 3, "seed": 1}, 3)
+    with pytest.warns(UserWarning, match="seed"):
+        manifest.manifest_commit(stream(), f"{folder}/out", ["id"], {"shard_size": 2, "seed": 5}, 2).awaitTermination()

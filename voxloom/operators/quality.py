@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Which changed settings stop a resume and which only warn.
@@ -57,3 +58,18 @@ def config_drift(
         .where(~F.col("previous").eqNullSafe(F.col("current")))
         .select(*by, "setting", "previous", "current", severity.alias("severity"))
     )
+
+
+def stop_on_drift(spark: SparkSession, before: dict | None, now: dict, hard: Sequence[str] = HARD_KEYS, soft: Sequence[str] = SOFT_KEYS) -> None:
+    """Refuse to go on with another value of a hard setting; warn of the soft ones. ``before`` is None at the first start."""
+    if before is None:
+        return
+    table = lambda settings: spark.createDataFrame(
+        [({k: str(v) for k, v in settings.items()},)], "config map<string,string>"
+    )
+    for row in config_drift(table(before), table(now), (), hard=hard, soft=soft).orderBy("setting").collect():
+        said = f"{row['setting']} was {row['previous']} and is {row['current']}"
+        if row["severity"] == "error":
+            raise ValueError(f"the run cannot be resumed: {said}")
+        if row["severity"] == "warning":
+            warnings.warn(f"resumed with other settings: {said}", stacklevel=2)

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxloom.operators.order import SHARD_SIZE
+from voxloom.operators.quality import stop_on_drift
 from voxloom.session import stage
 from voxloom.sinks.shards import number_samples, write_shards
+from voxloom.sources.store import recover
 from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
 
 VERSION = 1
@@ -35,18 +37,21 @@ def manifest_commit(
 ) -> StreamingQuery:
     """Number, shard and write a stream of (path, split, members, order columns).
 
-    Counters go on from the manifest row of the batch before. The manifest row and the completed
+    Numbers, keys and shards are found on ids; the members are joined to them once. Counters go on from the manifest row of the batch
+    before; a start with other settings than it names stops on hard drift. The manifest row and the completed
     files are written after the shards, so a file counts as completed only once its samples are in
-    place. Shards beyond the counters are left by a batch that died and are replaced. Each batch begins new shards; the last shard of a batch may be short.
+    place. All rows of a file have to come in one batch, as they do from a file source. Shards beyond the counters are left by a batch that died and are replaced. Each batch begins new shards; the last shard of a batch may be short.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        recover(spark, f"{folder}/shards")
         before = read_version(spark, folder, "manifest", batch_id - 1, MANIFEST).first()
         train, val, key = (before[c] if before else 0 for c in COUNTERS)
-        rows = stage(batch, "stream-samples")
-        numbered = stage(number_samples(rows, order, size, key, {"train": train, "val": val}), "stream-numbered")
-        write(numbered, f"{folder}/shards")
+        rows = stage(batch.withColumn("_row", F.monotonically_increasing_id()), "stream-samples")
+        ids = rows.select("_row", "path", "split", *order)
+        numbered = stage(number_samples(ids, order, size, key, {"train": train, "val": val}), "stream-numbered")
+        write(numbered.drop("path").join(rows.select("_row", "members"), "_row"), f"{folder}/shards")
         write_version(rows.select("path").distinct(), folder, "files", batch_id)
         after = lambda split, first: F.coalesce(
             F.max(F.when(F.col("split") == split, F.col("shard_idx") + 1)), F.lit(first).cast("bigint")
@@ -61,6 +66,9 @@ def manifest_commit(
         )
         write_version(row, folder, "manifest", batch_id)
 
+    spark = samples.sparkSession
+    last = manifest_state(spark, folder).first()
+    stop_on_drift(spark, json.loads(last["args"]) if last else None, args)
     return run_batches(samples, folder, step, available_now)
 
 
@@ -68,7 +76,7 @@ def manifest_state(spark: SparkSession, folder: str) -> DataFrame:
     """The counters after the last committed batch."""
     rows = read_output(spark, folder, "manifest", MANIFEST, newest_version(spark, folder, "manifest"))
     last = F.max_by(F.struct(*rows.columns), "batch_id")
-    return rows.agg(last.alias("_last")).select("_last.*")
+    return rows.agg(last.alias("_last")).where(F.col("_last").isNotNull()).select("_last.*")
 
 
 def completed_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from voxloom.operators.runlog import RUN, cumulative_hours, running_best
 from voxloom.operators.scan import BLOCK_ROWS
 from voxloom.session import stage
-from voxloom.streaming.state import newest_version, read_output, read_version, run_batches, write_version
+from voxloom.streaming.state import BUCKETS, Buckets, newest_version, read_output, run_batches, write_version
 
 STATE = "run_id string, segment string, best double, seconds double, last_step bigint, dropped bigint"
 LATE = "run_id string, segment string, step bigint, value double, audio_sec double"
@@ -20,15 +20,18 @@ BEST = (
 
 
 def stream_running_best(
-    log: DataFrame, folder: str, block_rows: int = BLOCK_ROWS, available_now: bool = True
+    log: DataFrame, folder: str, block_rows: int = BLOCK_ROWS, available_now: bool = True, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """For a stream of (run_id, segment, step, value, audio_sec): is_best and hours per step.
 
-    Steps at or before the last one seen in their run segment are counted and written to the table of late rows.
+    Steps at or before the last one seen in their run segment are counted and written to the table of late rows. Of the state of
+    runs, a batch reads and writes the buckets of its own runs.
     """
+    runs = _runs(folder, buckets)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        state = read_version(batch.sparkSession, folder, "runs", batch_id - 1, STATE)
+        touched = runs.touched(batch)
+        state = runs.read(batch.sparkSession, batch_id - 1, touched)
         rows = batch.select(*RUN, "step", "value", "audio_sec")
         late = F.coalesce(F.col("step") <= F.col("last_step"), F.lit(False))
         joined = rows.join(state.drop("dropped"), list(RUN), "left").withColumn("_late", late)
@@ -60,11 +63,16 @@ def stream_running_best(
             (F.coalesce("dropped", none) + F.coalesce("_dropped", none)).alias("dropped"),
         )
         write_version(marked.where("_late").select(*RUN, "step", "value", "audio_sec"), folder, "late", batch_id)
-        write_version(now, folder, "runs", batch_id)
+        runs.write(now, batch_id, touched)
+        runs.drop_old(batch.sparkSession, batch_id)
 
     return run_batches(log, folder, step, available_now)
 
 
+def _runs(folder: str, buckets: int = BUCKETS) -> Buckets:
+    return Buckets(folder, "runs", RUN, STATE, buckets)
+
+
 def best_so_far(spark: SparkSession, folder: str) -> DataFrame:
     return read_output(spark, folder, "best", BEST, last_batch(spark, folder))
 
@@ -76,8 +84,8 @@ def late_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def last_batch(spark: SparkSession, folder: str) -> int:
     """Id of the last batch that was finished, or -1. A batch writes the state of its runs last."""
-    return newest_version(spark, folder, "runs")
+    return newest_version(spark, folder, "runs-index")
 
 
-def run_state(spark: SparkSession, folder: str, last_batch: int) -> DataFrame:
-    return read_version(spark, folder, "runs", last_batch, STATE)
+def run_state(spark: SparkSession, folder: str, last_batch: int, buckets: int = BUCKETS) -> DataFrame:
+    return _runs(folder, buckets).read(spark, last_batch)
