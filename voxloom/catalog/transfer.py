@@ -15,6 +15,7 @@ from voxloom.functions.sql import register
 from voxloom.operators.order import split_train_val
 from voxloom.operators.scan import value_block
 from voxloom.plans import corpus
+from voxloom.plans.prepare import Preparation, ledger, preparation_skips, prepare_corpus
 from voxloom.session import fresh_path, stage
 from voxloom.sinks.shards import number_samples, write_shards
 from voxloom.sources import clips as clip_source
@@ -135,26 +136,126 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("prepared_corpus")
+PREPARATION = Preparation(
+    sr=160, chunk=480, gap=16, hop=16, frame=16, low=0.02, high=0.05, min_voiced_s=0.2, join_gap_s=0.1, seed=3, val_fraction=0.1,
+    shard_size=50, sr_min=100, wave_files=3,
+)
+_SCALED = "CAST(v AS FLOAT) * CAST(32767 AS FLOAT)"
+_PCM = f"trunc(CASE WHEN {_SCALED} > 32767 THEN 32767 WHEN {_SCALED} < -32767 THEN -32767 ELSE {_SCALED} END)"
+_LOUD = "-0.691 + 10 * log10({})"
+_ZEROS = "list_transform(range({}), lambda z: CAST(0 AS FLOAT))"
+_PREPARED_SQL = f"""
+    file AS (SELECT name, (row_number() OVER (ORDER BY md5('3:' || name), name) - 1) // 3 AS wave FROM (SELECT DISTINCT 'file=' || vec_id % 5 AS name FROM embeddings)),
+    raw AS (SELECT vec_id AS clip_id, 'file=' || vec_id % 5 AS name,
+                   list_transform(embedding, lambda v: CAST({_PCM} AS FLOAT) / CAST(32768 AS FLOAT)) AS q FROM embeddings
+            WHERE vec_id % 19 <> 0 AND vec_id % 23 <> 0 AND vec_id % 17 <> 0),
+    sig AS (SELECT clip_id, name, list_concat(list_concat(q, q), list_concat(q, q)) AS x FROM raw),
+    hops AS (SELECT *, list_transform(range(16), lambda i: list_sum(list_transform(x[16 * i + 1:16 * i + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE)))) AS h FROM sig),
+    blocks AS (SELECT clip_id, unnest(list_transform(range(13), lambda i: list_sum(h[i + 1:i + 4]) / 64)) AS e FROM hops),
+    loud AS (SELECT clip_id, e FROM blocks WHERE e > 0 AND {_LOUD.format('e')} > -70),
+    gate AS (SELECT clip_id, {_LOUD.format('avg(e)')} - 10 AS g FROM loud GROUP BY clip_id),
+    level AS (SELECT l.clip_id, {_LOUD.format('avg(e)')} AS lufs FROM loud l JOIN gate USING (clip_id) WHERE {_LOUD.format('e')} > g GROUP BY l.clip_id),
+    gain AS (SELECT s.*, power(10, (-23 - lufs) / 20) AS g, list_max(list_transform(x, lambda v: abs(CAST(v AS DOUBLE)))) AS top FROM sig s LEFT JOIN level USING (clip_id)),
+    lev AS (SELECT clip_id, name, list_transform(x, lambda v: CAST(CAST(v AS DOUBLE) * CASE WHEN g IS NULL THEN 1 WHEN top * g >= 1 THEN power(10, -0.05) / top ELSE g END AS FLOAT)) AS y FROM gain),
+    padded AS (SELECT *, list_concat(list_concat({_ZEROS.format(80)}, y), {_ZEROS.format(80)}) AS p FROM lev),
+    frame AS (SELECT clip_id, unnest(range(26)) AS f, p FROM padded),
+    scored AS (SELECT clip_id, f, CASE WHEN f = 25 THEN 0 ELSE sqrt(list_sum(list_transform(p[16 * f + 1:16 * f + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 16) END AS r FROM frame),
+    held AS (SELECT clip_id, f, coalesce(last_value(CASE WHEN r >= 0.05 THEN true WHEN r <= 0.02 THEN false END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY f), false) AS voiced FROM scored),
+    run AS (SELECT clip_id, f, f - row_number() OVER (PARTITION BY clip_id ORDER BY f) AS g FROM held WHERE voiced),
+    bound AS (SELECT clip_id, min(f) * 512 / 16000 * 160 AS s, (max(f) + 1) * 512 / 16000 * 160 AS e FROM run GROUP BY clip_id, g),
+    seg AS (SELECT clip_id, CAST(trunc(s) AS BIGINT) AS s, CAST(least(416, trunc(e)) AS BIGINT) AS e FROM bound WHERE least(416, trunc(e)) - trunc(s) >= 32),
+    segs AS (SELECT clip_id, list({{'s': s, 'e': e}} ORDER BY s) AS b FROM seg GROUP BY clip_id),
+    joined AS (SELECT clip_id, name, CASE WHEN b IS NULL THEN y ELSE
+                 flatten(list_transform(b, lambda x, i: CASE WHEN i = 1 THEN p[x.s + 1:x.e] ELSE list_concat({_ZEROS.format(16)}, p[x.s + 1:x.e]) END)) END AS z
+               FROM padded LEFT JOIN segs USING (clip_id)),
+    lanes AS (SELECT name AS lane, clip_id AS seq, clip_id, CAST(len(z) AS BIGINT) AS len FROM joined),"""
+_CHUNKS_SQL = f"""
+    sample AS (SELECT t.lane, t.s + k - 1 AS spot, CAST(j.z[k] AS FLOAT) AS v FROM (SELECT *, unnest(range(1, len + 1)) AS k FROM placed) t JOIN joined j USING (clip_id)),
+    chunk AS (SELECT lane, spot // 480 AS chunk, CAST(sum({_PCM}) AS BIGINT) AS pcm_sum, CAST(sum(trunc(v * CAST(100 AS FLOAT))) AS BIGINT) AS code_sum FROM sample GROUP BY ALL),
+    drawn AS (SELECT c.*, wave, md5('3:' || lane || ':' || chunk) AS draw, CASE WHEN {uniform_sql(4, "lane || ':' || chunk")} < 0.1 THEN 'val' ELSE 'train' END AS split
+              FROM chunk c JOIN file ON lane = name),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY wave, draw, lane, chunk) - 1 AS n, row_number() OVER (PARTITION BY wave, split ORDER BY draw, lane, chunk) - 1 AS k FROM drawn),
+    full_waves AS (SELECT split, wave, CAST(ceil(count(*) / 50) AS BIGINT) AS shards FROM ranked GROUP BY split, wave),
+    begins AS (SELECT f.split, f.wave, coalesce(sum(b.shards), 0) AS first FROM full_waves f LEFT JOIN full_waves b ON b.split = f.split AND b.wave < f.wave GROUP BY f.split, f.wave)"""
+
+
+def _clip_files(t: Tables) -> DataFrame:
+    """Five Parquet files of wav clips, of which some are empty, no wav, or of a low rate; (path)."""
+    sr = F.when(F.col("vec_id") % 17 == 0, F.lit(80)).otherwise(F.lit(160))
+    wav = wav_bytes(arrays.pcm16(F.flatten(F.array_repeat("embedding", 4))), sr)
+    payload = F.when(F.col("vec_id") % 19 == 0, F.lit(b"")).when(F.col("vec_id") % 23 == 0, F.lit(b"RIFF")).otherwise(wav)
+    folder = fresh_path(t.spark, "clip-files")
+    rows = t.embeddings.select("vec_id", payload.alias("audio_data"), (F.col("vec_id") % 5).alias("file"))
+    rows.repartition(5, "file").sortWithinPartitions("file", "vec_id").select("audio_data", "file").write.partitionBy("file").parquet(folder)
+    return t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+
+
+def _prepared(t: Tables) -> str:
+    folder = fresh_path(t.spark, "prepared")
+    # One code row per 12.8 samples of a 160 Hz signal stands in for the codec's output.
+    codes = lambda samples: F.transform(F.slice(samples, 1, 480 - 480 % 16), lambda v: (v * 100).cast("int"))
+    name = lambda path: F.regexp_extract(path, "([^/]+)/[^/]*$", 1)
+    files = stage(_clip_files(t), "clip-paths")
+    prepare_corpus(t.spark, files, folder, PREPARATION, codes, name=name)
+    return folder
+
+
+@query(
+    "prepared_corpus",
+    timeline_sql("SELECT * FROM lanes", 480, 16).replace("WITH RECURSIVE", "WITH RECURSIVE" + _PREPARED_SQL) + "," + _CHUNKS_SQL + """
+    SELECT split, printf('shard-%06d.tar', CAST(first AS BIGINT) + k // 50) AS shard, printf('%08d', n) AS key, 30 AS num_codes, code_sum, 160 AS sr, 480 AS n_audio, pcm_sum
+    FROM ranked JOIN begins USING (split, wave)""",
+)
 def _(t: Tables) -> DataFrame:
-    """Signals to shards and back to padded batches, through every step of preparation and loading."""
-    signals = t.embeddings.select(
-        F.col("vec_id").alias("clip_id"), F.lit(160).alias("sr"),
-        F.flatten(F.array_repeat("embedding", 4)).alias("samples"),
+    """Encoded clips to committed shards, and every sample of both splits read back."""
+    folder = _prepared(t)
+    both = [read_shards(t.spark, f"{folder}/shards/{s}/shard-*.tar").withColumn("split", F.lit(s)) for s in ("train", "val")]
+    found = both[0].unionByName(both[1]).select(
+        "split", "shard", "key", npy_codes(F.try_element_at("members", F.lit("npy"))).alias("codes"),
+        wav_signal(F.try_element_at("members", F.lit("wav"))).alias("signal"),
     )
-    level = corpus.level_signals(signals, hop=16)
-    voiced = stage(
-        corpus.voiced_signals(stage(level, "level"), arrays.rms, frame=16, lo=0.02, hi=0.05, min_voiced=0.2, gap=0.1),
-        "voiced",
+    whole = lambda a, v: a + v.cast("bigint")
+    back = F.transform("signal.samples", lambda v: F.round(v.cast("double") * 32768).cast("int"))
+    return found.select(
+        "split", "shard", "key", F.size(arrays.codes_matrix("codes")).cast("bigint").alias("num_codes"),
+        F.aggregate("codes", F.lit(0).cast("bigint"), whole).alias("code_sum"), F.col("signal.sr").cast("bigint").alias("sr"),
+        F.size("signal.samples").cast("bigint").alias("n_audio"), F.aggregate(back, F.lit(0).cast("bigint"), whole).alias("pcm_sum"),
     )
-    chunks = corpus.chunk_signals(voiced, F.pmod(F.col("clip_id"), F.lit(4)).cast("string"), chunk=480, gap=16)
-    # One code row per 12.8 samples of a 160 Hz signal stands in for the codec's output.
-    codes = F.transform(F.slice("samples", 1, 480 - 480 % 16), lambda v: (v * 100).cast("int"))
-    ready = corpus.shard_samples(stage(chunks, "chunks"), codes, sr=160, seed=3, val_fraction=0.1, shard_size=50)
-    folder = fresh_path(t.spark, "prepared")
-    write_shards(ready, folder)
-    batches = corpus.load_batches(t.spark, f"{folder}/train/shard-*.tar", size=8, seed=3, max_s=2.0)
-    return batches.select("shard", "key", "batch_id", "pos", "code_len", "audio_len", F.size("audio").alias("padded"))
+
+
+@query(
+    "preparation_ledger",
+    timeline_sql("SELECT * FROM lanes", 480, 16).replace("WITH RECURSIVE", "WITH RECURSIVE" + _PREPARED_SQL) + "," + _CHUNKS_SQL + """,
+    skips AS (SELECT coalesce(CASE WHEN vec_id % 23 = 0 THEN 'undecodable' WHEN vec_id % 17 = 0 THEN 'low_rate' END, 'kept') AS skip_reason, count(*) AS n
+              FROM embeddings WHERE vec_id % 19 <> 0 GROUP BY 1)
+    SELECT 'skips' AS what, skip_reason AS item, n FROM skips
+    UNION ALL SELECT 'counter', 'global_key', count(*) FROM ranked
+    UNION ALL SELECT 'counter', 'next_' || split || '_shard_idx', CAST(sum(shards) AS BIGINT) FROM full_waves GROUP BY split
+    UNION ALL SELECT 'counter', 'waves', count(DISTINCT wave) FROM file""",
+)
+def _(t: Tables) -> DataFrame:
+    """Skip counts and counters of a preparation, as its ledger has them."""
+    folder = _prepared(t)
+    rows = ledger(t.spark, folder)
+    last = rows.agg(
+        F.max("global_key").alias("global_key"), F.max("next_train_shard_idx").alias("next_train_shard_idx"),
+        F.max("next_val_shard_idx").alias("next_val_shard_idx"), F.count(F.lit(1)).alias("waves"),
+    )
+    counters = last.unpivot([], last.columns, "item", "n").select(F.lit("counter").alias("what"), "item", F.col("n").cast("bigint").alias("n"))
+    skips = preparation_skips(t.spark, folder).select(F.lit("skips").alias("what"), F.col("skip_reason").alias("item"), "n")
+    return counters.unionByName(skips)
+
+
+@query(
+    "clip_groups",
+    """SELECT 'pages.parquet' AS file, page_id AS row, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS digest, NULL::BIGINT AS rows_lost FROM pages""",
+)
+def _(t: Tables) -> DataFrame:
+    found = clip_source.read_clip_groups(t.spark, t.folder, payload_col="html", glob="pages.parquet")
+    return found.select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "row", F.length("payload").cast("bigint").alias("n_bytes"),
+        F.md5("payload").alias("digest"), "rows_lost",
+    )
 
 
 _EVALUATION_SQL = """

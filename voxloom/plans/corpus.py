@@ -28,7 +28,7 @@ from voxloom.operators.segment import (
 )
 from voxloom.session import stage
 from voxloom.sinks.shards import number_samples
-from voxloom.sources.shards import expand_shards, read_shards
+from voxloom.sources.shards import list_shards, read_shards
 
 
 def level_signals(signals: DataFrame, hop: int) -> DataFrame:
@@ -64,18 +64,18 @@ def chunk_signals(signals: DataFrame, lane: Column, chunk: int, gap: int) -> Dat
     return materialize_chunks(slices, signals, chunk)
 
 
-def shard_samples(
-    chunks: DataFrame, codes: Column, sr: int, seed: int, val_fraction: float, shard_size: int, start_key: int = 0
+def number_chunks(
+    ids: DataFrame, seed: int, val_fraction: float, shard_size: int, start_key: int = 0, start_idx: dict[str, int] | None = None
 ) -> DataFrame:
-    """chunks(lane, chunk, samples) shuffled, split, keyed, sharded and encoded as (wav, npy) members.
+    """ids(lane, chunk) shuffled, split, keyed and sharded: adds split, n, key, shard_idx and shard."""
+    drawn = ids.select("lane", "chunk").withColumn("_draw", md5_key(seed, "lane", "chunk"))
+    split = split_train_val(drawn, ["lane", "chunk"], val_fraction, seed)
+    order = ["_draw", "lane", "chunk"]
+    return number_samples(split, order, shard_size, start_key, start_idx, block=hash_block(uniform("_draw"))).drop("_draw")
 
-    Order, keys and shards are decided on ids alone; the encoded payload is joined afterwards.
-    """
-    ids = chunks.select("lane", "chunk").withColumn("_draw", md5_key(seed, "lane", "chunk"))
-    split = split_train_val(ids, ["lane", "chunk"], val_fraction, seed)
-    numbered = number_samples(
-        split, ["_draw", "lane", "chunk"], shard_size, start_key, block=hash_block(uniform("_draw"))
-    )
+
+def encoded_chunks(chunks: DataFrame, numbered: DataFrame, codes: Column, sr: int) -> DataFrame:
+    """(split, shard, key, members) of numbered chunks; the samples are encoded as (wav, npy) and joined to the numbers once."""
     members = F.create_map(
         F.lit("wav"), wav_bytes(arrays.pcm16("samples"), F.lit(sr)), F.lit("npy"), npy_bytes(codes)
     )
@@ -83,6 +83,13 @@ def shard_samples(
     return numbered.join(encoded, ["lane", "chunk"]).select("split", "shard", "key", "members")
 
 
+def shard_samples(
+    chunks: DataFrame, codes: Column, sr: int, seed: int, val_fraction: float, shard_size: int, start_key: int = 0
+) -> DataFrame:
+    """chunks(lane, chunk, samples) shuffled, split, keyed, sharded and encoded as (wav, npy) members."""
+    return encoded_chunks(chunks, number_chunks(chunks, seed, val_fraction, shard_size, start_key), codes, sr)
+
+
 def training_samples(
     samples: DataFrame, seed: int, min_s: float, max_s: float, decode: Callable[[Column, Column], Column] | None = None
 ) -> DataFrame:
@@ -177,17 +184,18 @@ def judged_samples(
 
 
 def load_evaluation_samples(
-    spark: SparkSession, pattern: str, n: int, min_s: float = 1.0, max_s: float = 10.0, first: int = 8
-) -> tuple[DataFrame, DataFrame]:
+    spark: SparkSession, pattern: str, n: int, min_s: float = 1.0, max_s: float = 10.0, first: int = 8,
+    decode: Callable[[Column, Column], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The first ``n`` valid samples in (shard, key) order, and skip counts up to the last of them.
 
     Shards are read in order, ``first`` of them and then twice as many each time, until there are
     enough valid samples: later shards are never opened.
     """
-    paths, parts, valid, at = expand_shards(pattern), [], 0, 0
+    paths, parts, valid, at = list_shards(spark, pattern), [], 0, 0
     while not parts or (valid < n and at < len(paths)):
         some = paths[at : at + first]
-        parts.append(stage(judged_samples(read_shards(spark, some), min_s, max_s), "judged"))
+        parts.append(stage(judged_samples(read_shards(spark, some), min_s, max_s, decode), "judged"))
         valid += parts[-1].where(F.col("skip_reason").isNull()).count()
         at, first = at + len(some), 2 * first
     judged = reduce(DataFrame.unionByName, parts)

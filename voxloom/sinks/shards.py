@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.operators.order import SHARD_SIZE, assign_keys, assign_shards
@@ -84,6 +85,16 @@ def write_shards(df: DataFrame, folder: str, replace: bool = False) -> None:
     store.delete(root)
 
 
+def drop_shards_from(spark: SparkSession, folder: str, first: dict[str, int]) -> None:
+    """Remove the shards of each split from a number on: no ledger names them, a run that died has left them."""
+    store = Store(spark, folder)
+    for split, idx in first.items():
+        for name in store.names(f"{folder}/{split}"):
+            number = re.fullmatch(r"shard-(\d+)\.tar", name)
+            if number and int(number[1]) >= idx:
+                store.delete(f"{folder}/{split}/{name}")
+
+
 def number_samples(
     df: DataFrame,
     order: Sequence[str],

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from voxloom.sources.shards import mounted
 
 NESTED_CLIP = T.StructType(
     [
@@ -51,6 +60,120 @@ def unreadable_files(spark: SparkSession, folder: str, clips: DataFrame, glob: s
     return silent.withColumn("skip_reason", F.lit("unreadable"))
 
 
+# -- by row group, with a ledger of what is lost -------------------------------------------------
+
+GROUPS_FORMAT = "voxclips"
+GROUPS_DDL = "payload binary, path string, row bigint, row_group int, rows_lost bigint, skip_reason string"
+READ_ROWS = 64
+GROUP_BYTES = 128 << 20
+NO_GROUP = -1  # the footer cannot be read, so nothing is known of the rows
+_GROUPS = pa.schema([
+    ("payload", pa.binary()), ("path", pa.string()), ("row", pa.int64()),
+    ("row_group", pa.int32()), ("rows_lost", pa.int64()), ("skip_reason", pa.string()),
+])
+
+
+def _loss(path: str, group: int, lost: int | None, why: str) -> pa.RecordBatch:
+    return pa.record_batch([[None], [path], [None], [group], [lost], [why]], schema=_GROUPS)
+
+
+def _group_rows(source, path: str, payload_col: str, start: int, end: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of the row groups whose middle lies in a byte range; a group that fails gives the rows before it and one row of loss."""
+    try:
+        file = pq.ParquetFile(source, page_checksum_verification=True)
+        if payload_col not in file.schema_arrow.names:
+            raise ValueError(f"no column {payload_col}")
+    except (pa.ArrowException, OSError, ValueError):
+        if start == 0:
+            yield _loss(path, NO_GROUP, None, "unreadable")
+        return
+    first = 0
+    for group in range(file.metadata.num_row_groups):
+        about = file.metadata.row_group(group)
+        columns = [about.column(i) for i in range(about.num_columns)]
+        begin = min(c.dictionary_page_offset or c.data_page_offset for c in columns)
+        middle = begin + sum(c.total_compressed_size for c in columns) // 2
+        done, rows = 0, about.num_rows
+        if start <= middle and (end is None or middle < end):
+            try:
+                for batch in file.iter_batches(READ_ROWS, row_groups=[group], columns=[payload_col]):
+                    values, n = batch.column(0).cast(pa.binary()), batch.num_rows
+                    at = pa.array(range(first + done, first + done + n), pa.int64())
+                    none = pa.nulls(n)
+                    yield pa.record_batch(
+                        [values, pa.array([path] * n), at, pa.array([group] * n, pa.int32()), none.cast(pa.int64()), none.cast(pa.string())], schema=_GROUPS
+                    )
+                    done += n
+            except (pa.ArrowException, OSError, ValueError):
+                pass
+            if done < rows:
+                yield _loss(path, group, rows - done, "unreadable_rows")
+        first += rows
+
+
+@dataclass
+class GroupPartition(InputPartition):
+    path: str
+    start: int
+    end: int
+
+
+class GroupReader(DataSourceReader):
+    def __init__(self, files: list[tuple[str, int]], payload_col: str, split_bytes: int):
+        self.files, self.payload_col, self.split_bytes = files, payload_col, split_bytes
+
+    def partitions(self) -> list[InputPartition]:
+        step = self.split_bytes
+        return [GroupPartition(path, at, at + step) for path, size in self.files for at in range(0, max(size, 1), step)]
+
+    def read(self, partition: GroupPartition) -> Iterator[pa.RecordBatch]:
+        return _group_rows(mounted(partition.path), partition.path, self.payload_col, partition.start, partition.end)
+
+
+class GroupSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return GROUPS_FORMAT
+
+    def schema(self) -> str:
+        return GROUPS_DDL
+
+    def reader(self, schema) -> DataSourceReader:
+        pairs = [line.rsplit("\t", 1) for line in self.options["files"].split("\n") if line]
+        return GroupReader([(path, int(size)) for path, size in pairs], self.options["column"], int(self.options["splitBytes"]))
+
+
+def read_clip_groups(
+    spark: SparkSession, folder: str | Sequence[str], payload_col: str = "audio_data", glob: str = "*.parquet", split_bytes: int = GROUP_BYTES
+) -> DataFrame:
+    """(payload, path, row, row_group, rows_lost, skip_reason): the readable rows of every file, and a row for each loss.
+
+    A damaged row group gives the rows before the damage and one row with a ``skip_reason`` and the number of ``rows_lost``, so rows read
+    and rows lost add up to the footers. A file without a readable footer gives one row whose loss is unknown (NULL). An empty file
+    gives nothing. Files are listed by Spark. On a mounted path a task reads the row groups of one byte range; on any
+    other store it is handed whole files, which then must be below 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load([folder] if isinstance(folder, str) else list(folder))
+    where = [folder] if isinstance(folder, str) else list(folder)
+    if all(mounted(p) is not None for p in where):
+        spark.dataSource.register(GroupSource)
+        listed = "\n".join(f"{r['path']}\t{r['length']}" for r in files.select("path", "length").orderBy("path").collect())
+        reader = spark.read.format(GROUPS_FORMAT).option("files", listed).option("column", payload_col)
+        return reader.option("splitBytes", split_bytes).load()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from _group_rows(io.BytesIO(content.as_py()), path, payload_col, 0, None)
+
+    return files.select("path", "content").mapInArrow(rows, GROUPS_DDL)
+
+
+def clip_losses(groups: DataFrame) -> DataFrame:
+    """(path, row_group, rows_lost, skip_reason) of every loss."""
+    return groups.where(F.col("skip_reason").isNotNull()).select("path", "row_group", "rows_lost", "skip_reason")
+
+
 def read_nested_clips(
     spark: SparkSession,
     path: str,
