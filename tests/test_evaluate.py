@@ -102,6 +102,18 @@ def test_density(spark, points):
     assert len(flat) == points and all(r["density"] == 1.0 and r["x"] == 3.0 for r in flat)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_density_from_bins_is_that_of_the_values(spark, seed):
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.normal(5, 2, 900), rng.exponential(4, 300), [40.0, 41.5]]).tolist()
+    given = metrics_of(spark, {"a": {"m": values, "two": [1.0, 2.0] * 9}})
+    quick = {(r["metric"], r["point"]): r["density"] for r in evaluate.density_curve(given, 60).collect()}
+    exact = {(r["metric"], r["point"]): r["density"] for r in evaluate.density_curve(given, 60, exact=True).collect()}
+    top = max(exact.values())
+    assert quick.keys() == exact.keys() and max(abs(quick[k] - exact[k]) for k in exact) < 1e-13 * top * len(values)
+    assert all(quick[k] == pytest.approx(v, rel=1e-8) for k, v in exact.items() if v > 1e-12 * top)
+
+
 def test_cepstral_distance(spark):
     frame = lambda s, i, *c: (s, i, list(map(float, c)))
     schema = "sample_index bigint, frame_idx int, coef array<double>"

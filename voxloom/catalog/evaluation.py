@@ -210,17 +210,17 @@ def _(t: Tables) -> DataFrame:
     return bins.withColumn("bin", F.col("bin").cast("bigint"))
 
 
-@query(
-    "box_stats",
-    f"""WITH {MEASURES_SQL},
+_BOX_SQL = f"""WITH {MEASURES_SQL},
         f AS (SELECT checkpoint, metric, min(value) FILTER (value >= p25 - 1.5 * (p75 - p25)) AS low,
                      max(value) FILTER (value <= p75 + 1.5 * (p75 - p25)) AS high,
                      count(*) FILTER (NOT (value >= p25 - 1.5 * (p75 - p25) AND value <= p75 + 1.5 * (p75 - p25))) AS n_outliers
               FROM m JOIN stats USING (checkpoint, metric) WHERE value IS NOT NULL GROUP BY ALL)
         SELECT checkpoint, metric, round(p25, 4) AS p25, round(median, 4) AS median, round(p75, 4) AS p75,
                round(least(low, p25), 4) AS whisker_low, round(greatest(high, p75), 4) AS whisker_high,
-               n_outliers, n_valid FROM f JOIN stats USING (checkpoint, metric)""",
-)
+               n_outliers, n_valid FROM f JOIN stats USING (checkpoint, metric)"""
+
+
+@query("box_stats", _BOX_SQL)
 def _(t: Tables) -> DataFrame:
     return rounded(evaluate.box_stats(measures(t)), 4, "p25", "median", "p75", "whisker_low", "whisker_high")
 
@@ -247,10 +247,38 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("evaluation_report", _BEST_SQL)
+def _long(name: str, rows: DataFrame, items: dict[str, str], place: str = "CAST(NULL AS BIGINT)") -> DataFrame:
+    """One of the tables of the report as (part, checkpoint, metric, place, item, value)."""
+    wide = rows.selectExpr("checkpoint", "metric", f"CAST({place} AS BIGINT) AS place", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in items.items()])
+    return wide.unpivot(["checkpoint", "metric", "place"], list(items), "item", "value").select(F.lit(name).alias("part"), "*")
+
+
+def _long_sql(name: str, sql: str, items: dict[str, str], place: str = "CAST(NULL AS BIGINT)") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS part, checkpoint, metric, {place} AS place, '{c}' AS item, CAST({e} AS DOUBLE) AS value FROM ({sql})" for c, e in items.items()
+    )
+
+
+_SUMMARY_ITEMS = {c: f"round({c}, 4)" for c in ("mean", "std", "median", "p25", "p75", "n_valid")}
+_BOX_ITEMS = {c: f"round({c}, 4)" for c in ("p25", "median", "p75", "whisker_low", "whisker_high", "n_outliers", "n_valid")}
+_BIN_ITEMS = {"left_edge": "round(left_edge, 6)", "right_edge": "round(right_edge, 6)", "n": "n", "density": "round(density, 9)"}
+
+
+@query(
+    "evaluation_report",
+    " UNION ALL ".join([
+        _long_sql("summary", f"WITH {MEASURES_SQL} SELECT * FROM stats", _SUMMARY_ITEMS), _long_sql("winner", _BEST_SQL, {"mean": "mean"}),
+        _long_sql("box", _BOX_SQL, _BOX_ITEMS), _long_sql("bin", _HISTOGRAM_SQL, _BIN_ITEMS, "bin"),
+    ]),
+)
 def _(t: Tables) -> DataFrame:
+    """All four tables of a report, one below the other."""
     report = evaluation_report(measures(t), run_order(t), METRICS)
-    return rounded(evaluate.best_run(report.summary, run_order(t), METRICS, LOWER), 4, "mean")
+    winners = evaluate.best_run(report.summary, run_order(t), METRICS, LOWER)
+    return (
+        _long("summary", report.summary, _SUMMARY_ITEMS).unionByName(_long("winner", winners, {"mean": "round(mean, 4)"}))
+        .unionByName(_long("box", report.boxes, _BOX_ITEMS)).unionByName(_long("bin", report.histograms, _BIN_ITEMS, "bin"))
+    )
 
 
 @query(

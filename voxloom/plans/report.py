@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from voxloom.operators.evaluate import best_run, box_stats, eval_grid, histogram, summarize, to_long
+from voxloom.operators.evaluate import best_run, box_stats, eval_grid, histogram, metric_values, summarize, to_long
 from voxloom.operators.model import map_batches
 from voxloom.session import stage
 from voxloom.sinks.reports import write_raw_metrics, write_summary
@@ -42,9 +42,13 @@ class Report:
 
 
 def evaluation_report(metrics: DataFrame, runs: DataFrame, names: Sequence[str], folder: str | None = None) -> Report:
-    """Summary, winners, histograms and box statistics; raw and summary CSV if a folder is given."""
-    summary = stage(summarize(metrics), "summary")
+    """Summary, winners, histograms and box statistics; raw and summary CSV if a folder is given.
+
+    The metrics are computed once; the statistics read their values from one table, and the boxes take the quartiles of the summary.
+    """
+    values = metric_values(metrics)
+    summary = stage(summarize(values), "summary")
     if folder is not None:
         write_raw_metrics(metrics, names, f"{folder}/raw_metrics")
         write_summary(summary, names, f"{folder}/summary_table")
-    return Report(summary, best_run(summary, runs, names), histogram(metrics), box_stats(metrics))
+    return Report(summary, best_run(summary, runs, names), histogram(values), box_stats(values, summary=summary))
