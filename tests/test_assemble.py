@@ -105,3 +105,23 @@ def test_chunks_hold_the_buffer(spark, chunk, gap):
 def test_bad_settings(spark):
     with pytest.raises(ValueError):
         assemble.timeline(pieces_of(spark, {"a": [(1, 1)]}), 0, 1)
+
+
+@pytest.mark.parametrize("short", [0, 6, 1000])
+def test_short_lanes_are_placed_like_long_ones(spark, monkeypatch, short):
+    rng = random.Random(4)
+    rows, start = [], {"l0": 7, "l3": 10}
+    for lane in range(12):
+        rows += [(f"l{lane}", i * 3, i, rng.randint(0, 14)) for i in range(rng.choice([1, 2, 6, 7, 20]))]
+    monkeypatch.setattr(assemble, "SHORT", short)
+    begun = spark.createDataFrame(list(start.items()), "lane string, start bigint")
+    got = assemble.timeline(spark.createDataFrame(rows, "lane string, seq bigint, clip_id bigint, len bigint"), 10, 3, begun, block_rows=4, fan=2)
+    want, at = [], dict(start)
+    for lane, seq, clip, n in sorted(rows):
+        end = at.get(lane, 0)
+        begin = end + (3 if end % 10 else 0)
+        at[lane] = begin + n
+        want.append((lane, seq, clip, n, begin, begin + n))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert ("Pandas" in text) == (short < 20)

@@ -11,7 +11,7 @@ position of every block is walked back down. Only (seq, length) metadata takes p
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.arrays import bind, zeros
@@ -19,6 +19,7 @@ from voxloom.operators.scan import BLOCK, BLOCK_ROWS, dense_index, value_block
 from voxloom.session import stage
 
 FAN = 64
+SHORT = 1024  # pieces of a lane that is folded inside a row
 RANGE = 64  # chunks whose slices meet a signal together
 GENERIC = -1  # the residue under which a block's advance for all other residues is stored
 _ADVANCE = "lane string, _block bigint, residue bigint, advance bigint"
@@ -95,6 +96,23 @@ def _with_start(df: DataFrame, start: DataFrame | None) -> DataFrame:
     return begun.withColumn("entry", F.coalesce("entry", zero))
 
 
+def _folded_lanes(blocked: DataFrame, chunk: int, gap: int, start: DataFrame | None) -> DataFrame:
+    """Lanes of at most ``SHORT`` pieces, each folded in one row, without Python."""
+    listed = F.array_sort(F.collect_list(F.struct("seq", "clip_id", "len"))).alias("_pieces")
+    lanes = _with_start(blocked.groupBy("lane").agg(listed), start)
+    nothing = F.struct(F.col("entry").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+
+    def place(done: Column, piece: Column) -> Column:
+        begin = done["at"] + F.when(done["at"] % chunk != 0, F.lit(gap)).otherwise(F.lit(0))
+        return F.struct((begin + piece["len"]).alias("at"), F.concat(done["starts"], F.array(begin)).alias("starts"))
+
+    folded = lanes.select("lane", "_pieces", F.aggregate("_pieces", nothing, place, lambda done: done["starts"]).alias("_starts"))
+    placed = F.zip_with("_pieces", "_starts", lambda p, at: F.struct(
+        p["seq"].alias("seq"), p["clip_id"].alias("clip_id"), p["len"].alias("len"), at.alias("start"), (at + p["len"]).alias("end")
+    ))
+    return folded.select("lane", F.inline(placed))
+
+
 def timeline(
     pieces: DataFrame,
     chunk: int,
@@ -107,7 +125,7 @@ def timeline(
 
     ``seq`` is an integer, unique in its lane. ``start(lane, start)`` optionally gives the position
     at which each lane goes on. A lane is cut into blocks of ``block_rows`` pieces; only lanes of
-    more than one block are composed.
+    more than one block are composed. Lanes of up to ``SHORT`` pieces are folded inside a row.
     """
     if chunk <= 0 or gap < 0:
         raise ValueError("the chunk length must be positive and the gap must not be negative")
@@ -120,7 +138,15 @@ def timeline(
     ranked = dense_index(metadata, ["seq", "clip_id"], "_rank", within=["lane"], block=value_block("seq", block_rows))
     # Read several times below; staged, it is computed once.
     blocked = stage(ranked.withColumn(BLOCK, value_block("_rank", block_rows)).drop("_rank"), "pieces")
-    top = blocked.agg(F.max(BLOCK)).first()[0] or 0
+    sizes = stage(blocked.groupBy("lane").agg(F.count(F.lit(1)).alias("_n"), F.max(BLOCK).alias("_top")), "lane-sizes")
+    top, largest, least = sizes.agg(F.max("_top"), F.max("_n"), F.min("_n")).first()
+    if (largest or 0) <= SHORT:
+        return _folded_lanes(blocked, chunk, gap, start)
+    folded = None
+    if least <= SHORT:
+        many = stage(sizes.where(F.col("_n") > SHORT).select("lane"), "large-lanes")
+        folded = _folded_lanes(blocked.join(many, "lane", "left_anti"), chunk, gap, start)
+        blocked = blocked.join(many, "lane", "left_semi")
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         advance = _advances(pdf.sort_values(["seq", "clip_id"])["len"].tolist(), chunk, gap)
@@ -154,9 +180,10 @@ def timeline(
         entries = _entries(advances, levels, chunk, fan, start).withColumnRenamed("entry", "_later")
         joined = entered.join(entries, ["lane", BLOCK], "left")
         entered = joined.withColumn("entry", F.coalesce("_later", "entry")).drop("_later")
-    return entered.groupBy("lane", BLOCK).applyInPandas(
+    placed = entered.groupBy("lane", BLOCK).applyInPandas(
         place, "lane string, seq bigint, clip_id bigint, len bigint, start bigint, end bigint"
     )
+    return placed if folded is None else placed.unionByName(folded)
 
 
 def chunk_slices(placed: DataFrame, chunk: int) -> DataFrame:
