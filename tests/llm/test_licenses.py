@@ -1,4 +1,6 @@
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -50,3 +52,46 @@ def test_one_replaced_word_of_a_short_notice(name):
     for i in range(len(words) - ("CC" in words)):
         text = " ".join(["before", "it", *words[:i], "replaced", *words[i + 1 :], "after", "it"])
         assert name in [f[1] for f in Scanner({name: TEMPLATES[name]}).scan([text.encode()])]
+
+
+def test_many_notices_in_one_text():
+    """The work follows the text, however many notices follow each other."""
+    took = {}
+    for n in (1000, 8000):
+        begun = time.process_time()
+        found = list(Scanner(TEMPLATES).scan([b"All rights reserved. " * n]))
+        took[n] = time.process_time() - begun
+        assert len(found) == n and {(f[1], f[4]) for f in found} == {("reserved", 1.0)}
+        assert [f[5] for f in found] == list(range(0, 21 * n, 21))
+    assert took[8000] < 24 * max(took[1000], 0.2)
+
+
+def best_alignment(words, template, low, high):
+    """The highest score of a local alignment on the diagonals low..high, by the whole matrix."""
+    score, best = {}, 0
+    for j, want in enumerate(template):
+        for i, word in enumerate(words):
+            if low <= i - j <= high:
+                step = score.get((i - 1, j - 1), 0) + (2 if word == want else -1)
+                score[i, j] = max(0, step, score.get((i - 1, j), 0) - 1, score.get((i, j - 1), 0) - 1)
+                best = max(best, score[i, j])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_against_the_whole_matrix(seed):
+    rng = random.Random(seed)
+    scanner = Scanner({"x": "one two three"})
+    for _ in range(40):
+        template = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        words = [rng.randrange(6) for _ in range(rng.randint(1, 25))]
+        low = rng.randint(-6, 10)
+        high = low + rng.randint(0, 9)
+        matched, first, last = scanner._align(words, template, low, high)
+        want = best_alignment(words, template, low, high)
+        if want == 0:
+            assert matched == 0
+            continue
+        # The words it names hold an alignment of the best score with that many matches.
+        part = best_alignment([w if first <= i <= last else None for i, w in enumerate(words)], template, low, high)
+        assert part == want and matched <= min(len(template), last - first + 1) and 2 * matched >= want

@@ -147,9 +147,15 @@ class Scanner:
     def _told_apart(self, found: list[tuple[int, int, int, int]], words: list[int]) -> list[tuple[int, int, int, int]]:
         """Of matches (template, first, last, matched) that claim the same words, the one with the most, then the highest coverage."""
         kept: list[tuple[int, int, int, int]] = []
+        over: dict[int, list[int]] = defaultdict(list)  # by word of the text, the kept matches that span it
         for t, first, last, matched in sorted(found, key=lambda f: (-f[3], len(self.words[f[0]]), f)):
-            claimed = lambda k: sum(w in self.sets[k[0]] for w in words[max(first, k[1]) : min(last, k[2]) + 1])  # noqa: B023, E731
-            if not any(k[0] != t and claimed(k) >= matched for k in kept):
+            claimed: dict[int, int] = defaultdict(int)
+            for i in range(first, last + 1):
+                for k in over.get(i, ()):
+                    claimed[k] += kept[k][0] != t and words[i] in self.sets[kept[k][0]]
+            if not any(n >= matched for n in claimed.values()):
+                for i in range(first, last + 1):
+                    over[i].append(len(kept))
                 kept.append((t, first, last, matched))
         return sorted(kept)
 
@@ -196,8 +202,11 @@ class Scanner:
             words, spans = own.tolist(), []
             for t, found in hits.items():
                 template, groups = self.words[t], []
+                # A group is of bounded width, however many matches follow each other. The hits of one match lie within a band of each other,
+                # so the group of any of them has all of it; what one group finds is taken out for the next.
+                width = self.band + len(template) // 4
                 for diagonal, _ in sorted(found):
-                    if groups and diagonal - groups[-1][1] <= self.band:
+                    if groups and diagonal - groups[-1][1] <= self.band and diagonal - groups[-1][0] <= width:
                         groups[-1][1] = diagonal
                     else:
                         groups.append([diagonal, diagonal])
