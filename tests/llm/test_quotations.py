@@ -1,3 +1,7 @@
+import itertools
+import random
+import re
+
 from voxloom.llm.quotations import conversations
 
 SCHEMA = "conv_id long, turn long, role string, text string, position int"
@@ -30,3 +34,60 @@ def test_latest_earlier_turn_and_long_chains(spark):
     got = {r.turn: r for r in conversations(spark.createDataFrame(rows, SCHEMA), block_rows=8).collect()}
     assert got[41].reply_to == 40 and got[39].depth == 39 and got[39].thread == 0
     assert [got[t].position for t in range(42)] == list(range(42))
+
+
+def normal(text):
+    return " ".join(re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
+
+
+def brute(rows):
+    """(turn, reply_to, thread, depth, n_quotes, n_linked, text) of the messages of one conversation, in order of turns."""
+    offers, out, by_turn = [], [], {}
+    for turn, text in sorted(rows):
+        lines = []
+        for line in text.split("\n"):
+            marks = re.match(r"[ \t]*>[> \t]*", line)
+            lines.append((marks[0].count(">") if marks else 0, line[len(marks[0]) if marks else 0 :]))
+        passages = [(level, normal(" ".join(x for _, x in run))) for level, run in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x[0])) if level]
+        passages = [p for p in passages if p[1]]
+        own = "\n".join(x for level, x in lines if not level)
+        linked = []
+        for level, passage in passages:
+            at = [t for t, parts in offers if t < turn and passage in parts]
+            if at:
+                linked.append((level, len(passage), max(at)))
+        up = max(((n, t) for level, n, t in linked if level == 1), default=(0, None))[1]
+        thread, depth = (by_turn[up][0], by_turn[up][1] + 1) if up is not None else (turn, 0)
+        by_turn[turn] = (thread, depth)
+        parts = {normal(x) for x in [own, *re.split(r"\n\s*\n", own), *own.split("\n")]} - {""}
+        offers.append((turn, parts))
+        out.append((turn, up, thread, depth, len(passages), len(linked), own))
+    return out
+
+
+def test_against_brute_force(spark):
+    rng, rows = random.Random(3), []
+    pool = ["Yes", "no, I think", "the Third line", "a b", "more of it"]
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(1, 9)):
+            text = []
+            for _ in range(rng.randint(0, 4)):
+                kind = rng.random()
+                if kind < 0.5 and said:
+                    old = rng.choice(said).split("\n")
+                    part = [rng.choice(old)] if rng.random() < 0.4 else old
+                    text += [rng.choice(["> ", ">", " >  "]) + (x.upper() if rng.random() < 0.5 else x) for x in part]
+                elif kind < 0.6:
+                    text += ["> never said", ""]
+                else:
+                    text += [rng.choice(pool) for _ in range(rng.randint(1, 3))] + [""] * rng.randint(0, 1)
+            said.append("\n".join(text))
+            rows.append((conv, turn, "r", said[-1], 0))
+    got = conversations(spark.createDataFrame(rows, SCHEMA), block_rows=4).collect()
+    for conv in range(12):
+        own = sorted((r.turn, r.reply_to, r.thread, r.depth, r.n_quotes, r.n_linked, r.text) for r in got if r.conv_id == conv)
+        assert own == brute([(t, x) for c, t, _, x, _ in rows if c == conv])
+        order = [(r.thread, r.turn) for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]
+        assert order == sorted(order)
+    assert any(r.n_linked for r in got) and any(r.depth > 1 for r in got)
