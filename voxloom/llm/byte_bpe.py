@@ -19,6 +19,7 @@ fewer than 2^29 bytes.
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 import zlib
 
@@ -44,12 +45,17 @@ def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
+def _bucketed(pairs, kind: str) -> Column:
+    """Literal of ``BUCKETS`` maps, as text from the start: (bucket, key, value) of each entry."""
+    entries: dict[int, list[str]] = {}
+    for bucket, key, value in pairs:
+        entries.setdefault(bucket, []).append(f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(value, separators=(',', ':'))}")
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(entries.get(b, ())) + "}" for b in range(BUCKETS)) + "]"), kind)
+
+
 def _dictionary(pairs) -> Column:
     """Literal of words and their ids."""
-    buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for word, ids in pairs:
-        buckets[zlib.crc32(word.encode()) % BUCKETS][word] = ids
-    return _literal(buckets, "array<map<string,array<int>>>")
+    return _bucketed(((zlib.crc32(word.encode()) % BUCKETS, word, ids) for word, ids in pairs), "array<map<string,array<int>>>")
 
 
 def _ids_in(table: Column, word: Column) -> Column:
@@ -64,19 +70,19 @@ class Codec:
         if max(ranks.values(), default=0) >= NO_RANK:
             raise ValueError(f"ids must be below {NO_RANK}")
         self.pattern = "(?U)" + pattern
-        buckets: list[dict] = [{} for _ in range(BUCKETS)]
+        merges: list[tuple[int, str, int]] = []
         self.tokens: list[tuple[str, list[int]]] = []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     key = left << ID_BITS | right
-                    buckets[key % BUCKETS][key] = rank
+                    merges.append((key % BUCKETS, str(key), rank))
             try:
                 self.tokens.append((token.decode(), [rank]))
             except UnicodeDecodeError:
                 pass  # part of a character, never a whole word
-        self.merges = _literal(buckets, "array<map<string,int>>")
+        self.merges = _bucketed(merges, "array<map<string,int>>")
         self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
@@ -132,17 +138,15 @@ class Codec:
 def common_words(rows: DataFrame, codec: Codec, count: int = COMMON) -> list[tuple[str, list[int]]]:
     """The most frequent distinct words of a ``text`` column that are no tokens, with their ids; at most ``count``."""
     words = rows.select(F.explode(codec.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    others = words.where(bind(_dictionary(codec.tokens), lambda tokens: _ids_in(tokens, F.col("word"))).isNull())
-    top = stage(others.orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
+    tokens = rows.sparkSession.createDataFrame([(word,) for word, _ in codec.tokens], "word string")  # bounded by the file
+    top = stage(words.join(tokens, "word", "left_anti").orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
     ids = bind(codec.merges, lambda merges: bind(codec.bytes, lambda own: codec.fold(F.col("word"), merges, own)))
-    return [tuple(r) for r in stage(top.select("word", ids.alias("ids")), "common-ids").collect()]
+    return [tuple(r) for r in stage(top.select("word", ids.alias("ids")), "common-ids").toLocalIterator()]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
-    """(id, text, ids) of each row."""
-    codec = Codec(path, pattern)
+def _encoded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, common: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    known = _dictionary([*codec.tokens, *common_words(rows, codec, common)])
+    known = _dictionary(itertools.chain(codec.tokens, common_words(rows, codec, common)))
 
     def ids_of(known: Column, merges: Column, byte_ids: Column) -> Column:
         each = lambda word: F.coalesce(_ids_in(known, word), codec.fold(word, merges, byte_ids))
@@ -152,10 +156,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return rows.select("id", "text", ids.alias("ids"))
 
 
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
+    """(id, text, ids) of each row."""
+    return _encoded(docs, Codec(path, pattern), id_col, text_col, common)
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of each row."""
     codec = Codec(path, pattern)
-    found = encode(docs, path, pattern, id_col, text_col, common)
+    found = _encoded(docs, codec, id_col, text_col, common)
 
     def digests(ids: Column) -> Column:
         listed = F.array_join(ids.cast("array<string>"), ",")
