@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxloom.operators import assemble
 
@@ -125,3 +126,16 @@ def test_short_lanes_are_placed_like_long_ones(spark, monkeypatch, short):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     text = got._jdf.queryExecution().executedPlan().toString()
     assert ("Pandas" in text) == (short < 20)
+
+
+def test_a_gap_longer_than_a_chunk_gives_silent_chunks(spark):
+    from voxloom.plans.corpus import chunk_signals
+
+    lengths = [3, 4, 9, 2]
+    signals = spark.createDataFrame([(i, 10, [float(i + 1)] * n) for i, n in enumerate(lengths)], "clip_id bigint, sr int, samples array<float>")
+    got = chunk_signals(signals, F.lit("a"), 4, 9).orderBy("chunk").collect()
+    line = [1.0] * 3 + [0.0] * 9 + [2.0] * 4 + [3.0] * 9 + [0.0] * 9 + [4.0] * 2
+    line += [0.0] * (-len(line) % 4)
+    assert [r["chunk"] for r in got] == list(range(len(line) // 4))
+    assert [v for r in got for v in r["samples"]] == line
+    assert any(not any(r["samples"]) for r in got)

@@ -160,3 +160,5 @@ def test_report_files(spark, folder):
 
 def test_raw_metrics_has_one_row_per_sample(spark):
     assert reports.raw_metrics(metrics_of(spark, runs()), ["mcd"]).count() == 3 * 41
+    failed = spark.createDataFrame([("a", 0, 1, "mcd", None, "E: no"), ("a", 0, 2, "mcd", 1.0, None)], "checkpoint string, ckpt_ord int, sample_index bigint, metric string, value double, error string")
+    assert {(r["sample_index"], r["mcd"], r["error"]) for r in reports.raw_metrics(failed, ["mcd"]).collect()} == {(1, None, "E: no"), (2, 1.0, None)}

@@ -62,7 +62,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "read_run_configs",
     """SELECT 'run=' || n_name AS run, n_nationkey * 1000 AS step, n_regionkey + 1 AS extra_upsample_rate,
-              24000 * CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE n_regionkey + 1 END AS rate FROM nation""",
+              24000 * CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE n_regionkey + 1 END AS rate FROM nation WHERE n_nationkey % 7 <> 6""",
 )
 def _(t: Tables) -> DataFrame:
     folder = fresh_path(t.spark, "runs")
@@ -72,7 +72,14 @@ def _(t: Tables) -> DataFrame:
         (F.col("n_regionkey") + 1).alias("extra_upsample_rate"),
         (F.col("n_nationkey") % 3 != 0).alias("add_48k_decoder_block"),
     ).write.partitionBy("run").json(folder)
-    found = run_source.read_run_configs(t.spark, folder, config_file="*.json", weights_file="*.json")
+    weights = t.nation.where("n_nationkey % 7 <> 6").select(F.col("n_name").alias("run"), F.lit("w").alias("value"))
+    weights.write.mode("append").partitionBy("run").text(folder)
+    listed = run_source.read_run_configs(t.spark, folder, config_file="*.json", weights_file=None)
+    try:  # the check itself: some runs lack their weights
+        run_source.read_run_configs(t.spark, folder, config_file="*.json", weights_file="*.txt")
+    except FileNotFoundError:
+        listed = listed.join(run_source.runs_without(t.spark, listed, folder, "*.txt"), "run", "left_anti")
+    found = listed
     return found.select(
         "run", "step", F.col("extra_upsample_rate").cast("bigint").alias("extra_upsample_rate"),
         run_source.output_rate().cast("bigint").alias("rate"),

@@ -218,14 +218,22 @@ def flush_tail(placed: DataFrame, chunk: int) -> DataFrame:
     )
 
 
+def silent_chunks(slices: DataFrame, chunk: int) -> DataFrame:
+    """(lane, chunk, samples) of the chunks before a lane's last that no piece reaches: a gap of a chunk or more can hold one."""
+    last = slices.groupBy("lane").agg(F.max("chunk").alias("_last"))
+    every = last.select("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("chunk"))
+    bare = every.join(slices.select("lane", "chunk").distinct(), ["lane", "chunk"], "left_anti")
+    return bare.withColumn("samples", zeros(F.lit(chunk)))
+
+
 def materialize_chunks(
-    slices: DataFrame, signals: DataFrame, chunk: int, clip: str = "clip_id", samples: str = "samples"
+    slices: DataFrame, signals: DataFrame, chunk: int, clip: str = "clip_id", samples: str = "samples", silent: bool = False
 ) -> DataFrame:
     """The samples of every chunk: exactly ``chunk`` long, zero in gaps and in the padded tail.
 
     The payload is joined once, here, to the slices of ``RANGE`` chunks at a time, and cut behind the join: a long
     signal is not repeated for each of its slices, and a clip that stands everywhere is still spread
-    over tasks. A chunk collects at most ``chunk`` samples.
+    over tasks. A chunk collects at most ``chunk`` samples. ``silent`` adds the :func:`silent_chunks`.
     """
     part = F.struct("lane", "chunk", "dst_from", "src_from", "src_to").alias("_slice")
     ranges = slices.groupBy(clip, "lane", F.floor(F.col("chunk") / RANGE)).agg(F.collect_list(part).alias("_slices"))
@@ -250,8 +258,9 @@ def materialize_chunks(
         filled = F.flatten(F.transform(parts, lambda p, i: F.concat(zeros(p["dst_from"] - before(i)), p["part"])))
         return F.concat(filled, zeros(F.lit(chunk) - F.element_at(parts, -1)["dst_to"]))
 
-    return (
+    filled = (
         cut.groupBy("lane", "chunk")
         .agg(F.array_sort(F.collect_list("_piece")).alias("_parts"))
         .select("lane", "chunk", bind(F.col("_parts"), fill).alias("samples"))
     )
+    return filled.unionByName(silent_chunks(slices, chunk)) if silent else filled

@@ -137,16 +137,16 @@ def segments(
 
 
 def segments_or_whole(clips: DataFrame, segs: DataFrame, clip: str = "clip_id") -> DataFrame:
-    """The segments, plus the whole unpadded clip for every clip that has none."""
-    bare = clips.join(segs.select(clip).distinct(), clip, "left_anti")
-    whole = bare.select(
+    """The segments of all ``clips``, and the whole unpadded clip for every clip that has none."""
+    found = segs.select(clip, "s", "e", "padded")
+    bare = F.col("s").isNull()
+    return clips.join(found, clip, "left").select(
         clip,
         "sr",
-        F.lit(0).cast("bigint").alias("s"),
-        F.col("len").cast("bigint").alias("e"),
-        F.lit(False).alias("padded"),
+        F.when(bare, F.lit(0).cast("bigint")).otherwise(F.col("s")).alias("s"),
+        F.when(bare, F.col("len").cast("bigint")).otherwise(F.col("e")).alias("e"),
+        (~bare & F.col("padded")).alias("padded"),
     )
-    return segs.select(clip, "sr", "s", "e", "padded").unionByName(whole)
 
 
 def rejoin(segs: DataFrame, gap: float = 0.1, clip: str = "clip_id", block_rows: int = 1 << 30) -> DataFrame:

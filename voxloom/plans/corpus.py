@@ -48,7 +48,7 @@ def voiced_signals(
     padded = signals.withColumn("samples", arrays.pad_edges("samples", edge_pad(F.col("sr"))))
     voiced = hysteresis(frame_signal(padded, score, frame), lo, hi, keep_block=True)
     clips = signals.select("clip_id", "sr", F.size("samples").cast("bigint").alias("len"))
-    segs = segments_or_whole(clips, stage(segments(islands(voiced), clips, min_voiced), "segments"))
+    segs = segments_or_whole(clips, segments(islands(voiced), clips, min_voiced))
     return rejoin_payload(segs, signals, gap)
 
 
@@ -61,7 +61,8 @@ def chunk_signals(signals: DataFrame, lane: Column, chunk: int, gap: int) -> Dat
         lane.alias("lane"), F.col("clip_id").alias("seq"), "clip_id", F.size("samples").cast("bigint").alias("len")
     )
     slices = chunk_slices(timeline(lengths, chunk, gap), chunk)
-    return materialize_chunks(slices, signals, chunk)
+    slices = stage(slices, "chunk-slices") if gap >= chunk else slices  # read twice then
+    return materialize_chunks(slices, signals, chunk, silent=gap >= chunk)
 
 
 def number_chunks(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from voxloom.operators.assemble import chunk_slices, timeline
 from voxloom.operators.scan import BLOCK_ROWS
 from voxloom.operators.segment import hysteresis, islands, segments, segments_or_whole
-from voxloom.session import stage
 
 
 def voiced_segments(
@@ -21,9 +20,7 @@ def voiced_segments(
 ) -> DataFrame:
     """(clip_id, sr, s, e, padded) for frames(clip_id, frame_idx, prob) and clips(clip_id, sr, len)."""
     scored = hysteresis(frames, lo, hi, block_rows=block_rows, keep_block=True)
-    # Staged, as it is read twice: it is a few rows per clip.
-    found = stage(segments(islands(scored, block_rows=block_rows), clips, min_voiced), "segments")
-    return segments_or_whole(clips, found)
+    return segments_or_whole(clips, segments(islands(scored, block_rows=block_rows), clips, min_voiced))
 
 
 def segment_pieces(segs: DataFrame, gap: float = 0.1) -> DataFrame:

@@ -11,8 +11,9 @@ from voxloom.operators.evaluate import STATS, summary_wide
 
 
 def raw_metrics(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per (checkpoint, sample_index) with a column per listed metric."""
+    """One row per (checkpoint, sample_index) with a column per listed metric, and the ``error`` of a sample that failed, if there is such a column."""
     cells = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in names]
+    cells += [F.max("error").alias("error")] if "error" in metrics.columns else []
     return metrics.groupBy("checkpoint", "sample_index").agg(*cells)
 
 
