@@ -40,6 +40,11 @@ def normal(text):
     return " ".join(re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
 
 
+def in_order(lines, said):
+    rest = iter(said)
+    return all(line in rest for line in lines)
+
+
 def brute(rows):
     """(turn, reply_to, thread, depth, n_quotes, n_linked, text) of the messages of one conversation, in order of turns."""
     offers, out, by_turn = [], [], {}
@@ -48,19 +53,22 @@ def brute(rows):
         for line in text.split("\n"):
             marks = re.match(r"[ \t]*>[> \t]*", line)
             lines.append((marks[0].count(">") if marks else 0, line[len(marks[0]) if marks else 0 :]))
-        passages = [(level, normal(" ".join(x for _, x in run))) for level, run in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x[0])) if level]
-        passages = [p for p in passages if p[1]]
+        runs = [(k, [normal(x) for _, x in g]) for k, g in itertools.groupby(lines, key=lambda x: x[0]) if k]
+        passages = [(level, [x for x in run if x]) for level, run in runs if any(run)]
         own = "\n".join(x for level, x in lines if not level)
         linked = []
-        for level, passage in passages:
-            at = [t for t, parts in offers if t < turn and passage in parts]
+        for level, quoted in passages:
+            passage = " ".join(quoted)
+            at = [t for t, parts, _ in offers if passage in parts]
+            if not at and len(quoted) > 1:
+                at = [t for t, _, said in offers if in_order(quoted, said)]
             if at:
                 linked.append((level, len(passage), max(at)))
         up = max(((n, t) for level, n, t in linked if level == 1), default=(0, None))[1]
         thread, depth = (by_turn[up][0], by_turn[up][1] + 1) if up is not None else (turn, 0)
         by_turn[turn] = (thread, depth)
         parts = {normal(x) for x in [own, *re.split(r"\n\s*\n", own), *own.split("\n")]} - {""}
-        offers.append((turn, parts))
+        offers.append((turn, parts, [x for x in map(normal, own.split("\n")) if x]))
         out.append((turn, up, thread, depth, len(passages), len(linked), own))
     return out
 
@@ -76,7 +84,7 @@ def test_against_brute_force(spark):
                 kind = rng.random()
                 if kind < 0.5 and said:
                     old = rng.choice(said).split("\n")
-                    part = [rng.choice(old)] if rng.random() < 0.4 else old
+                    part = [rng.choice(old)] if rng.random() < 0.4 else [x for x in old if rng.random() < 0.7]
                     text += [rng.choice(["> ", ">", " >  "]) + (x.upper() if rng.random() < 0.5 else x) for x in part]
                 elif kind < 0.6:
                     text += ["> never said", ""]
@@ -91,3 +99,12 @@ def test_against_brute_force(spark):
         order = [(r.thread, r.turn) for r in sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)]
         assert order == sorted(order)
     assert any(r.n_linked for r in got) and any(r.depth > 1 for r in got)
+
+
+def test_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "a", "one\ntwo\nthree\nfour", 0), (1, 1, "b", "two", 0), (1, 2, "c", "three\nmore\ntwo", 0),
+        (1, 3, "d", "> two\n> three\nok", 0), (1, 4, "e", "> one\n>\n> four\nok", 0), (1, 5, "f", "> three\n> two", 0), (1, 6, "g", "> four\n> one", 0),
+    ]
+    got = {r.turn: r.reply_to for r in conversations(spark.createDataFrame(rows, SCHEMA), block_rows=2).collect()}
+    assert [got[t] for t in range(7)] == [None, None, None, 0, 0, 2, None]
