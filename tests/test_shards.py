@@ -184,6 +184,10 @@ def test_a_commit_that_dies_leaves_nothing_visible(spark, folder, monkeypatch):
     assert read_shards(spark, f"{folder}/x/*/*.tar").count() == 68
 
 
+def test_no_shard_is_an_empty_table(spark):
+    assert read_shards(spark, []).count() == 0 and read_shards(spark, []).columns == ["shard", "key", "members"]
+
+
 def test_a_cut_tar_is_an_error(spark, folder):
     make_tar(f"{folder}/a.tar", 9, b"x" * 3000)
     with open(f"{folder}/a.tar", "r+b") as file:

@@ -301,6 +301,8 @@ def read_shards(
 ) -> DataFrame:
     """(shard, key, members) of every sample in the tars that a pattern or a list of paths names."""
     paths = list_shards(spark, pattern) if isinstance(pattern, str) else visible(spark, pattern)
+    if not paths:  # none yet, or none that is committed
+        return spark.createDataFrame([], READ_DDL)
     if any(mounted(p) is None for p in paths):
         return read_stored_shards(spark, paths)
     spark.dataSource.register(ShardSource)
