@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
-_scratch: list[list[str]] = []
+_scratch = threading.local()  # a stream's batches run in a thread of their own
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "voxloom") -> SparkSession:
@@ -74,21 +75,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     large one is joined by shuffle. No broadcast hint is needed anywhere.
     """
     path = fresh_path(df.sparkSession, name)
-    if _scratch:
-        _scratch[-1].append(path)
+    if getattr(_scratch, "noted", None):
+        _scratch.noted[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scratch() -> Iterator[list[str]]:
-    """Notes the tables that are staged inside, so that :func:`discard` can drop them once what reads them is written."""
+    """Notes the tables that this thread stages inside, so that :func:`discard` can drop them once what reads them is written."""
     noted: list[str] = []
-    _scratch.append(noted)
+    if not hasattr(_scratch, "noted"):
+        _scratch.noted = []
+    _scratch.noted.append(noted)
     try:
         yield noted
     finally:
-        _scratch.pop()
+        _scratch.noted.pop()
 
 
 def discard(spark: SparkSession, tables: Sequence[str]) -> None:
