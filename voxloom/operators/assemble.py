@@ -19,7 +19,7 @@ from voxloom.operators.scan import BLOCK, BLOCK_ROWS, dense_index, value_block
 from voxloom.session import stage
 
 FAN = 64
-SHORT = 1024  # pieces of a lane that is folded inside a row
+SHORT = 256  # pieces of a lane that is folded inside a row
 RANGE = 64  # chunks whose slices meet a signal together
 GENERIC = -1  # the residue under which a block's advance for all other residues is stored
 _ADVANCE = "lane string, _block bigint, residue bigint, advance bigint"
@@ -138,7 +138,7 @@ def timeline(
     ranked = dense_index(metadata, ["seq", "clip_id"], "_rank", within=["lane"], block=value_block("seq", block_rows))
     # Read several times below; staged, it is computed once.
     blocked = stage(ranked.withColumn(BLOCK, value_block("_rank", block_rows)).drop("_rank"), "pieces")
-    sizes = stage(blocked.groupBy("lane").agg(F.count(F.lit(1)).alias("_n"), F.max(BLOCK).alias("_top")), "lane-sizes")
+    sizes = blocked.groupBy("lane").agg(F.count(F.lit(1)).alias("_n"), F.max(BLOCK).alias("_top"))
     top, largest, least = sizes.agg(F.max("_top"), F.max("_n"), F.min("_n")).first()
     if (largest or 0) <= SHORT:
         return _folded_lanes(blocked, chunk, gap, start)

@@ -280,9 +280,7 @@ def box_stats(metrics: DataFrame, by: Sequence[str] = GROUP, whisker: float = 1.
 
     ``summary`` is :func:`summarize` of the same metrics, if already at hand.
     """
-    if summary is None:
-        metrics = metric_values(metrics, by)
-        summary = summarize(metrics, by)
+    summary = summarize(metrics, by) if summary is None else summary
     boxes = stage(summary.where(F.col("n_valid") > 0).select(*by, "median", "p25", "p75", "n_valid"), "boxes")
     reach = whisker * (F.col("p75") - F.col("p25"))
     v = F.col("value")
