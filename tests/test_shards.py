@@ -3,10 +3,13 @@ import io
 import os
 import tarfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from tests.compare import difference
 from voxloom.functions.payloads import npy_bytes, npy_codes, wav_bytes, wav_signal
 from voxloom.operators.batches import pad_batches, plan_batches
 from voxloom.operators.model import map_batches
@@ -289,6 +292,29 @@ def test_corrupt_files_are_skipped_and_reported(spark, folder):
     assert [(os.path.basename(r["path"]), r["skip_reason"]) for r in bad] == [("broken.parquet", "unreadable")]
 
 
+@pytest.mark.parametrize("name", ["clip_groups"])
+def test_a_table_may_be_a_folder_of_parts(spark, folder, name):
+    pages = spark.range(40).selectExpr("id AS page_id", "string(id) AS url", "repeat(string(id), int(id % 7)) AS html")
+    pages.repartitionByRange(3, F.desc("page_id")).write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    assert difference(queries()[name](spark, folder), con, oracle_sql()[name]) is None
+
+
+def test_columns_kept_next_to_clips(spark, folder):
+    rows = spark.range(20).selectExpr("id + 100 AS id", "CAST(string(id) AS BINARY) AS audio_data").coalesce(1)
+    rows.write.parquet(f"{folder}/a")
+    for read in (clips.read_clips, clips.read_clip_groups):
+        found = {(r["row"], r["id"], bytes(r["payload"])) for r in read(spark, f"{folder}/a", keep="id bigint").collect()}
+        assert found == {(i, i + 100, str(i).encode()) for i in range(20)}
+
+
+def test_a_folder_without_clips_is_an_empty_table(spark, folder):
+    os.makedirs(f"{folder}/none")
+    found = clips.read_clip_groups(spark, f"{folder}/none", keep="id bigint")
+    assert found.count() == 0 and found.columns[-2:] == ["skip_reason", "id"]
+
+
 def test_run_configs_need_their_weights(spark, folder):
     for name, weights in (("one", True), ("two", False)):
         os.makedirs(f"{folder}/{name}")
