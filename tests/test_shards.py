@@ -292,7 +292,7 @@ def test_corrupt_files_are_skipped_and_reported(spark, folder):
     assert [(os.path.basename(r["path"]), r["skip_reason"]) for r in bad] == [("broken.parquet", "unreadable")]
 
 
-@pytest.mark.parametrize("name", ["clip_groups"])
+@pytest.mark.parametrize("name", ["read_clips", "clip_groups"])
 def test_a_table_may_be_a_folder_of_parts(spark, folder, name):
     pages = spark.range(40).selectExpr("id AS page_id", "string(id) AS url", "repeat(string(id), int(id % 7)) AS html")
     pages.repartitionByRange(3, F.desc("page_id")).write.parquet(f"{folder}/pages.parquet")
