@@ -20,6 +20,31 @@ from voxloom.sources import clips, runs
 from voxloom.sources.shards import expand_shards, read_shards
 
 
+def test_small_shards_share_a_task(spark, folder):
+    rows = spark.range(120).selectExpr("id AS i", "'train' AS split", "map('txt', CAST(repeat(string(id), 50) AS BINARY)) AS members")
+    write_shards(number_samples(rows, ["i"], 2, block=value_block("i")), folder)
+    found = read_shards(spark, f"{folder}/train/shard-*.tar")
+    got = {(r["shard"], r["key"], bytes(r["members"]["txt"])) for r in found.collect()}
+    assert got == {(f"shard-{i // 2:06d}.tar", f"{i:08d}", str(i).encode() * 50) for i in range(120)}
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_commit_asks_each_folder_once(spark, folder, monkeypatch):
+    from voxloom.sources import store as journal
+
+    asked, exists = [], journal.Store.exists
+    monkeypatch.setattr(journal.Store, "exists", lambda self, path: asked.append(path) or exists(self, path))
+    os.makedirs(f"{folder}/staged")
+    for i in range(30):
+        with open(f"{folder}/staged/{i}", "w") as file:
+            file.write(str(i))
+    store = journal.Store(spark, folder)
+    journal.commit(store, folder, [(f"staged/{i}", f"train/{i}") for i in range(30)])
+    assert not asked and sorted(os.listdir(f"{folder}/train")) == sorted(map(str, range(30)))
+    with pytest.raises(FileNotFoundError, match="staged/1"):
+        journal.commit(store, folder, [("staged/1", "train/new")])
+
+
 def test_expand(tmp_path):
     for i in range(12):
         (tmp_path / f"s-{i:03d}.tar").write_bytes(b"")

@@ -77,16 +77,23 @@ def commit(store: Store, folder: str, moves: Sequence[tuple[str, str]], note: di
 
 def _carry_out(store: Store, folder: str, name: str) -> None:
     moves = json.loads(store.read(f"{name}{PENDING}"))["moves"]
+    there = set()  # one listing for each folder instead of questions about each file
     for parent in sorted({new.rpartition("/")[0] for _, new in moves}):
         store.make_folder(f"{folder}/{parent}")
+        there |= {f"{parent}/{n}" if parent else n for n in store.names(f"{folder}/{parent}")}
 
     def move(pair: list[str]) -> None:
         old, new = (f"{folder}/{p}" for p in pair)
-        if store.exists(old):  # else an earlier attempt has moved it
+        if pair[1] in there:
+            if not store.exists(old):  # an earlier attempt has moved it
+                return
             store.delete(new)
+        try:
             store.rename(old, new)
-        elif not store.exists(new):
-            raise FileNotFoundError(f"neither {old} nor {new} is there")
+        except Exception as failure:
+            if not store.exists(old):
+                raise FileNotFoundError(f"neither {old} nor {new} is there") from failure
+            raise
 
     with ThreadPoolExecutor(CALLS) as pool:
         list(pool.map(move, moves))
