@@ -91,6 +91,21 @@ def samples(spark, out):
     return sorted((r["shard"], r["key"], bytes(r["members"]["wav"])) for r in rows)
 
 
+def test_a_wave_of_one_file_is_dealt_to_all_cores(spark, folder, monkeypatch):
+    dealt, real = {}, prepare.stage
+
+    def noted(df, name):
+        dealt[name] = df.rdd.getNumPartitions()
+        return real(df, name)
+
+    os.makedirs(f"{folder}/in")
+    made(f"{folder}/in", ["f0"])
+    monkeypatch.setattr(prepare, "stage", noted)
+    assert run(spark, f"{folder}/in", f"{folder}/out").count() == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert dealt["prepared-clips"] >= cores and dealt["prepared-signals"] >= cores
+
+
 def test_a_preparation_that_dies_goes_on(spark, folder, monkeypatch):
     source, whole, out = f"{folder}/in", f"{folder}/whole", f"{folder}/out"
     os.makedirs(source)

@@ -16,7 +16,7 @@ from voxloom.operators.order import OPEN_FILES
 from voxloom.operators.quality import pending_inputs, stop_on_drift
 from voxloom.operators.scan import dense_index
 from voxloom.plans.corpus import chunk_signals, encoded_chunks, level_signals, number_chunks, voiced_signals
-from voxloom.session import discard, scratch, stage
+from voxloom.session import discard, scratch, spread, stage
 from voxloom.sinks.shards import drop_shards_from, write_shards
 from voxloom.sources.clips import read_clip_groups
 from voxloom.sources.store import recover
@@ -113,10 +113,12 @@ def _wave(
     at = {s: before[f"next_{s}_shard_idx"] if before else 0 for s in SPLITS}
     key = before["global_key"] if before else 0
     drop_shards_from(spark, f"{folder}/shards", at)
-    judged = stage(read_signals(read(spark, list(paths)), decode, settings.sr_min), "prepared-clips")
+    # A wave is a few files; decoding and levelling are dealt to all cores.
+    judged = stage(read_signals(spread(read(spark, list(paths)), "path", "row"), decode, settings.sr_min), "prepared-clips")
     kept = judged.where(F.col("skip_reason").isNull())
     ids = dense_index(kept.select("path", "row"), ["path", "row"], "clip_id")
-    signals = stage(kept.join(ids, ["path", "row"]).select("clip_id", name(F.col("path")).alias("lane"), "sr", "samples"), "prepared-signals")
+    numbered_clips = kept.join(ids, ["path", "row"]).select("clip_id", name(F.col("path")).alias("lane"), "sr", "samples")
+    signals = stage(spread(numbered_clips, "clip_id"), "prepared-signals")
     level = stage(level_signals(signals.drop("lane"), settings.hop), "prepared-level")
     voiced = voiced_signals(
         level, score, settings.frame, settings.low, settings.high, settings.min_voiced_s, settings.join_gap_s
