@@ -162,3 +162,16 @@ def test_raw_metrics_has_one_row_per_sample(spark):
     assert reports.raw_metrics(metrics_of(spark, runs()), ["mcd"]).count() == 3 * 41
     failed = spark.createDataFrame([("a", 0, 1, "mcd", None, "E: no"), ("a", 0, 2, "mcd", 1.0, None)], "checkpoint string, ckpt_ord int, sample_index bigint, metric string, value double, error string")
     assert {(r["sample_index"], r["mcd"], r["error"]) for r in reports.raw_metrics(failed, ["mcd"]).collect()} == {(1, None, "E: no"), (2, 1.0, None)}
+
+
+def test_score_means_of_many_groups(spark):
+    """More groups than the session's tasks should hold, and one group of a third of the rows."""
+    rows = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, 'c', concat('c', id % 2)) AS checkpoint", "IF(id % 3 = 0, -1, id % 400) AS sample_index", "IF(id % 2 = 0 OR id % 3 = 0, 'mpd', 'msd') AS disc",
+        "IF(id % 3 = 0, 0, id % 5) AS sub", "IF(id % 7 < 3 AND id % 400 < 300, 'real', 'fake') AS kind", "double(id % 11) AS value",
+    )
+    few, many = evaluate.score_means(rows), evaluate.score_means(rows, groups_a_task=20)
+    plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+    assert plain(many) == plain(few) and any(r["real_score"] is None for r in many.collect())
+    tasks = many.rdd.mapPartitions(lambda part: [len(list(part))]).collect()
+    assert len(tasks) > int(spark.conf.get("spark.sql.shuffle.partitions")) and max(tasks) < 60

@@ -64,12 +64,32 @@ def cepstral_distance(pred: DataFrame, ref: DataFrame, by: Sequence[str] = ("sam
     return both.groupBy(*by).agg(scaled.alias("mcd"))
 
 
-def score_means(scores: DataFrame, by: Sequence[str] = ("checkpoint", "sample_index")) -> DataFrame:
-    """Mean per sub-discriminator, then the plain mean of those, as real and fake columns."""
+GROUPS_A_TASK = 1 << 19
+SALTS = 64
+
+
+def score_means(
+    scores: DataFrame, by: Sequence[str] = ("checkpoint", "sample_index"), groups_a_task: int = GROUPS_A_TASK
+) -> DataFrame:
+    """Mean per sub-discriminator, then the plain mean of those, as real and fake columns.
+
+    A task holds its groups in memory, and adaptive execution may leave no more tasks than cores, so groups are counted first,
+    approximately. Where these tasks would get more than ``groups_a_task`` each, rows are dealt to more tasks; a group of
+    many rows is then dealt by value as well, as nothing is combined before that shuffle.
+    """
     kinds = {"real": "real_score", "fake": "fake_score"}
-    per_sub = scores.groupBy(*by, "disc", "sub").agg(
-        *[F.avg(F.when(F.col("kind") == k, F.col("value"))).alias(c) for k, c in kinds.items()]
-    )
+    of = lambda k: F.when(F.col("kind") == k, F.col("value"))
+    keys = [*by, "disc", "sub"]
+    groups = scores.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    tasks, spark = -(-groups // groups_a_task), scores.sparkSession
+    if tasks <= min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism):
+        per_sub = scores.groupBy(*keys).agg(*[F.avg(of(k)).alias(c) for k, c in kinds.items()])
+    else:
+        salted = scores.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS))).repartition(tasks, *keys, "_salt")
+        totals = [agg for k, c in kinds.items() for agg in (F.sum(of(k)).alias(c), F.count(of(k)).alias(f"_n_{c}"))]
+        dealt = salted.groupBy(*keys, "_salt").agg(*totals).repartition(tasks, *by, "disc")
+        mean = lambda c: F.sum(c) / F.nullif(F.sum(f"_n_{c}"), F.lit(0))
+        per_sub = dealt.groupBy(*keys).agg(*[mean(c).alias(c) for c in kinds.values()])
     return per_sub.groupBy(*by, "disc").agg(*[F.avg(c).alias(c) for c in kinds.values()])
 
 
