@@ -37,3 +37,11 @@ def test_decode_and_empty(spark, library):
     got = spark.createDataFrame(rows, "ids array<int>").select(codec.decode(F.col("ids")).alias("b")).collect()
     assert [bytes(r.b) for r in got] == [library.decode_bytes(ids) for ids, in rows]
     assert encode(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tables_are_no_literals(spark):
+    """A plan that holds merges and words as literals is printed, kept and sent with them."""
+    df = spark.createDataFrame([(0, "hello wworldd"), (1, "ababaab baababab")], "doc_id long, text string")
+    plan = round_trip(df, PATH, public_tokenizers.PATTERN, common=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
+    assert len(plan) < 4 << 20  # the pieces of decoding are a literal

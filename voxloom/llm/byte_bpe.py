@@ -1,37 +1,39 @@
 """Byte-level BPE by higher-order functions: a ranked fold over the bytes of distinct words, and decoding.
 
-A rank file maps byte strings to ranks, which are also the ids. Its merges are a literal of the plan: for every token and
-every cut of it into two tokens, (left id, right id) -> id, in ``BUCKETS`` small maps, so that a look-up reads one
-of them. A word starts as the ids of its bytes. Each symbol is one long: the rank of its merge with the next symbol, its
-byte offset and its id, from high to low bits, so the least element of the array is the next pair to join, the leftmost
-among equal ranks. A step of the fold joins that pair and looks up only the two pairs it changes.
+A rank file maps byte strings to ranks, which are also the ids. For every token and every cut of it into two tokens, its
+merges hold the symbol of the left id before the right one, in ``BUCKETS`` small maps, so that a look-up reads one of them. A symbol
+is one long: the rank of its merge with the next symbol and its own id, from high to low bits. A word starts as the symbols of its bytes.
+The least symbol is the next to be joined with its follower; of equal ones, the leftmost. Least symbols of equal rank are equal: their
+merges cover the same bytes, and bytes that nothing has crossed yet come to the same two ids wherever they stand.
+A step of the fold joins that pair and looks up only the two pairs it changes.
 
 A word that is itself a token is that token. The tokens and the ``COMMON`` most frequent of the other words of the table, folded
-once, are a second literal, whose size is bounded by the file and that parameter; words beyond it are folded where they stand, so
+once, are a dictionary, whose size is bounded by the file and that parameter; words beyond it are folded where they stand, so
 every word gets its ids whichever side it is on, and no text is shuffled. Only word counts are, after being combined in each map task.
+Merges and dictionary are one staged row, which the plan reads as a scalar subquery: a literal of that size would be held, printed
+and sent as objects, on the driver and for each task.
 
 Defined cases: a null text counts as empty (no ids); rows that repeat an id give a row each; an empty table gives an empty
 result; other columns are ignored. Words are split by Java's regular expressions with Unicode classes, whose
-character tables are those of the Java version. A vocabulary has fewer than 2^17 ids and holds every single byte; a word has
-fewer than 2^29 bytes.
+character tables are those of the Java version. A vocabulary has fewer than 2^17 ids and holds every single byte.
 """
 
 from __future__ import annotations
 
 import base64
-import itertools
 import json
-import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from voxloom.functions.arrays import bind, indices
 from voxloom.llm.text import whole
 from voxloom.session import stage
 
-BUCKETS = 65_521  # a prime, so that both ids of a pair choose its bucket
+ID_BITS = 17
+BUCKETS = 1 << ID_BITS  # no fewer than ids: a bucket and a right id then name one left id
+SPREAD = 40_503  # odd, so that left ids stay apart
+WORD_BUCKETS = 1 << 16
 COMMON = 1 << 17
-ID_BITS, OFFSET_BITS = 17, 29
 NO_RANK = (1 << ID_BITS) - 1  # above every rank: the symbol does not join the next one
 
 
@@ -45,21 +47,17 @@ def _literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
 
 
-def _bucketed(pairs, kind: str) -> Column:
-    """Literal of ``BUCKETS`` maps, as text from the start: (bucket, key, value) of each entry."""
-    entries: dict[int, list[str]] = {}
-    for bucket, key, value in pairs:
-        entries.setdefault(bucket, []).append(f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(value, separators=(',', ':'))}")
-    return F.from_json(F.lit("[" + ",".join("{" + ",".join(entries.get(b, ())) + "}" for b in range(BUCKETS)) + "]"), kind)
+def _bucketed(entries: DataFrame, buckets: int) -> DataFrame:
+    """One row, ``table``: an array of ``buckets`` maps, of the (bucket, key, value) rows; as large as these, which are bounded."""
+    held = entries.groupBy("bucket").agg(F.collect_list(F.struct("key", "value")).alias("entries"))
+    every = entries.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(held, "bucket", "left")
+    filled = F.coalesce("entries", F.array().cast(held.schema["entries"].dataType))
+    in_order = F.array_sort(F.collect_list(F.struct("bucket", filled.alias("entries"))))
+    return every.agg(F.transform(in_order, lambda b: F.map_from_entries(b["entries"])).alias("table"))
 
 
-def _dictionary(pairs) -> Column:
-    """Literal of words and their ids."""
-    return _bucketed(((zlib.crc32(word.encode()) % BUCKETS, word, ids) for word, ids in pairs), "array<map<string,array<int>>>")
-
-
-def _ids_in(table: Column, word: Column) -> Column:
-    return F.try_element_at(F.get(table, F.pmod(F.crc32(word.cast("binary")), F.lit(BUCKETS)).cast("int")), word)
+def _word_bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(WORD_BUCKETS - 1).cast("bigint"))
 
 
 class Codec:
@@ -70,20 +68,18 @@ class Codec:
         if max(ranks.values(), default=0) >= NO_RANK:
             raise ValueError(f"ids must be below {NO_RANK}")
         self.pattern = "(?U)" + pattern
-        merges: list[tuple[int, str, int]] = []
+        self.merges: list[tuple[int, int, int]] = []
         self.tokens: list[tuple[str, list[int]]] = []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    key = left << ID_BITS | right
-                    merges.append((key % BUCKETS, str(key), rank))
+                    self.merges.append(((left * SPREAD + right) % BUCKETS, right, rank << ID_BITS | left))
             try:
                 self.tokens.append((token.decode(), [rank]))
             except UnicodeDecodeError:
                 pass  # part of a character, never a whole word
-        self.merges = _bucketed(merges, "array<map<string,int>>")
-        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece.hex()
@@ -92,42 +88,43 @@ class Codec:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
+    def merge_table(self, spark: SparkSession) -> DataFrame:
+        """One row, ``merges``: the symbol of a left id before a right one, by bucket and right id."""
+        entries = stage(spark.createDataFrame(self.merges, "bucket bigint, key bigint, value bigint"), "merges")
+        return stage(_bucketed(entries, BUCKETS).withColumnRenamed("table", "merges"), "merge-table")
+
     def fold(self, word: Column, merges: Column, byte_ids: Column) -> Column:
-        """Ids of one word; the two literals are bound once by the caller, so that the plan holds them once."""
+        """Ids of one word; merges and byte ids are bound once by the caller."""
         long = lambda n: F.lit(n).cast("bigint")
         id_of = lambda symbol: symbol.bitwiseAND(long(NO_RANK))
-        offset_of = lambda symbol: F.shiftright(symbol, ID_BITS).bitwiseAND(long((1 << OFFSET_BITS) - 1))
 
-        def symbol(offset: Column, own: Column, following: Column) -> Column:
-            """The symbol ``own`` at ``offset`` before the id ``following``, which is null at the end of the word."""
-            key = F.shiftleft(own, ID_BITS).bitwiseOR(following)
-            rank = F.try_element_at(F.get(merges, F.pmod(key, long(BUCKETS)).cast("int")), key.cast("string"))
-            high = F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("bigint"), ID_BITS + OFFSET_BITS)
-            return high.bitwiseOR(F.shiftleft(offset, ID_BITS)).bitwiseOR(own)
+        def symbol(own: Column, following: Column, own_id: Column, following_id: Column) -> Column:
+            """The symbol of ``own`` before ``following``, which is null at the end of the word; a bucket needs their low bits only."""
+            bucket = (own * long(SPREAD) + following).bitwiseAND(long(BUCKETS - 1))
+            return F.coalesce(F.try_element_at(merges[bucket], following_id), own_id.bitwiseOR(long(NO_RANK << ID_BITS)))
 
         def step(state: Column, _: Column) -> Column:
             def merge(least: Column, at: Column) -> Column:
                 """``at`` counts from 1."""
-                joined = F.shiftright(least, ID_BITS + OFFSET_BITS)
-                after = F.get(state, at + 1)
-                merged = symbol(offset_of(least), joined, id_of(after))
-                before = F.get(state, at - 2)
+                joined = F.shiftright(least, ID_BITS)
+                before, after = F.get(state, at - 2), F.get(state, at + 1)
+                merged = symbol(joined, after, joined, id_of(after))
                 rest = F.slice(state, at + 2, F.size(state))
                 return F.when(at == 1, F.concat(F.array(merged), rest)).otherwise(F.concat(
-                    F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))),
-                    F.array(symbol(offset_of(before), id_of(before), joined), merged), rest,
+                    F.slice(state, F.lit(1), at - 2), F.array(symbol(before, joined, id_of(before), joined), merged), rest,
                 ))
 
-            return bind(F.array_min(state), lambda least: F.when(
-                least >= long(NO_RANK << (ID_BITS + OFFSET_BITS)), state
-            ).otherwise(bind(F.array_position(state, least).cast("int"), lambda at: merge(least, at))))
+            return bind(F.array_min(state), lambda least: F.when(least >= long(NO_RANK << ID_BITS), state).otherwise(
+                bind(F.array_position(state, least).cast("int"), lambda at: merge(least, at))
+            ))
 
         def start(ids: Column) -> Column:
-            return F.transform(ids, lambda own, i: symbol(i.cast("bigint"), own, F.get(ids, i + 1)))
+            following = lambda i: F.get(ids, i + 1)
+            return F.transform(ids, lambda own, i: symbol(own, following(i), own, following(i)))
 
         characters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # one for each byte
-        ids = F.transform(characters, lambda c: F.get(byte_ids, F.ascii(c)).cast("bigint"))
-        folded = bind(ids, lambda ids: F.aggregate(indices(F.size(ids) - 1), bind(ids, start), step))
+        ids = F.transform(characters, lambda c: F.get(byte_ids, F.ascii(c)))
+        folded = bind(ids, lambda ids: F.aggregate(indices(F.size(ids) - 1), start(ids), step))
         return F.transform(folded, lambda s: id_of(s).cast("int"))
 
     def decode(self, ids: Column) -> Column:
@@ -135,25 +132,35 @@ class Codec:
         return bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
-def common_words(rows: DataFrame, codec: Codec, count: int = COMMON) -> list[tuple[str, list[int]]]:
-    """The most frequent distinct words of a ``text`` column that are no tokens, with their ids; at most ``count``."""
+def common_words(rows: DataFrame, codec: Codec, merges: DataFrame, count: int = COMMON) -> DataFrame:
+    """(word, ids): the most frequent distinct words of a ``text`` column that are no tokens; at most ``count``."""
     words = rows.select(F.explode(codec.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     tokens = rows.sparkSession.createDataFrame([(word,) for word, _ in codec.tokens], "word string")  # bounded by the file
     top = stage(words.join(tokens, "word", "left_anti").orderBy(F.desc("n"), "word").limit(count).select("word"), "common-words")
-    ids = bind(codec.merges, lambda merges: bind(codec.bytes, lambda own: codec.fold(F.col("word"), merges, own)))
-    return [tuple(r) for r in stage(top.select("word", ids.alias("ids")), "common-ids").toLocalIterator()]
+    ids = bind(F.col("merges"), lambda merges: bind(codec.bytes, lambda own: codec.fold(F.col("word"), merges, own)))
+    return top.select("word", merges.scalar().alias("merges")).select("word", ids.alias("ids"))
+
+
+def _dictionary(rows: DataFrame, codec: Codec, merges: DataFrame, common: int) -> DataFrame:
+    """One row, ``known``: the ids of tokens and common words, by bucket and word."""
+    tokens = rows.sparkSession.createDataFrame(codec.tokens, "word string, ids array<int>")
+    words = stage(tokens.union(common_words(rows, codec, merges, common)), "known-words")
+    entries = words.select(_word_bucket(F.col("word")).alias("bucket"), F.col("word").alias("key"), F.col("ids").alias("value"))
+    return stage(_bucketed(entries, WORD_BUCKETS).withColumnRenamed("table", "known"), "dictionary")
 
 
 def _encoded(docs: DataFrame, codec: Codec, id_col: str, text_col: str, common: int) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text"))
-    known = _dictionary(itertools.chain(codec.tokens, common_words(rows, codec, common)))
+    merges = codec.merge_table(docs.sparkSession)
+    known = _dictionary(rows, codec, merges, common)
 
     def ids_of(known: Column, merges: Column, byte_ids: Column) -> Column:
-        each = lambda word: F.coalesce(_ids_in(known, word), codec.fold(word, merges, byte_ids))
-        return F.flatten(F.transform(codec.words(F.col("text")), each))
+        ids = lambda word: F.try_element_at(known[_word_bucket(word)], word)
+        return F.flatten(F.transform(codec.words(F.col("text")), lambda word: F.coalesce(ids(word), codec.fold(word, merges, byte_ids))))
 
-    ids = bind(codec.merges, lambda merges: bind(codec.bytes, lambda own: bind(known, lambda k: ids_of(k, merges, own))))
-    return rows.select("id", "text", ids.alias("ids"))
+    ids = bind(F.col("merges"), lambda m: bind(codec.bytes, lambda own: bind(F.col("known"), lambda k: ids_of(k, m, own))))
+    # Each table is read once below, so that the optimizer puts it in the place of its column.
+    return rows.select("*", merges.scalar().alias("merges"), known.scalar().alias("known")).select("id", "text", ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
